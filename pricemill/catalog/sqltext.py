@@ -128,3 +128,61 @@ for basis, day in (("book", "collected_date"), ("travel", "departure_date")):
                  count(*) AS n_apw, CAST(sum(n_matched) AS BIGINT) AS n_matched, avg(coverage_pct) AS coverage_pct,
                  CASE WHEN sum(omega) > 0 THEN sum(omega) ELSE 1.0 END AS omega_covered
           FROM apw_{tag}{b} JOIN w_omega USING (apw_days) GROUP BY ALL""", f"apw_{tag}{b}", "w_omega")
+
+cte("decomp", f"""
+  SELECT *, base_fare * g AS gst, base_fare AS price_B, total_fare - convenience_fee AS price_T, total_fare AS price_A,
+         abs(total_fare - (base_fare + yq_yr + udf + asf + rcs_levy + base_fare * g + convenience_fee)) AS decomp_residual
+  FROM (SELECT *, (total_fare - udf - asf - rcs_levy - convenience_fee) / (1 + g) AS base_fare, 0.0::DOUBLE AS yq_yr FROM
+    (SELECT q.*, coalesce(c.udf, 0) AS udf, coalesce(c.asf, 0) AS asf, coalesce(x.g, 0) AS g,
+            CASE WHEN route IN ({", ".join(repr(r) for r in R.RCS_ROUTES)}) THEN {R.RCS_LEVY!r}::DOUBLE ELSE 0.0::DOUBLE END AS rcs_levy,
+            {R.CONVENIENCE_FEE!r}::DOUBLE AS convenience_fee
+     FROM raw_quotes q
+     LEFT JOIN d_charges c ON c.airport = q.origin_iata AND c.f <= q.collected_date AND (c.t IS NULL OR c.t > q.collected_date)
+     LEFT JOIN d_taxes x ON x.cabin = q.cabin AND x.f <= q.collected_date AND (x.t IS NULL OR x.t > q.collected_date)))""",
+    "raw_quotes", "d_charges", "d_taxes")
+cte("gated", """
+  SELECT *, reason <> '' AS gate_failed FROM (SELECT d.*, CASE
+    WHEN total_fare IS NULL OR total_fare <= 0 THEN 'NONPOSITIVE_FARE'
+    WHEN total_fare < udf + asf + rcs_levy THEN 'BELOW_STATUTORY_FLOOR'
+    WHEN currency IS NULL OR currency <> 'INR' THEN 'NON_INR_CURRENCY'
+    WHEN apw_days NOT IN (1, 7, 15, 30, 45) THEN 'APW_NOT_IN_WINDOW_SET'
+    WHEN cabin NOT IN ('economy', 'other_than_economy') THEN 'BAD_CABIN'
+    WHEN total_fare < 0.35 * (900 + 1.6 * coalesce(km, 1000)) OR total_fare > 90000 THEN 'IMPLAUSIBLE_FOR_DISTANCE'
+    ELSE '' END AS reason FROM decomp d LEFT JOIN d_km USING (route))""", "decomp", "d_km")
+cte("day_y", "SELECT *, CASE WHEN price_T > 0 THEN ln(price_T) END AS y FROM gated", "gated")
+cte("day_stats", """
+  SELECT s.*, m.mad FROM
+    (SELECT route, carrier, apw_days, collected_date, count(y) AS n_values, quantile_cont(y, 0.25) AS q1,
+            quantile_cont(y, 0.75) AS q3, median(y) AS med FROM day_y GROUP BY ALL) s
+  JOIN (SELECT route, carrier, apw_days, collected_date, median(abs(y - med)) AS mad FROM
+          (SELECT *, median(y) OVER (PARTITION BY route, carrier, apw_days, collected_date) AS med FROM day_y)
+        GROUP BY ALL) m USING (route, carrier, apw_days, collected_date)""", "day_y")
+cte("outliers", """
+  SELECT *, CASE WHEN (tukey_hit OR hampel_hit) AND reason = '' THEN 'OUTLIER_CELL' ELSE reason END AS flag FROM (
+    SELECT *, coalesce(y < fence_low OR y > fence_high, FALSE) AS tukey_hit,
+           coalesce(n_values >= 4 AND mad > 0 AND abs(0.6745 * (y - med) / nullif(mad, 0)) > 3.5, FALSE) AS hampel_hit FROM (
+      SELECT y.*, n_values, med, mad, CASE WHEN n_values >= 4 THEN q1 - 3 * (q3 - q1) END AS fence_low,
+             CASE WHEN n_values >= 4 THEN q3 + 3 * (q3 - q1) END AS fence_high
+      FROM day_y y LEFT JOIN day_stats USING (route, carrier, apw_days, collected_date)))""", "day_y", "day_stats")
+cte("moves", """
+  SELECT *, abs(ly - lag(ly) OVER (PARTITION BY route, carrier, apw_days, flight_number, fare_family ORDER BY collected_date)) AS jump
+  FROM (SELECT route, carrier, apw_days, flight_number, fare_family, collected_date, avg(y) AS ly FROM day_y GROUP BY ALL)""", "day_y")
+cte("jumps", """
+  SELECT m.*, jump_sigma, coalesce(jump > 3 * jump_sigma, FALSE) AS is_jump FROM moves m
+  JOIN (SELECT route, carrier, apw_days, CASE WHEN count(jump) > 2 THEN stddev_samp(jump) END AS jump_sigma
+        FROM moves GROUP BY ALL) USING (route, carrier, apw_days)""", "moves")
+cte("cleaned", """
+  SELECT * REPLACE (CASE WHEN disposition = 'WINSORISED' THEN exp(least(greatest(y, fence_low), fence_high)) ELSE price_T END AS price_T),
+         CASE WHEN disposition = 'WINSORISED' THEN exp(least(greatest(y, fence_low), fence_high)) + convenience_fee END AS total_fare_capped
+  FROM (SELECT *, CASE WHEN is_sold_out THEN 'QUARANTINED' WHEN gate_failed THEN 'EXCLUDED' WHEN flag2 = 'OUTLIER_CELL' THEN 'WINSORISED'
+                       WHEN flag2 = 'LONGITUDINAL_JUMP' THEN 'QUARANTINED' ELSE 'ACCEPTED' END AS disposition,
+               CASE WHEN is_sold_out THEN 'SOLD_OUT' ELSE nullif(flag2, '') END AS quality_flag
+        FROM (SELECT o.*, CASE WHEN is_jump AND flag = '' THEN 'LONGITUDINAL_JUMP' ELSE flag END AS flag2
+              FROM outliers o LEFT JOIN jumps USING (route, carrier, apw_days, flight_number, fare_family, collected_date)))""",
+    "outliers", "jumps")
+cte("rebuilt", """
+  SELECT * REPLACE (base_eff + yq_yr AS price_B, eff - convenience_fee AS price_T, eff AS price_A) FROM (
+    SELECT *, coalesce(total_fare_capped, total_fare) AS eff,
+           CASE WHEN total_fare_capped IS NULL THEN base_fare ELSE
+             (total_fare_capped - udf - asf - rcs_levy - convenience_fee) / (1 + CASE WHEN base_fare > 0 THEN gst / base_fare ELSE 0 END) END AS base_eff
+    FROM cleaned)""", "cleaned")

@@ -25,6 +25,7 @@ def local_session(cores: int | str = 8, **extra: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("pricemill")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
         .config("spark.driver.memory", "12g")
     )
