@@ -16,14 +16,18 @@ BUCKETS_PER_LOG_UNIT = 2048
 
 
 def _bucket(value: Column) -> Column:
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(BUCKETS_PER_LOG_UNIT)).cast("long")
+    step = F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(BUCKETS_PER_LOG_UNIT)).cast("long")
+    return F.coalesce(step, F.lit(0).cast("long"))
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
-    """(keys, v, n): the mergeable form every quantile below starts from."""
+    """(keys, v, n): the mergeable form every quantile below starts from; null keys form no group."""
+    present = F.col("v").isNotNull()
+    for k in keys:
+        present = present & F.col(k).isNotNull()
     return (
         df.select(*keys, value.cast("double").alias("v"))
-        .where(F.col("v").isNotNull())
+        .where(present)
         .groupBy(*keys, "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -34,11 +38,12 @@ def quantiles_of_counts(
 ) -> DataFrame:
     """Linear-interpolated quantiles of (keys, v, n); one output column per entry of ``probs``."""
     keys = list(keys)
-    counts = counts.withColumn("_b", _bucket(F.col("v")))
+    # Both branches below read this one exchange: bucket totals on one side, ranking on the other.
+    counts = counts.withColumn("_b", _bucket(F.col("v"))).repartition(*keys, "_b")
     by_key = W.partitionBy(*keys)
     buckets = (
         counts.groupBy(*keys, "_b")
-        .agg(F.sum("n").alias("_m"))
+        .agg(F.sum("n").alias("_m"), F.max("v").alias("_top"))
         .withColumn("_start", F.sum("_m").over(by_key.orderBy("_b")) - F.col("_m"))
         .withColumn(total, F.sum("_m").over(by_key))
     )

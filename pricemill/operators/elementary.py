@@ -106,16 +106,19 @@ def blend(matched: Column, laf: Column, availability: Column) -> Column:
 def cells(relatives: DataFrame, by: Sequence[str] = (), n_min: int = 5, adjust: bool = True) -> DataFrame:
     """One row per (period, cell): matched, laf, availability, adjusted, n_matched, suppressed."""
     by = list(by)
-    blocks = flight_blocks(relatives, by)
     index = (
-        blocks.groupBy(*by, "period", *CELL)
+        relatives.groupBy(*by, "period", *CELL)
         .agg(
-            (100 * F.exp(F.sum("lr_sum") / F.when(F.sum("lr_n") > 0, F.sum("lr_n")))).alias("matched"),
-            F.sum("lr_n").alias("n_matched"),
-            (100 * F.exp(F.avg("laf_lr"))).alias("laf"),
-            F.sum("n_quotes").alias("n_quotes"),
+            (100 * F.exp(F.avg("lr"))).alias("matched"),
+            F.count("lr").alias("n_matched"),
+            F.count(F.lit(1)).alias("n_quotes"),
+            F.countDistinct("fare_family").alias("n_families"),
         )
     )
-    out = index.join(family_counts(relatives, by), [*by, "period", *CELL])
+    out = (
+        index.join(lowest_fare_index(flight_blocks(relatives, by), by), [*by, "period", *CELL], "left")
+        .withColumn("n_families_ref", F.max("n_families").over(W.partitionBy(*by, *CELL)))
+        .withColumn("availability", availability_ratio())
+    )
     level = blend(F.col("matched"), F.col("laf"), F.col("availability")) if adjust else F.col("matched")
-    return out.withColumn("adjusted", level).withColumn("suppressed", F.col("n_matched") < n_min)
+    return out.withColumns({"adjusted": level, "suppressed": F.col("n_matched") < n_min})

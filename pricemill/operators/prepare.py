@@ -64,7 +64,9 @@ def collapse_sources(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def window_coverage(prepared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return prepared.groupBy(*by, "period").agg(F.countDistinct("apw_days").alias("n_apw"))
+    """Lead-time windows that hold a price, per period."""
+    priced = F.when(F.col("lp").isNotNull(), F.col("apw_days"))
+    return prepared.groupBy(*by, "period").agg(F.countDistinct(priced).alias("n_apw"))
 
 
 def base_periods(prepared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
