@@ -256,8 +256,8 @@ def _(spark, sf):
   SELECT * FROM (
     SELECT period, apw_days, lead(apw_days) OVER w AS next_apw,
            round((lead(ln(value)) OVER w - ln(value)) / (lead(ln(apw_days)) OVER w - ln(apw_days)), 6) AS eta,
-           round((arg_max(ln(value), apw_days) OVER (PARTITION BY period) - arg_min(ln(value), apw_days) OVER (PARTITION BY period))
-             / nullif(ln(max(apw_days) OVER (PARTITION BY period)) - ln(min(apw_days) OVER (PARTITION BY period)), 0), 6) AS eta_near_far
+           round((arg_max(ln(value), apw_days) OVER (PARTITION BY period) - max(CASE WHEN apw_days = 1 THEN ln(value) END) OVER (PARTITION BY period))
+             / nullif(ln(max(apw_days) OVER (PARTITION BY period)) - ln(1), 0), 6) AS eta_near_far
     FROM apw_book WHERE value > 0 WINDOW w AS (PARTITION BY period ORDER BY apw_days)) WHERE next_apw IS NOT NULL""", "apw_book"))
 def _(spark, sf):
     return agg.adjacent_elasticity(frames(spark, sf).by_apw)

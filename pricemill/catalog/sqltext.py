@@ -186,3 +186,29 @@ cte("rebuilt", """
            CASE WHEN total_fare_capped IS NULL THEN base_fare ELSE
              (total_fare_capped - udf - asf - rcs_levy - convenience_fee) / (1 + CASE WHEN base_fare > 0 THEN gst / base_fare ELSE 0 END) END AS base_eff
     FROM cleaned)""", "cleaned")
+
+cte("obs", """
+  SELECT order_id, line_number, upper(substr(route, 1, 3)) AS origin_airport,
+    CASE carrier WHEN 'A' THEN 'DEL' WHEN 'N' THEN 'BOM' ELSE 'XXX' END AS destination_airport,
+    CASE carrier WHEN 'A' THEN '6E' WHEN 'N' THEN 'AI' ELSE 'ZZ' END AS carrier, 'F' || flight_number AS flight_number, source,
+    CASE line_number % 4 WHEN 0 THEN 'public_api' WHEN 1 THEN 'static_html' WHEN 2 THEN 'document' ELSE 'unlisted' END AS collector,
+    ordered_at + to_hours(CAST(line_number AS INTEGER)) AS collected_at, CAST(ordered_at AS DATE) AS booking_date,
+    CAST(CAST(ordered_at AS DATE) + apw_days AS DATE) AS travel_date, apw_days AS lead_time_days,
+    CASE WHEN fare_family <> 'PROMO' THEN fare_family END AS fare_brand, 'economy' AS cabin_class,
+    CASE WHEN quantity >= 50 THEN 'sold_out' ELSE 'available' END AS availability,
+    base AS base_fare, CASE WHEN discount <> 0.03 THEN 100.00::DECIMAL(12,2) END AS taxes, total AS total_fare,
+    CASE WHEN discount = 0.05 THEN total - base - 400 + 1 ELSE total - base - 400 END AS other_fee,
+    total < base AS total_lt_base, discount <> 0.03 AND discount = 0.05 AS mismatch, discount = 0.03 AS incomplete
+  FROM (SELECT q.*, CAST(price AS DECIMAL(12,2)) AS total, CAST(price * 0.5 AS DECIMAL(12,2)) AS base FROM quotes_at q)""", "quotes_at")
+cte("quotes_at", """
+  SELECT r_name AS route, l_returnflag AS carrier, CAST([1, 7, 15, 30, 45][l_partkey % 5 + 1] AS INTEGER) AS apw_days,
+         CAST(l_suppkey % 3 AS VARCHAR) AS flight_number, p_type AS fare_family, l_extendedprice AS price, l_linestatus AS source,
+         l_orderkey AS order_id, l_quantity AS quantity, l_discount AS discount, l_linenumber AS line_number, o_orderdate AS ordered_at
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey""")
+cte("flagged", """
+  SELECT *, list_filter([CASE WHEN origin_airport = 'MID' OR destination_airport = 'XXX' THEN 'UNKNOWN_AIRPORT' END,
+      CASE WHEN carrier = 'ZZ' THEN 'UNKNOWN_CARRIER' END, CASE WHEN total_lt_base THEN 'TOTAL_LT_BASE' END,
+      CASE WHEN mismatch THEN 'COMPONENT_MISMATCH' END, CASE WHEN incomplete THEN 'COMPONENTS_INCOMPLETE' END,
+      CASE WHEN total_fare = 0 THEN 'ZERO_FARE' END, CASE WHEN total_fare > 500000 THEN 'UNREALISTIC_FARE' END], lambda x: x IS NOT NULL) AS flags
+  FROM obs""", "obs")

@@ -180,13 +180,13 @@ def withheld_count(headline: DataFrame, minimum: float = 0.60, by: Sequence[str]
 
 
 def adjacent_elasticity(by_apw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Slope of log index on log lead time between neighbouring windows, and nearest to farthest."""
+    """Slope of log index on log lead time between neighbouring windows, and from one day to the farthest."""
     by = [*by, "period"]
     w = W.partitionBy(*by).orderBy("apw_days")
     whole = W.partitionBy(*by)
     li, lt = F.ln("value"), F.ln(F.col("apw_days").cast("double"))
     ends = F.struct(F.col("apw_days"), li.alias("li"), lt.alias("lt"))
-    far, near = F.max(ends).over(whole), F.min(ends).over(whole)
+    far, near = F.max(ends).over(whole), F.max(F.when(F.col("apw_days") == 1, ends)).over(whole)
     return (
         by_apw.where(F.col("value") > 0)
         .withColumn("next_apw", F.lead("apw_days").over(w))

@@ -79,10 +79,42 @@ def retail_quotes(spark: SparkSession, sf_dir: str, grain: str = "quarter") -> D
             F.col("l_quantity").alias("quantity"),
             F.col("l_discount").alias("discount"),
             F.col("l_tax").alias("tax"),
+            F.col("l_linenumber").alias("line_number"),
+            F.col("o_orderdate").alias("ordered_at"),
         )
     )
 
 
+def retail_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as collected observations with partly missing, partly inconsistent components."""
+    q = retail_quotes(spark, sf_dir)
+    total = F.col("price").cast("decimal(12,2)")
+    base = (F.col("price") * 0.5).cast("decimal(12,2)")
+    known = F.col("discount") != 0.03
+    fixed = F.lit("100.00").cast("decimal(12,2)")
+    rest = (total - base - fixed * 4).cast("decimal(12,2)")
+    booked = F.to_date("ordered_at")
+    return q.select(
+        "order_id", "line_number",
+        F.upper(F.substring("route", 1, 3)).alias("origin_airport"),
+        F.when(F.col("carrier") == "A", "DEL").when(F.col("carrier") == "N", "BOM").otherwise("XXX").alias("destination_airport"),
+        F.when(F.col("carrier") == "A", "6E").when(F.col("carrier") == "N", "AI").otherwise("ZZ").alias("carrier"),
+        F.concat(F.lit("F"), "flight_number").alias("flight_number"),
+        F.col("source"),
+        F.when(F.col("line_number") % 4 == 0, "public_api").when(F.col("line_number") % 4 == 1, "static_html")
+        .when(F.col("line_number") % 4 == 2, "document").otherwise("unlisted").alias("collector"),
+        (F.col("ordered_at") + F.make_dt_interval(hours=F.col("line_number"))).alias("collected_at"),
+        booked.alias("booking_date"), F.date_add(booked, F.col("apw_days")).alias("travel_date"),
+        F.col("apw_days").alias("lead_time_days"),
+        F.when(F.col("fare_family") != "PROMO", F.col("fare_family")).alias("fare_brand"),
+        F.lit("economy").alias("cabin_class"),
+        F.when(F.col("quantity") >= 50, "sold_out").otherwise("available").alias("availability"),
+        base.alias("base_fare"), F.when(known, fixed).alias("taxes"), fixed.alias("airport_fee"), fixed.alias("udf"),
+        fixed.alias("convenience_fee"), F.when(F.col("discount") == 0.05, rest + 1).otherwise(rest).cast("decimal(12,2)").alias("other_fee"),
+        total.alias("total_fare"),
+    )
+
+
 def retail_raw_quotes(spark: SparkSession, sf_dir: str, grain: str = "quarter") -> DataFrame:
     """The same rows before cleaning: a total fare, a currency, a sold-out flag, some bad cabins."""
     return (
