@@ -200,7 +200,7 @@ def attempts(spark, sf):
 
 
 ATT = f"""(SELECT event_id, 'src' || (user_id % 7) AS source, 'ad' || (user_id % 3) AS adapter, {STATUS_SQL} AS status, {STATUS_SQL} = 'success' AS success,
-    CAST(round(value * 10) AS BIGINT) AS latency_ms, ts AS at, CASE k % 5 WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN 403 END AS http_status,
+    CAST(round(value * 10) AS BIGINT) AS latency_ms, ts AS at_ts, CASE k % 5 WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN 403 END AS http_status,
     CASE WHEN k % 3 = 0 THEN 'dead_proxy' ELSE 'none' END AS network FROM (SELECT *, CAST(props->>'$.k' AS INTEGER) AS k FROM events))"""
 
 
@@ -218,13 +218,13 @@ def _(spark, sf):
 
 @query("A33_adapter_stats", f"""
   SELECT source, adapter, count(*) FILTER (success) AS success_count, count(*) FILTER (NOT success AND status <> 'no_results') AS failure_count,
-    round(avg(latency_ms) FILTER (success OR status <> 'no_results'), 6) AS average_latency_ms, epoch_us(max(at) FILTER (success)) AS last_success_us,
-    epoch_us(max(at) FILTER (NOT success AND status <> 'no_results')) AS last_failure_us, arg_max(status, at) FILTER (NOT success) AS last_failure_kind
+    round(avg(latency_ms) FILTER (success OR status <> 'no_results'), 6) AS average_latency_ms, epoch_us(max(at_ts) FILTER (success)) AS last_success_us,
+    epoch_us(max(at_ts) FILTER (NOT success AND status <> 'no_results')) AS last_failure_us, arg_max(status, at_ts) FILTER (NOT success) AS last_failure_kind
   FROM {ATT} GROUP BY ALL""")
 def _(spark, sf):
     s = op.adapter_stats(attempts(spark, sf))
-    return s.select("source", "adapter", "success_count", "failure_count", "average_latency_ms", F.unix_micros("last_success_at").alias("last_success_us"),
-                    F.unix_micros("last_failure_at").alias("last_failure_us"), "last_failure_kind")
+    return s.select("source", "adapter", "success_count", "failure_count", "average_latency_ms", F.unix_micros(F.col("last_success_at").cast("timestamp")).alias("last_success_us"),
+                    F.unix_micros(F.col("last_failure_at").cast("timestamp")).alias("last_failure_us"), "last_failure_kind")
 
 
 @query("A36_platform_status", """
@@ -250,7 +250,7 @@ def _(spark, sf):
 
 
 @query("T4s_daily_quota", f"""
-  SELECT source, CAST(at AS DATE) AS day, count(*) AS n, count(*) >= 50 AS exhausted FROM {ATT} GROUP BY ALL""")
+  SELECT source, CAST(at_ts AS DATE) AS day, count(*) AS n, count(*) >= 50 AS exhausted FROM {ATT} GROUP BY ALL""")
 def _(spark, sf):
     return op.daily_requests(attempts(spark, sf), F.lit(50))
 
@@ -258,7 +258,7 @@ def _(spark, sf):
 @query("T6s_running_stats", f"""
   SELECT source, adapter, day, CAST(sum(n) OVER w AS BIGINT) AS n_so_far, round(sum(ok) OVER w / sum(n) OVER w, 6) AS success_share,
          round(sum(latency) OVER w / sum(n) OVER w, 6) AS mean_latency
-  FROM (SELECT source, adapter, CAST(at AS DATE) AS day, count(*) FILTER (success) AS ok, count(*) AS n, sum(latency_ms) AS latency FROM {ATT} GROUP BY ALL)
+  FROM (SELECT source, adapter, CAST(at_ts AS DATE) AS day, count(*) FILTER (success) AS ok, count(*) AS n, sum(latency_ms) AS latency FROM {ATT} GROUP BY ALL)
   WINDOW w AS (PARTITION BY source, adapter ORDER BY day ROWS UNBOUNDED PRECEDING)""")
 def _(spark, sf):
     return op.running_stats(attempts(spark, sf))

@@ -15,7 +15,7 @@ from .index_family import TRAVEL, frames
 from .registry import query
 from .sqltext import CELL as CELL_SQL
 from .sqltext import sql
-from .stage_zero import cleaned, decomposed
+from .stage_zero import decomposed, stored_quotes
 
 # Event type -> ledger outcome.
 OUTCOMES = {"view": "OK", "click": "OK", "error": "HARD_BLOCK", "signup": "ROBOTS_BLOCKED", "purchase": "CIRCUIT_OPEN"}
@@ -229,7 +229,7 @@ def _(spark, sf):
     from ..session import work_dir
     from ..sources.quotes import scan_quotes
     path = work_dir(spark, "quotes")
-    cleaned(spark, sf).select("route", "disposition", "price_T", "collected_date").write.partitionBy("collected_date").parquet(path)
+    stored_quotes(spark, sf).select("route", "disposition", "price_T", "collected_date").write.partitionBy("collected_date").parquet(path)
     return scan_quotes(spark, path, publishable_only=True).groupBy("disposition", "route").agg(F.count(F.lit(1)).alias("n"))
 
 

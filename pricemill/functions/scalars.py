@@ -6,9 +6,14 @@ from pyspark.sql import Column, functions as F
 
 EARTH_RADIUS_KM = 6371.0088
 
-# Textual forms accepted for dates, in order of trial.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "dd/MM/yyyy", "yyyyMMdd",
-                "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss")
+# Shapes accepted for dates, month abbreviations, largest plausible amount.
+DATE_SHAPES = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy"),
+    (r"^\d{8}", "yyyyMMdd"),
+)
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 MONEY_CEILING = 10_000_000
 
@@ -38,13 +43,13 @@ def parse_money(text: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """First matching format on the shortest sensible prefix."""
+    """Date at the head of the text; the shape picks the format, so no format is tried in vain."""
     t = F.trim(text)
-    attempts = []
-    for chunk in (F.substring(t, 1, 10), F.substring(t, 1, 8), F.substring(t, 1, 16), F.substring(t, 1, 19), t):
-        for fmt in DATE_FORMATS:
-            attempts.append(F.to_date(F.try_to_timestamp(chunk, F.lit(fmt))))
-    return F.coalesce(*attempts)
+    out = None
+    for shape, fmt in DATE_SHAPES:
+        day = F.to_date(F.try_to_timestamp(F.regexp_extract(t, shape, 0), F.lit(fmt)))
+        out = F.when(t.rlike(shape), day) if out is None else out.when(t.rlike(shape), day)
+    return out
 
 
 def parse_time(text: Column) -> Column:

@@ -152,16 +152,42 @@ def cross_source(df: DataFrame, price: str = "price_T", limit: float = 5.0) -> D
                   F.coalesce(seen <= limit, F.lit(True)), F.round(seen, 3))
 
 
+def row_checks(df: DataFrame) -> DataFrame:
+    """Every check that is one aggregate over rows, from a single scan."""
+    pub = F.col("disposition").isin(PUBLISHABLE)
+    has_fares = {"base_fare", "total_fare"} <= set(df.columns)
+    has_parts = {*COMPONENTS, "total_fare"} <= set(df.columns)
+    good = (F.col("base_fare") > 0) & (F.col("base_fare") < F.col("total_fare")) if has_fares else F.lit(True)
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in COMPONENTS), F.lit(0.0)) if has_parts else F.lit(0.0)
+    gap = F.abs(F.col("total_fare") - total) if has_parts else F.lit(0.0)
+
+    def outside(column: str, allowed: Sequence[str]) -> Column:
+        return F.countDistinct(F.when(~F.col(column).isin(list(allowed)), F.col(column)))
+
+    one = df.agg(
+        F.count(F.lit(1)).alias("n"), outside("disposition", DISPOSITIONS).alias("bad_disposition"),
+        outside("cabin", CABINS).alias("bad_cabin"), F.count_if(pub & ~F.coalesce(good, F.lit(False))).alias("bad_range"),
+        F.round(F.coalesce(F.max(F.when(pub, gap)), F.lit(0.0)), 4).alias("worst_gap"))
+    rows = [
+        ("completeness", "batch_non_empty", F.col("n") > 0, F.col("n")),
+        ("schema", "disposition_domain", F.col("bad_disposition") == 0, F.col("bad_disposition")),
+        ("schema", "cabin_domain", F.col("bad_cabin") == 0, F.col("bad_cabin")),
+    ]
+    if has_fares:
+        rows.append(("range", "0_lt_base_lt_total", F.col("bad_range") == 0, F.col("bad_range")))
+    if has_parts:
+        rows.append(("arithmetic", "components_resum_to_total", F.col("worst_gap") <= 1.0, F.col("worst_gap")))
+    listed = F.array(*[F.struct(F.lit(c).alias("check_class"), F.lit(n).alias("check_name"), F.lit(BLOCK).alias("severity"),
+                                p.alias("passed"), o.cast("double").alias("observed")) for c, n, p, o in rows])
+    return one.select(F.explode(listed).alias("_c")).select("_c.*")
+
+
 def contract(df: DataFrame, basket: DataFrame | None = None, ledger: DataFrame | None = None) -> DataFrame:
     """All checks that the batch has columns for, as one table."""
     schema = required_columns(df)
     if any(c not in df.columns for c in (*REQUIRED_QUOTE_COLUMNS, "disposition")):
         return schema
-    checks = [schema, non_empty(df), disposition_domain(df), cabin_domain(df)]
-    if {"base_fare", "total_fare"} <= set(df.columns):
-        checks.append(fare_range(df))
-    if {*COMPONENTS, "total_fare"} <= set(df.columns):
-        checks.append(component_sum(df))
+    checks = [schema, row_checks(df)]
     if "source" in df.columns:
         checks.append(unique_key(df))
     if basket is not None:

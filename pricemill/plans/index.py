@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import aggregate, bootstrap, elementary, prepare
 from ..params import OMEGA_PRESETS, Method
+from ..session import materialise
 
 
 @dataclass(frozen=True)
@@ -48,6 +49,9 @@ def compute(quotes: DataFrame, weights: Weights, method: Method = Method()) -> I
     raw = elementary.cells(rel, n_min=method.n_min, adjust=method.availability_adjustment)
     cells = aggregate.smooth(raw, window=method.dow_window if method.smoothing else 1)
     omega = weights.omega.where(F.col("omega_preset") == method.omega_preset)
+    if method.bootstrap_draws > 0:
+        # Both feed several branches below and are tiny beside the quotes.
+        blocks, cells = materialise(blocks, "blocks"), materialise(cells, "cells")
 
     by_route = aggregate.carrier_stage(cells, weights.carriers)
     by_apw = aggregate.route_stage(by_route, weights.routes)

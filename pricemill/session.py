@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime planning is what replaces hand-placed hints: join sides are measured before they are
 # broadcast, hot partitions are split, small ones are merged.
@@ -51,3 +51,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(os.path.join(root, "rdd"))
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    For results that several later steps read: the lineage ends at a table that outlives executors,
+    and its measured size informs the joins that follow.
+    """
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
