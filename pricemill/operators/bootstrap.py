@@ -15,6 +15,9 @@ from ..schemas import CELL
 from .elementary import blend
 
 
+DRAWS_PER_BLOCK = 25
+
+
 def hashed_pick(seed: int, parts: Sequence[Column], n: Column) -> Column:
     text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
@@ -29,8 +32,16 @@ def resample(blocks: DataFrame, group: Sequence[str], order: Sequence[str], sums
         blocks.withColumn("_i", (F.row_number().over(w.orderBy(*order)) - 1).cast("long"))
         .withColumn("_n", F.count(F.lit(1)).over(w))
     )
+    # Spread the draws before they are multiplied out: a few flights times many draws is many rows.
+    tasks = blocks.sparkSession.sparkContext.defaultParallelism
+    starts = F.sequence(F.lit(0), F.lit(draws - 1), F.lit(DRAWS_PER_BLOCK))
+    spread = (
+        numbered.select(*group, F.col("_i").alias("_slot"), "_n", F.explode(starts).alias("_start"))
+        .repartition(tasks, *group, "_start")
+    )
+    last = F.least(F.col("_start") + DRAWS_PER_BLOCK - 1, F.lit(draws - 1))
     slots = (
-        numbered.select(*group, F.col("_i").alias("_slot"), "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+        spread.select(*group, "_slot", "_n", F.explode(F.sequence(F.col("_start"), last)).alias("draw"))
         .withColumn("_i", hashed_pick(seed, [*[F.col(g) for g in group], F.col("draw"), F.col("_slot")], F.col("_n")))
     )
     return (

@@ -43,8 +43,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def retail_quotes(spark: SparkSession, sf_dir: str, grain: str = "quarter") -> DataFrame:
-    """One row per line item in quote form; no join here carries a hint, sizes decide."""
-    line = table(spark, sf_dir, "lineitem")
+    """One row per line item in quote form."""
+    return quote_view(table(spark, sf_dir, "lineitem"), spark, sf_dir, grain)
+
+
+def quote_view(line: DataFrame, spark: SparkSession, sf_dir: str, grain: str = "quarter") -> DataFrame:
+    """Quote form of line items, batch or stream; no join here carries a hint, sizes decide."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     where = (
         table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
