@@ -153,6 +153,8 @@ def fit(obs: DataFrame, by: Sequence[str] = (), effects: Sequence[str] = ("route
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not (pdf["part"] == "xx").any():
+            return pd.DataFrame(columns=[*by, *[c.split(" ")[0] for c in SUMMARY.split(", ")]])
         g = float(pdf.loc[pdf["part"] == "g", "s"].iloc[0])
         names, xx, xy, yy, inv, beta, meat_matrix = _matrices(pdf[pdf["part"] != "g"])
         n, k = xx[0, 0], len(names)
