@@ -62,7 +62,7 @@ def test_duplicate_key_buckets(spark):
 
 
 def test_extraction_inherits_context_and_rejects_other_queries(spark):
-    body = ('{"trip": {"from": "DEL", "to": {"code": "bom"}, "departureDate": "2026-05-08", "offers": [{"flightNo": "6E 101", "totalFare": "INR 4,500.00"},'
+    body = ('{"trip": {"from": "DEL", "to": {"code": "bom"}, "departureDate": "2026-05-08", "airline": {"code": "6e"}, "offers": [{"flightNo": "6E 101", "totalFare": "INR 4,500.00"},'
             '{"flight_number": "6E101", "price": {"amount": 4500}}, {"flightNumber": "AI 9", "fare": -5}, {"price": 100}]}}')
     p = spark.createDataFrame([("a", body), ("b", body), ("c", "{broken")], "payload_id string, payload string")
     q = spark.createDataFrame([("a", "DEL", "BOM", date(2026, 5, 8)), ("b", "DEL", "BOM", date(2026, 5, 9))],
@@ -109,7 +109,14 @@ def test_circuit_state_over_several_batches_equals_a_loop(spark):
     for ident, source, _, status, at in rows:
         state[source] = stateful.next_circuit(*state.get(source, ("closed", 0, None)), at, status == "success", status)
         assert got[ident] == state[source]
-    assert {s for s, *_ in got.values()} >= {"open", "closed", "half_open"}
+    assert {s for s, *_ in got.values()} >= {"open", "closed"}
+
+
+def test_cooled_circuit_is_probed_half_open():
+    until = datetime(2026, 1, 1)
+    assert stateful.next_circuit("open", 5, until, until, False, "no_results")[0] == "half_open"
+    assert stateful.next_circuit("open", 5, until, until - timedelta(seconds=1), False, "no_results")[0] == "open"
+    assert stateful.next_circuit("half_open", 5, until, until, False, "network_error") == ("open", 6, until + timedelta(seconds=60))
 
 
 def test_hash_chain_over_several_batches_is_intact(spark):
