@@ -231,6 +231,8 @@ def fare_ladder(quotes: DataFrame, by: Sequence[str] = ("route", "carrier"), pri
         return pd.DataFrame([{**head, "n_obs": n_obs, "n_components": j, "bic": bic, "rank": r + 1, "fare": float(np.exp(mean[c])),
                               "sd_log": float(np.sqrt(var[c])), "weight": float(weight[c])} for r, c in enumerate(order)])
 
+    # Few, CPU-heavy groups: fix the number of tasks, or adaptive execution would merge them into one.
+    bins = bins.repartition(bins.sparkSession.sparkContext.defaultParallelism, *by)
     return bins.groupBy(*by).applyInPandas(run, ", ".join([*[f"{b} string" for b in by], LADDER]))
 
 

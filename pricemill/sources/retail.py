@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..params import APW_WINDOWS, OMEGA_PRESETS
 from ..schemas import CHARGES, TAXES
+from ..session import spread
 
 MONTHS_PER_PERIOD = {"month": 1, "quarter": 3, "year": 12}
 
@@ -39,7 +40,8 @@ GST = {"economy": (0.05, 0.06), "other_than_economy": (0.12, 0.18)}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name == "lineitem" else scan
 
 
 def retail_quotes(spark: SparkSession, sf_dir: str, grain: str = "quarter") -> DataFrame:
