@@ -267,8 +267,9 @@ def _(spark, sf):
   SELECT b.route, stratum, km, count(q.route) AS n FROM d_basket b LEFT JOIN d_km USING (route) LEFT JOIN quotes q USING (route) GROUP BY ALL""",
                              "d_basket", "d_km", "quotes"))
 def _(spark, sf):
-    return (R.basket(spark).join(R.distances(spark), "route", "left").join(R.retail_quotes(spark, sf).select("route", F.lit(1).alias("one")), "route", "left")
-            .groupBy("route", "stratum", "km").agg(F.count("one").alias("n")))
+    seen = R.retail_quotes(spark, sf).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+    return (R.basket(spark).join(R.distances(spark), "route", "left").join(seen, "route", "left")
+            .select("route", "stratum", "km", F.coalesce("n", F.lit(0).cast("long")).alias("n")))
 
 
 @query("A34_run_hash", sql("""

@@ -104,16 +104,16 @@ def _(spark, sf):
 
 
 @query("T7s_stream_hash_chain", """
-  WITH RECURSIVE ev AS (SELECT 'src' || (user_id % 7) AS source, event_id, CAST(to_json({'event_id': event_id, 'event_type': event_type}) AS VARCHAR) AS body,
-      row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id) AS rn FROM events),
-  chain AS (SELECT source, rn, sha256(repeat('0', 64) || body) AS h FROM ev WHERE rn = 1
-    UNION ALL SELECT e.source, e.rn, sha256(c.h || e.body) FROM chain c JOIN ev e ON e.source = c.source AND e.rn = c.rn + 1)
-  SELECT source, count(*) AS n_records, 0::BIGINT AS n_broken, CAST(NULL AS BIGINT) AS first_broken_seq, arg_max(h, rn) AS tip_hash FROM chain GROUP BY 1""")
+  WITH RECURSIVE ev AS (SELECT 'src' || (user_id % 7) AS source, event_id % 16 AS lane, event_id, CAST(to_json({'event_id': event_id, 'event_type': event_type}) AS VARCHAR) AS body,
+      row_number() OVER (PARTITION BY user_id % 7, event_id % 16 ORDER BY event_id) AS rn FROM events),
+  chain AS (SELECT source, lane, rn, sha256(repeat('0', 64) || body) AS h FROM ev WHERE rn = 1
+    UNION ALL SELECT e.source, e.lane, e.rn, sha256(c.h || e.body) FROM chain c JOIN ev e ON e.source = c.source AND e.lane = c.lane AND e.rn = c.rn + 1)
+  SELECT source, lane, count(*) AS n_records, 0::BIGINT AS n_broken, CAST(NULL AS BIGINT) AS first_broken_seq, arg_max(h, rn) AS tip_hash FROM chain GROUP BY ALL""")
 def _(spark, sf):
     records = event_stream(spark, sf).select(
         F.concat(F.lit("src"), (F.col("user_id") % 7).cast("string")).alias("source"), "event_id", canonical_json("event_id", "event_type").alias("body"))
     chained = runs.run_to_table(stateful.hash_chain(records), "chain")
-    return lg.chain_summary(chained, F.col("body"), ["source"], per_bucket=500)
+    return lg.chain_summary(chained, F.col("body"), ["source", "lane"], per_bucket=500)
 
 
 @query("T8s_incremental_republish", sql("""

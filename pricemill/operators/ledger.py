@@ -91,4 +91,4 @@ def behind_every_number(quotes: DataFrame, basis: str) -> DataFrame:
 
 def ledger_segment(ledger: DataFrame, quotes: DataFrame) -> DataFrame:
     """Ledger records that at least one of the quotes points at."""
-    return ledger.join(quotes.select("provenance_id"), "provenance_id", "left_semi")
+    return ledger.join(quotes.select("provenance_id").distinct(), "provenance_id", "left_semi")

@@ -125,16 +125,17 @@ def identity_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumn("identity_hash", F.sha2(canonical_json(*columns), 256))
 
 
-def duplicate_pointers(df: DataFrame, key: str = "duplicate_key", at: str = "collected_at", ident: str = "observation_id") -> DataFrame:
+def duplicate_pointers(df: DataFrame, key: str = "duplicate_key", at: str = "collected_at", ident: str = "observation_id",
+                       slice_seconds: int = 900) -> DataFrame:
     """First and previous observation of the same key, by collection time.
 
     A key may be held by very many copies: the first comes from a partial aggregate, the previous
-    from a look-back evaluated day by day.
+    from a look-back evaluated one time slice after the other.
     """
     first = df.groupBy(key).agg(F.min(F.struct(F.col(at), F.col(ident))).alias("_first"))
-    day = F.unix_date(F.to_date(at))
+    slices = F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / slice_seconds)
     return (
-        split_lag(df, [key], [at, ident], ident, "supersedes_id", day)
+        split_lag(df, [key], [at, ident], ident, "supersedes_id", slices)
         .join(first, key)
         .withColumn("duplicate_of_id", F.when(F.col("_first")[ident] != F.col(ident), F.col("_first")[ident]))
         .drop("_first")

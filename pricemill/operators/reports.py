@@ -80,7 +80,8 @@ def coverage_rollup(basket: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def uncollected_routes(basket: DataFrame, quotes: DataFrame) -> DataFrame:
-    return basket.select("route").subtract(quotes.select("route"))
+    # The seen side is folded to its few routes before it meets the basket.
+    return basket.select("route").subtract(quotes.select("route").distinct())
 
 
 def source_outcomes(ledger: DataFrame) -> DataFrame:

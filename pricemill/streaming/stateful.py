@@ -70,11 +70,17 @@ def circuit_states(stream: DataFrame) -> DataFrame:
         run, CIRCUIT_OUT, CIRCUIT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-CHAIN_OUT = "source string, seq long, event_id long, body string, prev_hash string, this_hash string"
+CHAIN_OUT = "source string, lane long, seq long, event_id long, body string, prev_hash string, this_hash string"
+LANES = 16
 
 
-def hash_chain(stream: DataFrame) -> DataFrame:
-    """Append each record to the chain of its source; input needs source, event_id and body."""
+def hash_chain(stream: DataFrame, lanes: int = LANES) -> DataFrame:
+    """Append each record to a chain of its source; input needs source, event_id and body.
+
+    A chain is serial, so a source has several lanes, each with its own chain: one source holding
+    most of the records still spreads over that many tasks. A trigger should be bounded by
+    ``files_per_trigger``, since a lane's records of one trigger are ordered together.
+    """
     def run(key, batches, state: GroupState):
         seq, tip = tuple(state.get) if state.exists else (0, GENESIS)
         rows = pd.concat(list(batches)).sort_values("event_id")
@@ -82,9 +88,10 @@ def hash_chain(stream: DataFrame) -> DataFrame:
         for ident, body in zip(rows["event_id"], rows["body"]):
             this = hashlib.sha256((tip + body).encode()).hexdigest()
             seq += 1
-            out.append((key[0], seq, ident, body, tip, this))
+            out.append((*key, seq, ident, body, tip, this))
             tip = this
         state.update((seq, tip))
-        yield pd.DataFrame(out, columns=["source", "seq", "event_id", "body", "prev_hash", "this_hash"])
+        yield pd.DataFrame(out, columns=["source", "lane", "seq", "event_id", "body", "prev_hash", "this_hash"])
 
-    return stream.groupBy("source").applyInPandasWithState(run, CHAIN_OUT, "seq long, tip string", "append", GroupStateTimeout.NoTimeout)
+    laned = stream.withColumn("lane", F.pmod("event_id", F.lit(lanes)).cast("long"))
+    return laned.groupBy("source", "lane").applyInPandasWithState(run, CHAIN_OUT, "seq long, tip string", "append", GroupStateTimeout.NoTimeout)
