@@ -34,6 +34,7 @@ HEADLINE = [
 
 def main() -> None:
     from pricemill.catalog import QUERIES
+    from pricemill.catalog.stage_zero import stored_quotes
     from pricemill.session import local_session
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -41,6 +42,10 @@ def main() -> None:
     # Start-up of the JVM and of one Python worker is not part of any query.
     QUERIES["A15_geometric_mean"](spark, sf_dir).collect()
     times: dict[str, float] = {}
+    # Queries on cleaned quotes read a stored table; writing it once is timed as a step of its own.
+    start = time.perf_counter()
+    stored_quotes(spark, sf_dir)
+    times["clean_and_store_quotes"] = round(time.perf_counter() - start, 3)
     for name in HEADLINE:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
