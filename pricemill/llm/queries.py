@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, quality, sharding
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
+    "op6_weak_quality": quality.op6,
     "op10_jump_shards": sharding.op10,
 }
 
