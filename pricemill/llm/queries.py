@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language, mixing, pieces, quality, secret_scan, sharding
+from . import language, lm_score, mixing, pieces, quality, secret_scan, sharding
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
     "op4_sampled_pieces": pieces.op4,
+    "op5_lattice_scores": lm_score.op5,
     "op6_weak_quality": quality.op6,
     "op8_secret_scan": secret_scan.op8,
     "op9_language_id": language.op9,
