@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language, lm_score, mixing, pieces, quality, secret_scan, sharding
+from . import fingerprints, language, lm_score, mixing, pieces, quality, secret_scan, sharding, substrings
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_sampled_pieces": pieces.op4,
     "op5_lattice_scores": lm_score.op5,
     "op6_weak_quality": quality.op6,
+    "op7_cover_dedup": substrings.op7,
     "op8_secret_scan": secret_scan.op8,
     "op9_language_id": language.op9,
     "op10_jump_shards": sharding.op10,
