@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language, lm_score, mixing, pieces, quality, secret_scan, sharding, substrings
+from . import fingerprints, jaccard_join, language, lm_score, mixing, pieces, quality, secret_scan, sharding, substrings
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
+    "op2_jaccard_join": jaccard_join.op2,
     "op3_fingerprints": fingerprints.op3,
     "op4_sampled_pieces": pieces.op4,
     "op5_lattice_scores": lm_score.op5,
