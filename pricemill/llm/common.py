@@ -48,3 +48,12 @@ def ordinals(df: DataFrame, order: list[str], within: list[str], into: str, purp
     offsets = materialise(counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))), f"{purpose}-ranges")
     joined = placed.withColumn("_p", part).join(offsets, [F.col("_p") == F.col("_part"), *same], "left")
     return joined.select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_base")).alias(into))
+
+
+# Most bytes of a side that is sent to every task.
+BROADCAST_BYTES = 32 << 20
+
+
+def sent_if_small(side: DataFrame, row_bytes: int) -> DataFrame:
+    """``side``, a stored table, marked for broadcast if its counted rows stay below ``BROADCAST_BYTES``."""
+    return F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side

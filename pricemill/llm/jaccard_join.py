@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pricemill.session import materialise
 
 from .bytework import BASE_A, BASE_B, SMALL, Rolling, mixed, rounds, run_starts, word_hashes, words
-from .common import documents
+from .common import documents, sent_if_small
 from .graph import components
 
 N, SHARE = 3, 90
@@ -291,7 +291,7 @@ def join_components(docs: DataFrame, n: int = N, share: int = SHARE, **task) ->
     clusters = components(least, "candidates")
     members = clusters.join(first.select(F.col("rep").alias("node"), "n"), "node").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), "n")
     tasks = materialise(product_tasks(materialise(members, "members"), share, **task), "product-tasks")
-    sets = keyed.join(tasks, "doc_id").mapInArrow(_sets(n), "doc_id long, tasks array<struct<task:long,side:int>>, grams binary")
+    sets = keyed.join(sent_if_small(tasks, 80), "doc_id").mapInArrow(_sets(n), "doc_id long, tasks array<struct<task:long,side:int>>, grams binary")
     dealt = sets.select("doc_id", "grams", F.explode("tasks").alias("t")).select("t.task", "t.side", "doc_id", "grams")
     links = dealt.repartition("task").sortWithinPartitions("task", "side", "doc_id").mapInArrow(_links(share), "a long, b long")
     # Rows of one id that hold several sets make these sets one node.
@@ -303,6 +303,21 @@ def join_components(docs: DataFrame, n: int = N, share: int = SHARE, **task) ->
     return marks.join(owner, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
+    """``docs`` without all documents of a component but the one with the smallest id.
+
+    Of rows that share an id, the one with the smallest text (null first) stays. Rows without id all stay.
+    """
+    classes = join_components(docs, n, share)
+    gone = materialise(classes.filter("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    twice = materialise(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
+    left = docs.join(sent_if_small(gone, 32), "doc_id", "left_anti")
+    plain = left.join(sent_if_small(twice, 32), "doc_id", "left_anti")
+    first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]])
+    repeated = left.join(sent_if_small(twice, 32), "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    return plain.unionByName(repeated).select(*docs.columns)
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and near-duplicate component of every document."""
     return join_components(documents(spark, sf_dir))
