@@ -39,6 +39,23 @@ def rounds(column: pa.Array, limit: int = ROUND) -> Iterator[tuple[int, int, np.
         i = j
 
 
+def whole_groups(batches, same) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by a key, cut anew so that no key is split; ``same(batch)`` tells where a key begins."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        joined = pa.concat_batches(held) if len(held) > 1 else batch
+        begin = same(joined)
+        last = int(begin[-1])
+        if last:
+            yield joined.slice(0, last)
+        held = [joined.slice(last)]
+    if held:
+        yield pa.concat_batches(held)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_1)

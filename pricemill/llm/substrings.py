@@ -7,7 +7,7 @@ positions is enough: every common window holds a hashed run that both documents
 
 1. Anchors: the runs' hashes of every document, once per document.
 2. Anchors that two documents share are looked up by hash, and returned to their documents.
-3. Extension: only windows around a shared anchor are hashed whole, with 128 bits, and the smallest
+3. Extension: only windows around a shared anchor are hashed whole, with 96 bits, and the smallest
    document that holds each of them is found.
 4. Words covered by a window that a smaller document holds are removed.
 
@@ -25,16 +25,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bytework import BASE_A, BASE_B, Rolling, mixed, rounds, run_starts, word_hashes, words
-from .common import documents
+from pricemill.session import materialise
+
+from .bytework import BASE_A, BASE_B, Rolling, mixed, rounds, run_starts, whole_groups, word_hashes, words
+from .common import documents, sent_if_small
 
 WINDOW = 50
 # A perfect difference set, every difference modulo 31 occurs.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 ANCHOR = WINDOW - PERIOD + 1
 LONE, NOTE, SETTLED = 0, 1, 2  # needs an answer; only tells others; answered in its batch
+SETTLED_BIT = 1 << 31
 
 
 class Hasher:
@@ -57,59 +61,90 @@ class Hasher:
         return self.by_byte.runs(prefix, at, at + ANCHOR), text, at
 
 
-def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts by the first key, then the next; and where groups of the first key begin."""
-    order = np.lexsort(keys[::-1])
-    first = keys[0][order]
-    return order, np.flatnonzero(np.append(True, first[1:] != first[:-1])) if len(order) else np.zeros(0, np.int64)
+def _begins(*keys: np.ndarray) -> np.ndarray:
+    """Where groups of equal keys begin in sorted rows."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _with_id(batches):
+    """Batches without the rows that have no id."""
+    for batch in batches:
+        ids = batch.column("doc_id")
+        yield batch.filter(pc.is_valid(ids)) if ids.null_count else batch
+
+
+def _own_place(doc: np.ndarray, place: np.ndarray) -> pa.Array:
+    """Places that differ from the id; null elsewhere, which costs no room in a shuffle."""
+    return pa.array(place, mask=place == doc)
 
 
 def _anchor_rows(batches):
-    """(key, doc, anchor, state): one row per anchor hash and document; see LONE, NOTE and SETTLED."""
+    """(key, doc, place, state): one row per anchor hash and document; see LONE, NOTE and SETTLED."""
     hasher = Hasher()
-    for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
-        hs, docs = [], []
+    for batch in _with_id(batches):
+        ids, places = batch.column("doc_id").to_numpy(), batch.column("place").to_numpy()
+        hs, rows = [], []
         for i, j, data, offsets in rounds(batch.column("text")):
             first, prefix, _ = hasher.read(data, offsets)
             h, text, _ = hasher.anchors(first, prefix)
             hs.append(h)
-            docs.append(ids[i:j][text])
+            rows.append(text + i)
         if not hs:
             continue
-        h, doc = np.concatenate(hs).view(np.int64), np.concatenate(docs)
-        order, _ = _grouped(h, doc)
-        h, doc = h[order], doc[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
-        h, doc = h[new], doc[new]
-        group = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        h, row = np.concatenate(hs).view(np.int64), np.concatenate(rows)
+        doc, place = ids[row], places[row]
+        order = np.lexsort((place, doc, h))
+        one = order[_begins(h[order], doc[order], place[order])]
+        h, doc, place = h[one], doc[one], place[one]
+        group = _begins(h)
         size = np.diff(np.append(group, len(h)))
-        several = np.repeat(size > 1, size)
-        lone, note = np.flatnonzero(~several), group[size > 1]
-        told = np.flatnonzero(several)
-        key = np.concatenate([h[lone], h[note], mixed((h[told] ^ doc[told]).view(np.uint64)).view(np.int64)])
-        pick = np.concatenate([lone, note, told])
-        state = np.repeat(np.array([LONE, NOTE, SETTLED], np.int8), [len(lone), len(note), len(told)])
-        yield pa.RecordBatch.from_pydict({"key": pa.array(key), "doc": pa.array(doc[pick]), "anchor": pa.array(h[pick]), "state": pa.array(state)})
+        some = (np.maximum.reduceat(doc, group) != np.minimum.reduceat(doc, group)) if len(h) else np.zeros(0, bool)
+        several = np.repeat(some, size)
+        pick = np.concatenate([np.flatnonzero(~several), group[some], np.flatnonzero(several)])
+        state = np.repeat(np.array([LONE, NOTE, SETTLED], np.int8), [int((~several).sum()), int(some.sum()), int(several.sum())])
+        yield pa.RecordBatch.from_pydict({"key": pa.array(h[pick]), "doc": pa.array(doc[pick]), "place": _own_place(doc[pick], place[pick]), "state": pa.array(state)})
+
+
+def _shared_rows(batches):
+    """(place, anchor) of anchors that two documents share; the rows of a key come together."""
+    for batch in whole_groups(batches, lambda b: _begins(b.column("key").to_numpy())):
+        key, doc, state = (batch.column(c).to_numpy() for c in ("key", "doc", "state"))
+        settled = state == SETTLED
+        rest = np.flatnonzero(~settled)
+        group = _begins(key[rest])
+        shared = np.zeros(0, bool)
+        if len(rest):
+            most, least = np.maximum.reduceat(doc[rest], group), np.minimum.reduceat(doc[rest], group)
+            told = np.maximum.reduceat(state[rest], group) == NOTE
+            shared = np.repeat((most != least) | told, np.diff(np.append(group, len(rest)))) & (state[rest] == LONE)
+        out = np.concatenate([np.flatnonzero(settled), rest[shared]])
+        yield pa.RecordBatch.from_pydict({"place": pc.coalesce(batch.column("place"), batch.column("doc")).take(pa.array(out)), "anchor": pa.array(key[out])})
 
 
 def shared_anchors(docs: DataFrame) -> DataFrame:
-    """doc_id and its anchor hashes that another document has too."""
-    rows = docs.mapInArrow(_anchor_rows, "key long, doc long, anchor long, state byte")
-    # A hash has at most one row per batch here.
-    by = Window.partitionBy("key", "settled")
-    answered = rows.withColumn("settled", F.col("state") == SETTLED).select(
-        "doc", "anchor", "state", F.min("doc").over(by).alias("least"), F.max("doc").over(by).alias("most"), F.max("state").over(by).alias("told"))
-    shared = answered.filter((F.col("state") == SETTLED) | (
-        (F.col("state") == LONE) & ((F.col("least") != F.col("most")) | (F.col("told") == NOTE))))
-    return shared.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("anchor").alias("anchors"))
+    """place and the anchor hashes that another document has too."""
+    rows = docs.mapInArrow(_anchor_rows, "key long, doc long, place long, state byte")
+    # A hash has at most one row per batch, and those settled there go anywhere.
+    dealt = rows.repartition(F.when(F.col("state") == SETTLED, F.xxhash64("doc")).otherwise(F.col("key"))).sortWithinPartitions("key")
+    shared = dealt.mapInArrow(_shared_rows, "place long, anchor long")
+    return shared.groupBy("place").agg(F.collect_list("anchor").alias("anchors"))
 
 
 def _window_rows(batches):
-    """(h1, h2, doc, at, runs, state): windows around shared anchors; settled ones as runs of window starts."""
+    """(key, rest, doc, place): windows around shared anchors, and settled ones as runs of window starts.
+
+    ``rest`` holds 32 bits more of a window's hash, or the length of a settled run; then one bit that
+    tells which; then the window's first word.
+    """
     hasher = Hasher()
-    for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
+    for batch in _with_id(batches):
+        ids, places = batch.column("doc_id").to_numpy(), batch.column("place").to_numpy()
         parts = []
         for i, j, data, offsets in rounds(batch.column("text")):
             first, prefix, second = hasher.read(data, offsets)
@@ -127,27 +162,50 @@ def _window_rows(batches):
             keep = np.cumsum(step)[start] > 0
             start, owner = start[keep], owner[keep]
             parts.append((hasher.by_byte.runs(prefix, start, start + WINDOW), hasher.other.runs(second, start, start + WINDOW),
-                          ids[i:j][owner], start - first[:-1][owner]))
+                          owner + i, start - first[:-1][owner]))
         if not parts:
             continue
-        h1, h2, doc, at = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((at, doc, h2, h1))
-        h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
+        h1, h2, row, at = (np.concatenate(x) for x in zip(*parts))
+        h2 >>= np.uint64(32)
+        order = np.lexsort((at, row, h2, h1))
+        h1, h2, row, at = h1[order], h2[order], row[order], at[order].astype(np.uint64)
+        doc, place = ids[row], places[row]
         if not len(h1):
             continue
-        group = np.flatnonzero(np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
-        least = np.repeat(doc[group], np.diff(np.append(group, len(h1))))
+        group = _begins(h1, h2)
+        least = np.repeat(np.minimum.reduceat(doc, group), np.diff(np.append(group, len(h1))))
         open_, told = np.flatnonzero(doc == least), np.flatnonzero(doc > least)
-        told = told[np.lexsort((at[told], doc[told]))]
-        d, a = doc[told], at[told]
-        head = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1))) if len(d) else np.zeros(0, np.int64)
-        length = np.diff(np.append(head, len(d)))
-        salt = mixed(d[head].astype(np.uint64) ^ mixed(a[head].astype(np.uint64)))
+        told = told[np.lexsort((at[told], row[told]))]
+        a = at[told]
+        head = _begins(row[told], a - np.arange(len(a), dtype=np.uint64))
+        length = np.diff(np.append(head, len(a))).astype(np.uint64)
+        out = np.concatenate([open_, told[head]])
+        rest = np.concatenate([(h2[open_] << np.uint64(32)) | at[open_], (length << np.uint64(32)) | np.uint64(SETTLED_BIT) | a[head]])
+        yield pa.RecordBatch.from_pydict({
+            "key": pa.array(np.concatenate([h1[open_], np.zeros(len(head), np.uint64)]).view(np.int64)), "rest": pa.array(rest.view(np.int64)),
+            "doc": pa.array(doc[out]), "place": _own_place(doc[out], place[out])})
+
+
+def _later_rows(batches):
+    """(place, at, runs) of windows that a smaller document holds; the rows of a hash come together."""
+    def hashes(batch):
+        return batch.column("key").to_numpy(), batch.column("rest").to_numpy() >> 32
+
+    for batch in whole_groups(batches, lambda b: _begins(*hashes(b))):
+        key, high = hashes(batch)
+        rest, doc = batch.column("rest").to_numpy(), batch.column("doc").to_numpy()
+        settled = (rest & SETTLED_BIT) != 0
+        own = np.flatnonzero(~settled)
+        group = _begins(key[own], high[own])
+        later = np.zeros(0, np.int64)
+        if len(own):
+            least = np.repeat(np.minimum.reduceat(doc[own], group), np.diff(np.append(group, len(own))))
+            later = own[doc[own] > least]
+        told = np.flatnonzero(settled)
+        out = np.concatenate([told, later])
         yield pa.RecordBatch.from_pydict({
-            "h1": pa.array(np.concatenate([h1[open_], salt]).view(np.int64)), "h2": pa.array(np.concatenate([h2[open_], np.zeros(len(head), np.uint64)]).view(np.int64)),
-            "doc": pa.array(np.concatenate([doc[open_], d[head]])), "at": pa.array(np.concatenate([at[open_], a[head]]).astype(np.int32)),
-            "runs": pa.array(np.concatenate([np.ones(len(open_), np.int32), length.astype(np.int32)])),
-            "state": pa.array(np.repeat(np.array([LONE, SETTLED], np.int8), [len(open_), len(head)]))})
+            "place": pc.coalesce(batch.column("place"), batch.column("doc")).take(pa.array(out)), "at": pa.array((rest[out] & (SETTLED_BIT - 1)).astype(np.int32)),
+            "runs": pa.array(np.concatenate([high[told], np.ones(len(later), np.int64)]).astype(np.int32))})
 
 
 def _kept(batches):
@@ -174,22 +232,30 @@ def _kept(batches):
 
 
 def repeated_runs(keyed: DataFrame) -> DataFrame:
-    """doc_id and ``removed``: runs (at, runs) of window starts that a smaller document holds too."""
-    near = keyed.join(shared_anchors(keyed), "doc_id")
-    rows = near.mapInArrow(_window_rows, "h1 long, h2 long, doc long, at int, runs int, state byte")
-    by = Window.partitionBy("h1", "h2", "state")
-    later = rows.withColumn("least", F.min("doc").over(by)).filter((F.col("state") == SETTLED) | (F.col("doc") > F.col("least")))
-    return later.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("at", "runs")).alias("removed"))
+    """place and ``removed``: runs (at, runs) of window starts that a smaller document holds too."""
+    near = keyed.join(shared_anchors(keyed), "place")
+    rows = near.mapInArrow(_window_rows, "key long, rest long, doc long, place long")
+    settled = F.col("rest").bitwiseAND(SETTLED_BIT) != 0
+    dealt = rows.repartition(F.when(settled, F.xxhash64("doc", "rest")).otherwise(F.col("key"))).sortWithinPartitions("key", "rest")
+    later = dealt.mapInArrow(_later_rows, "place long, at int, runs int")
+    return later.groupBy("place").agg(F.collect_list(F.struct("at", "runs")).alias("removed"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """n_words, n_removed and kept_sha256 of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # One shuffle of the texts serves both joins by document.
-    keyed = docs.filter(F.col("doc_id").isNotNull()).repartition("doc_id")
-    marked = keyed.join(repeated_runs(keyed), "doc_id", "left")
-    bare = docs.filter(F.col("doc_id").isNull()).withColumn("removed", F.lit(None).cast("array<struct<at:int,runs:int>>"))
-    return marked.unionByName(bare).mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    twice = materialise(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("twice")), "repeated-ids")
+    # Where a row is looked up again: by its id; by id and text where an id has several rows; rows without id only by text.
+    # It is written so that it can't be null: else a join would filter its side, and the texts be shuffled twice.
+    place = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
+    if not twice.isEmpty():
+        docs = docs.join(sent_if_small(twice, 16), F.col("doc_id") == F.col("twice"), "left")
+        place = F.coalesce(F.when(F.col("twice").isNull(), F.col("doc_id")), F.xxhash64("doc_id", "text"))
+    docs = docs.select("doc_id", "text", place.alias("place"))
+    keyed = docs.repartition("place")  # one shuffle of the texts serves both joins by document
+    marked = keyed.join(repeated_runs(keyed), "place", "left")
+    return marked.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("removed")).alias("removed")).mapInArrow(
+        _kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
