@@ -3,7 +3,7 @@
 The hashes of a text's five-word shingles are dealt once into ``BINS`` bins by their upper bits, and
 each bin keeps its smallest hash. An empty bin borrows from a full one by optimal densification:
 bin i asks the bins in a random order of its own, the same for all texts, and takes the first full
-one. The low ``BITS`` bits of every bin are packed into one hex digit. Two fingerprints agree in a digit with
+one. The low ``BITS`` bits of every bin, stirred with its number, are packed into one hex digit. Two fingerprints agree in a digit with
 probability J + (1 - J) / 2 ** BITS, so the share of equal digits, corrected for that chance,
 estimates the Jaccard similarity J of the shingle sets.
 
@@ -25,7 +25,7 @@ from .common import documents
 
 SHINGLE, BINS, BITS = 5, 256, 4
 # Text that one range of neighbouring ids holds, and the most ranges: their ends are known to the driver.
-RANGE_BYTES, MOST_RANGES = 24 << 20, 20_000
+RANGE_BYTES, MOST_RANGES = 8 << 20, 20_000
 
 
 def bin_orders(bins: int = BINS) -> np.ndarray:
@@ -65,7 +65,9 @@ class Sketcher:
             ok = full[row, donor]
             least[row[ok], bin_[ok]] = least[row[ok], donor[ok]]
             row, bin_ = row[~ok], bin_[~ok]
-        out = (least & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+        # A text of few shingles has the same hash in many bins: each bin stirs it its own way.
+        stirred = mixed(least ^ mixed(np.arange(BINS, dtype=np.uint64))[None, :])
+        out = (stirred & np.uint64((1 << BITS) - 1)).astype(np.uint8)
         out[~some] = 0
         return out
 

@@ -83,7 +83,7 @@ class ContextTrees:
         bits = np.empty((len(states), self.width, len(languages)), np.float32)
         for x, name in enumerate(languages):
             bits[:, :, x] = self._code_lengths(table[name], states, number, parent, seen)
-        self.bits = bits.reshape(-1, len(languages))
+        self.bits = bits.reshape(len(states) * self.width, len(languages))
         self.short = np.zeros(1 << 16, np.int32)
         one = np.zeros(256, np.int32)
         for (n, c), i in number.items():

@@ -75,9 +75,10 @@ def plan_copies(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFr
 
 def mix(docs: DataFrame, seed: int = SEED, **deal) -> DataFrame:
     """The mixed corpus: every document repeated as often as the mix takes it; columns of ``docs``."""
-    planned = plan_copies(docs, materialise(source_targets(docs, **deal), "targets"), seed)
+    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"))  # whole, whatever its columns are called
+    planned = plan_copies(rows, materialise(source_targets(docs, **deal), "targets"), seed)
     taken = planned.filter(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return taken.select(*docs.columns)
+    return taken.select("_row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
