@@ -4,11 +4,12 @@ Rows of the matrix are documents, columns the hashes of their distinct word n-gr
 link when their overlap is at least ``SHARE`` percent of their union.
 
 1. Documents with the same set of n-grams are one row: the one with the smallest id stands for all.
-2. Column blocks: sets whose sizes allow a link differ in at most 2 / 19 of the larger size (for 90
-   percent), so if the columns are dealt into one block more than that, linked sets agree on at least one whole
-   block. Sizes are cut into classes; a set shows the contents of its blocks to its own class and to the
+2. Column blocks: sets that link differ in at most 1 / 19 of their sizes' sum (for 90 percent). The
+   columns are dealt into blocks by hash, so many that linked sets agree on a whole block that isn't empty:
+   the chance that they don't is below exp(-SURE) per pair at the very bound, as small as that of a
+   collision of hashes. Sizes are cut into classes; a set shows the contents of its blocks to its own class and to the
    next ones, and sets that show the same content are candidates. A block of many n-grams must agree as a
-   whole, so frequent n-grams alone make no candidates.
+   whole, so frequent n-grams and passages alone make few candidates.
 3. Row blocks: components of the candidates bound where links can be. Inside one, the product of the
    document by n-gram incidence with its transpose accumulates exact overlap counts, block of rows by block
    of rows; pairs below the bound that their sizes set are discarded. Every block leaves a spanning
@@ -24,6 +25,8 @@ a null doc_id links with nothing and has no component; an empty table gives no r
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -35,6 +38,7 @@ from .common import documents, sent_if_small
 from .graph import components
 
 N, SHARE = 3, 90
+SURE = 28.0
 # A task of the product holds at most about so many n-grams and documents on either side.
 TASK_GRAMS, TASK_DOCS = 2_000_000, 1_500
 
@@ -80,11 +84,22 @@ def size_classes(most: int, share: int = SHARE) -> np.ndarray:
     return np.array(out + [100 * out[-1] // share + 1, 100 * (100 * out[-1] // share + 1) // share + 1])
 
 
-def blocks_of(largest: int, share: int = SHARE) -> tuple[int, int]:
-    """Blocks for sets of up to ``largest`` n-grams, and how many of them may be empty without being shown."""
-    differ = 2 * largest - 2 * -(-2 * largest * share // (100 + share))  # most that linked sets may differ in
-    spare = 0 if largest < 20 else 1 if largest < 100 else 2
-    return differ + 1 + spare, spare
+def blocks_of(smallest: int, largest: int, share: int = SHARE) -> int:
+    """Blocks for sets of ``smallest`` to ``largest`` n-grams: the fewest for which linked sets surely agree on one.
+
+    ``differ`` n-grams of two sets at the bound and ``common`` ones fall on blocks at random. All blocks with
+    common n-grams are hit by a differing one with probability at most exp(-SURE).
+    """
+    def sure(n: int, k: int) -> float:
+        differ, common = 2 * n * (100 - share) // (100 + share), 2 * n * share // (100 + share)
+        if not differ or not common:
+            return math.inf
+        return -k * -math.expm1(-common / k) * math.log(-math.expm1(-differ / k))
+
+    k = 1
+    while min(sure(smallest, k), sure(largest, k)) < SURE:
+        k += max(1, k // 20)
+    return k
 
 
 def shown_blocks(h: np.ndarray, bounds: np.ndarray, share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
@@ -95,13 +110,12 @@ def shown_blocks(h: np.ndarray, bounds: np.ndarray, share: int = SHARE) -> tuple
     edges = size_classes(int(size.max()), share)
     class_ = np.searchsorted(edges, size, "right") - 1
     value = np.append(np.zeros(1, np.uint64), np.cumsum(mixed(h ^ np.uint64(0x5EED)), dtype=np.uint64))
-    plan = [blocks_of(int(edges[c + 2]) - 1, share) for c in range(len(edges) - 2)]
-    count, spare = (np.array([p[k] for p in plan]) for k in (0, 1))
+    top = int(class_.max()) + 1
+    count = np.array([blocks_of(int(edges[c]), int(edges[c + 2]) - 1, share) for c in range(top)])
     keys, owners = [], []
     for step in (-1, 0):  # with the class below, with the class above
         pair = class_ + step
         use = np.flatnonzero((size > 0) & (pair >= 0))
-        use = use[count[pair[use]] > 1]  # a single block is the whole set: those are one row already
         if not len(use):
             continue
         k = count[pair[use]]
@@ -115,9 +129,7 @@ def shown_blocks(h: np.ndarray, bounds: np.ndarray, share: int = SHARE) -> tuple
         owner = np.repeat(np.arange(len(use)), k)
         stop = np.cumsum(held) - np.repeat(np.append(0, np.cumsum(lengths))[:-1], k) + np.repeat(bounds[:-1][use], k)
         content = value[stop] - value[stop - held]
-        empty = held == 0
-        # An empty block is shown only by a set that has more of them than its class can spare.
-        show = ~empty | (np.bincount(owner, empty, len(use)) > spare[pair[use]])[owner]
+        show = held > 0
         place = (np.arange(begin[-1]) - begin[owner]).astype(np.uint64)
         key = mixed(content ^ mixed(place ^ (pair[use][owner].astype(np.uint64) << np.uint64(32))))
         keys.append(key[show])
