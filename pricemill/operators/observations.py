@@ -64,8 +64,8 @@ def validate(df: DataFrame, airports: DataFrame, carriers: DataFrame) -> DataFra
         "flags", F.concat("universe_flags", component_codes(), plausibility_codes())).drop("universe_flags")
 
 
-def validation_disposition(excluding: Sequence[str] = ("ZERO_FARE",)) -> Column:
-    """excluded, flagged or valid from the flags of a row."""
+def validation_disposition(excluding: Sequence[str] = ()) -> Column:
+    """excluded, flagged or valid from the flags of a row; no shipped code excludes by itself."""
     hit = F.exists("flags", lambda c: c.isin(list(excluding)))
     return F.when(hit, "excluded").when(F.size("flags") > 0, "flagged").otherwise("valid")
 
@@ -149,7 +149,10 @@ def latest_fares(df: DataFrame, identity: Sequence[str], at: str = "collected_at
 
 
 def newest(df: DataFrame, limit: int, at: str = "collected_at", tie: Sequence[str] = ()) -> DataFrame:
-    return df.orderBy(F.desc(at), *tie).limit(max(1, min(int(limit), 200)))
+    """The ``limit`` newest rows, for a report of at most 200."""
+    if not 1 <= int(limit) <= 200:
+        raise ValueError(f"limit must lie between 1 and 200, got {limit!r}")
+    return df.orderBy(F.desc(at), *tie).limit(int(limit))
 
 
 def of_job(observations: DataFrame, raw: DataFrame, job_id) -> DataFrame:
