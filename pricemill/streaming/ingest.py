@@ -4,18 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.observations import FRESHNESS_HOURS, is_stale
 from ..plans.index import Weights, compute
 from ..params import Method
+from ..session import materialise
 from ..sources.index_store import write_index_values
 from ..sources.quotes import append_quotes
 
 
-def suppress_duplicates(stream: DataFrame, key: str = "duplicate_key", at: str = "collected_at", hours: int = FRESHNESS_HOURS) -> DataFrame:
-    """Keep the first row of a key seen within the watermark; state older than it is dropped."""
-    return stream.withWatermark(at, f"{hours} hours").dropDuplicatesWithinWatermark([key])
+def suppress_sink(path: str, run: str, key: str = "duplicate_key", at: str = "collected_at") -> Callable[[DataFrame, int], None]:
+    """Keep the first row of a key, however late the others or itself arrive.
+
+    A key belongs to one day, as its time bucket is part of it, so a batch is compared only with the
+    stored days that it touches. ``run`` names the stream's checkpoint: a replayed batch of a run
+    overwrites its own folder.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        fresh = materialise(batch.withColumn("day", F.to_date(at)).dropDuplicates([key]), "batch")
+        fresh.drop("day").limit(0).write.mode("ignore").parquet(f"{path}/run=none/epoch=-1/day=1970-01-01")  # so that the first batch can read
+        days = [r["day"] for r in fresh.select("day").distinct().collect()]
+        parts = T.StructType([*fresh.schema.fields, T.StructField("run", T.StringType()), T.StructField("epoch", T.LongType())])
+        earlier = spark.read.schema(parts).parquet(path).where(F.col("day").isin(days) & ~((F.col("run") == run) & (F.col("epoch") == epoch)))
+        fresh.join(earlier.select(key), key, "left_anti").write.mode("overwrite").partitionBy("day").parquet(f"{path}/run={run}/epoch={epoch}")
+    return write
 
 
 def split_late(stream: DataFrame, now: str, hours: int = FRESHNESS_HOURS) -> tuple[DataFrame, DataFrame]:

@@ -16,13 +16,12 @@ FAILURE_THRESHOLD = 5
 COOLDOWN_SECONDS = 60
 
 
-def daily_counts(stream: DataFrame, at: str = "at", late: str = "36 hours") -> DataFrame:
-    """Requests per source and calendar day; emit in update mode."""
-    return (
-        stream.withWatermark(at, late).groupBy("source", F.window(at, "1 day"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("source", F.to_date("window.start").alias("day"), "n")
-    )
+def daily_counts(stream: DataFrame, at: str = "at") -> DataFrame:
+    """Requests per source and calendar day; emit in update mode.
+
+    No watermark: a late attempt still counts for its day. The state is one number per source and day.
+    """
+    return stream.groupBy("source", F.to_date(at).alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def adapter_totals(stream: DataFrame) -> DataFrame:
@@ -38,19 +37,29 @@ CIRCUIT_OUT = "source string, adapter string, event_id long, at timestamp, state
 CIRCUIT_STATE = "state string, consecutive long, cooldown_until timestamp"
 
 
+# What an attempt does to a circuit, by the state it finds and its outcome: the state it leaves, the count of
+# failures in a row (0, kept or one more) and the end of the cooldown (none, kept or set anew).
+RESET, KEEP, MORE, RESTART = "reset", "keep", "more", "restart"
+TRANSITIONS = {
+    **{(state, "success"): ("closed", RESET, RESET) for state in ("closed", "half_open", "open")},
+    **{(state, "neutral"): (state, KEEP, KEEP) for state in ("closed", "half_open", "open")},
+    **{(state, "tripped"): ("open", MORE, RESTART) for state in ("closed", "half_open", "open")},
+    ("closed", "failure"): ("closed", MORE, KEEP),
+    ("half_open", "failure"): ("half_open", MORE, KEEP),
+    ("open", "failure"): ("closed", MORE, KEEP),
+}
+
+
 def next_circuit(state: str, consecutive: int, until, at, success: bool, status: str,
                  threshold: int = FAILURE_THRESHOLD, cooldown: int = COOLDOWN_SECONDS):
-    """State after one attempt; an expired cooldown lets it run half-open first."""
-    if state == "open" and until is not None and at >= until:
-        state = "half_open"
-    if success:
-        return "closed", 0, None
-    if status in NEUTRAL:
-        return state, consecutive, until
-    consecutive += 1
-    if status in POLICY_OPEN or consecutive >= threshold:
-        return "open", consecutive, at + timedelta(seconds=cooldown)
-    return ("closed" if state == "open" else state), consecutive, until
+    """State after one attempt; once its cooldown is over, an open circuit meets the attempt half open."""
+    found = "half_open" if state == "open" and until and until <= at else state
+    trips = status in POLICY_OPEN or consecutive + 1 >= threshold
+    outcome = "success" if success else "neutral" if status in NEUTRAL else "tripped" if trips else "failure"
+    left, count, clock = TRANSITIONS[found, outcome]
+    counts = {RESET: 0, KEEP: consecutive, MORE: consecutive + 1}
+    clocks = {RESET: None, KEEP: until, RESTART: at + timedelta(seconds=cooldown)}
+    return left, counts[count], clocks[clock]
 
 
 def circuit_states(stream: DataFrame) -> DataFrame:
@@ -71,12 +80,14 @@ def circuit_states(stream: DataFrame) -> DataFrame:
 
 
 CHAIN_OUT = "source string, lane long, seq long, event_id long, body string, prev_hash string, this_hash string"
-LANES = 16
 
 
-def hash_chain(stream: DataFrame, lanes: int = LANES) -> DataFrame:
+def hash_chain(stream: DataFrame, lanes: int) -> DataFrame:
     """Append each record to a chain of its source; input needs source, event_id and body.
 
+    ``lanes`` belongs to the chain: it is chosen when the chain is begun and must stay the same, since
+    the lane of a record is a hash of its id.
+
     A chain is serial, so a source has several lanes, each with its own chain: one source holding
     most of the records still spreads over that many tasks. A trigger should be bounded by
     ``files_per_trigger``, since a lane's records of one trigger are ordered together.
@@ -93,5 +104,5 @@ def hash_chain(stream: DataFrame, lanes: int = LANES) -> DataFrame:
         state.update((seq, tip))
         yield pd.DataFrame(out, columns=["source", "lane", "seq", "event_id", "body", "prev_hash", "this_hash"])
 
-    laned = stream.withColumn("lane", F.pmod("event_id", F.lit(lanes)).cast("long"))
+    laned = stream.withColumn("lane", F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 8), 16, 10).cast("long") % lanes)
     return laned.groupBy("source", "lane").applyInPandasWithState(run, CHAIN_OUT, "seq long, tip string", "append", GroupStateTimeout.NoTimeout)
