@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.quantiles import grouped_quantiles, median_and_mad
 from ..functions.scalars import positive_ln
 from ..params import APW_WINDOWS, FARE_CEILING, MAD_TO_SIGMA, SIGMA_PER_MAD
-from ..schemas import CABINS, CELL, FARE_LINE
+from ..schemas import CABINS, CELL, FARE_LINE, PUBLISHABLE
+from ..session import materialise
 
 CELL_DAY = [*CELL, "collected_date"]
 
@@ -111,8 +112,9 @@ def jump_hits(df: DataFrame, sigma: float = 3.0, price: str = "price_T") -> Data
     )
 
 
-def flag_jumps(df: DataFrame, sigma: float = 3.0, price: str = "price_T") -> DataFrame:
-    hits = jump_hits(df, sigma, price).where("is_jump").select(*FARE_LINE, "collected_date", "is_jump")
+def flag_jumps(df: DataFrame, sigma: float = 3.0, price: str = "price_T", history: DataFrame | None = None) -> DataFrame:
+    """Mark rows of ``df`` whose fare line jumps in ``history`` (``df`` itself unless given)."""
+    hits = jump_hits(df if history is None else history, sigma, price).where("is_jump").select(*FARE_LINE, "collected_date", "is_jump")
     return (
         df.join(hits, [*FARE_LINE, "collected_date"], "left")
         .withColumn("quality_flag", F.when(F.col("is_jump") & (F.col("quality_flag") == ""), "LONGITUDINAL_JUMP")
@@ -145,15 +147,25 @@ def assign_dispositions(df: DataFrame, price: str = "price_T") -> DataFrame:
 
 
 def clean(df: DataFrame, distances: DataFrame | None = None, tukey_k: float = 3.0, hampel_z: float = 3.5,
-          jump_sigma: float = 3.0, windows: Sequence[int] = APW_WINDOWS, price: str = "price_T") -> DataFrame:
-    gated = validity_gates(df, distances, windows)
+          jump_sigma: float = 3.0, windows: Sequence[int] = APW_WINDOWS, price: str = "price_T", earlier: DataFrame | None = None) -> DataFrame:
+    """Gates, outliers, jumps and dispositions. The gated rows feed several branches: they are written once.
+
+    ``earlier`` holds stored prices that precede this batch (``last_prices``), for the jump test.
+    """
+    gated = materialise(validity_gates(df, distances, windows), "gated")
     flagged = flag_outliers(gated, tukey_k, hampel_z, price)
-    return assign_dispositions(flag_jumps(flagged, jump_sigma, price), price)
+    history = gated.select(*FARE_LINE, "collected_date", price)
+    if earlier is not None:
+        history = history.unionByName(earlier.select(*FARE_LINE, "collected_date", price))
+    return assign_dispositions(flag_jumps(flagged, jump_sigma, price, history), price)
 
 
-def disposition_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))
+def last_prices(store: DataFrame, price: str = "price_T") -> DataFrame:
+    """Publishable prices of every fare line on its last stored date."""
+    kept = store.where(F.col("disposition").isin(*PUBLISHABLE))
+    last = kept.groupBy(*FARE_LINE).agg(F.max("collected_date").alias("collected_date"))
+    return kept.join(last, [*FARE_LINE, "collected_date"]).select(*FARE_LINE, "collected_date", price)
 
 
-def cell_quartiles(df: DataFrame, price: str = "price_T") -> DataFrame:
-    return grouped_quantiles(df, CELL_DAY, positive_ln(F.col(price)), {"q1": 0.25, "q3": 0.75})
+def disposition_counts(df: DataFrame) -> DataFrame:
+    return df.groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))

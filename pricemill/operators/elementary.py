@@ -14,13 +14,12 @@ FLOOR = 1e-6
 def attach_base(prepared: DataFrame, bases: DataFrame | Column, by: Sequence[str] = ()) -> DataFrame:
     """Base-period log price of each product as ``lp0`` and its log relative as ``lr``.
 
-    ``bases`` is either a base date or a table (by..., base_period) with one row per series key; the
-    latter holds at most bases x variants rows, hence the broadcast. After source collapse a product
-    has one row per period, so its window group is as long as the calendar and no longer.
+    ``bases`` is either a base date or a table (by..., base_period) with one row per series key. After
+    source collapse a product has one row per period, so its window group is as long as the calendar and no longer.
     """
     by = list(by)
     if isinstance(bases, DataFrame):
-        df = prepared.join(F.broadcast(bases), by) if by else prepared.withColumn("base_period", bases.scalar())
+        df = prepared.join(bases, by) if by else prepared.withColumn("base_period", bases.scalar())
     else:
         df = prepared.withColumn("base_period", bases)
     product = W.partitionBy(*by, *PRODUCT)

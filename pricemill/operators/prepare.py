@@ -63,6 +63,21 @@ def collapse_sources(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def collapse_variants(df: DataFrame, variants: Sequence[str] = ("B", "T", "A"), by: Sequence[str] = ("basis",)) -> DataFrame:
+    """``collapse_sources`` of several price variants in one aggregate; the variant becomes a key afterwards."""
+    whole = F.lit(True)
+    for c in PRODUCT:
+        whole = whole & F.col(c).isNotNull()
+    logs = {v: F.when(variant_price(v) > 0, F.ln(variant_price(v))) for v in variants}
+    folded = df.where(whole).groupBy(*by, *PRODUCT, "period").agg(
+        *[F.avg(x).alias(f"_lp_{v}") for v, x in logs.items()], *[F.count(x).alias(f"_n_{v}") for v, x in logs.items()])
+    stacked = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"_lp_{v}").alias("lp"), F.col(f"_n_{v}").alias("n_sources")) for v in variants])
+    return (
+        folded.select(*by, *PRODUCT, "period", F.explode(stacked).alias("_v")).select("_v.variant", *by, *PRODUCT, "period", "_v.lp", "_v.n_sources")
+        .where(F.col("lp").isNotNull()).withColumn("price", F.exp("lp"))
+    )
+
+
 def window_coverage(prepared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Lead-time windows that hold a price, per period."""
     priced = F.when(F.col("lp").isNotNull(), F.col("apw_days"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import aggregate, bootstrap, elementary, prepare
-from ..params import OMEGA_PRESETS, Method
+from ..params import Method
 from ..session import materialise
 
 
@@ -34,12 +34,7 @@ def relatives(quotes: DataFrame, method: Method) -> DataFrame:
     """Publishable quotes of one basis, collapsed by product, with their log relatives."""
     prepare.require_columns(quotes)
     prepared = prepare.collapse_sources(prepare.with_period(prepare.publishable(quotes), method.basis))
-    if method.base_period:
-        prepare.pinned_base(prepared, method.base_period)
-        base = F.lit(method.base_period).cast("date")
-    else:
-        base = prepare.base_periods(prepared)
-    return elementary.attach_base(prepared, base)
+    return elementary.attach_base(*_based(prepared, method))
 
 
 def compute(quotes: DataFrame, weights: Weights, method: Method = Method()) -> IndexFrames:
@@ -78,21 +73,29 @@ def compute(quotes: DataFrame, weights: Weights, method: Method = Method()) -> I
 
 def fan_out(priced: DataFrame, weights: Weights, method: Method = Method(), variants: Sequence[str] = ("B", "T", "A"),
             bases: Sequence[str] = ("book", "travel")) -> DataFrame:
-    """Every variant x basis x weight preset in one pass.
+    """Every variant x basis x weight preset in one pass, on the base and link of ``method``.
 
-    Variant and basis are stacked as keys, cells are computed once per (variant, basis), and the
-    presets only multiply the last, small stage.
+    The quotes are stacked by basis and collapsed with one column per variant; only the collapsed
+    products are stacked by variant. Cells are computed once per (variant, basis), and the presets
+    only multiply the last, small stage.
     """
     by = ["variant", "basis"]
     kept = priced.where(F.col("disposition").isin("ACCEPTED", "WINSORISED"))
-    stacked = prepare.both_bases(prepare.all_variants(kept, variants), bases).where(F.col("price") > 0)
-    prepared = prepare.collapse_sources(stacked, by)
-    rel = elementary.attach_base(prepared, prepare.base_periods(prepared, by), by)
+    rel = elementary.attach_base(*_based(prepare.collapse_variants(prepare.both_bases(kept, bases), variants), method, by), by)
     cells = aggregate.smooth(elementary.cells(rel, by, method.n_min, method.availability_adjustment), by,
                              method.dow_window if method.smoothing else 1)
     by_route = aggregate.carrier_stage(cells, weights.carriers, by)
     by_apw = aggregate.route_stage(by_route, weights.routes, by)
-    return aggregate.lead_stage(by_apw, weights.omega, by)
+    out = aggregate.lead_stage(by_apw, weights.omega, by)
+    return out if method.link_factor is None else aggregate.link(out, method.link_factor)
+
+
+def _based(prepared: DataFrame, method: Method, by: Sequence[str] = ()) -> tuple:
+    """The prepared products and their base period: the pinned one, or each group's own."""
+    if not method.base_period:
+        return prepared, prepare.base_periods(prepared, by) if by else prepare.base_periods(prepared)
+    prepare.pinned_base(prepared, method.base_period)
+    return prepared, F.lit(method.base_period).cast("date")
 
 
 def sensitivity(headlines: DataFrame) -> DataFrame:
@@ -102,6 +105,3 @@ def sensitivity(headlines: DataFrame) -> DataFrame:
         .agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n_presets"))
         .withColumn("spread_pct", 100 * (F.col("high") - F.col("low")) / F.col("low"))
     )
-
-
-PRESETS = tuple(OMEGA_PRESETS)

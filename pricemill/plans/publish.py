@@ -11,7 +11,7 @@ from ..operators import charges, cleaning, prepare, quality
 from ..params import Method
 from ..session import materialise
 from ..sources.index_store import write_cells, write_index_values
-from ..sources.quotes import append_quotes
+from ..sources.quotes import append_quotes, path_exists
 from .index import Weights, compute, fan_out
 
 
@@ -25,9 +25,17 @@ class ChargeBook:
 
 
 def ingest(raw: DataFrame, book: ChargeBook, store: str, distances: DataFrame | None = None, method: Method = Method()) -> None:
-    """Decompose, clean and append a batch of any number of days at once."""
+    """Decompose, clean and append a batch of any number of days at once.
+
+    The jump test looks back to the last stored price of every fare line before the batch.
+    """
+    spark = raw.sparkSession
     split = charges.decompose(raw, book.airports, book.taxes, book.rcs_routes, fee=book.fee, levy=book.levy)
-    append_quotes(cleaning.clean(split, distances, method.tukey_k, method.hampel_z, method.jump_sigma, method.apw_windows), store)
+    earlier = None
+    if path_exists(spark, store):
+        begins = raw.agg(F.min("collected_date")).first()[0]
+        earlier = cleaning.last_prices(spark.read.parquet(store).where(F.col("collected_date") < F.lit(begins)))
+    append_quotes(cleaning.clean(split, distances, method.tukey_k, method.hampel_z, method.jump_sigma, method.apw_windows, earlier=earlier), store)
 
 
 def index_rows(headlines: DataFrame, method: Method, weights_version: str, prefix: str = "IDX") -> DataFrame:

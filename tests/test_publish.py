@@ -69,3 +69,33 @@ def test_blocked_publication_writes_nothing(spark, published):
         publish(store.withColumn("base_fare", F.col("base_fare") * 1.5), w, METHOD, f"{target}/index", f"{target}/cells", "run-3", 3)
     from pricemill.sources.quotes import path_exists
     assert not path_exists(spark, f"{target}/index")
+
+
+def test_family_honours_pinned_base_and_link(spark, published):
+    root, w, store, _ = published
+    pinned = Method(bootstrap_draws=0, base_period="2026-05-04", link_factor=110.0)
+    target = work_dir(spark, "linked")
+    publish(store, w, pinned, f"{target}/index", f"{target}/cells", "run-4", 4)
+    plain = Method(bootstrap_draws=0, base_period="2026-05-04")
+    publish(store, w, plain, f"{target}/plain", f"{target}/plain-cells", "run-5", 5)
+    daily = "frequency = 'daily' AND basis = 'book' AND omega_preset = 'uniform' AND index_code = 'IDX-A'"
+    linked = {r["period"]: r["value"] for r in read_index_values(spark, f"{target}/index").where(daily).collect()}
+    native = {r["period"]: r["value"] for r in read_index_values(spark, f"{target}/plain").where(daily).collect()}
+    own = {r["period"]: r["value"] for r in read_index_values(spark, f"{root}/index").where(daily).collect()}
+    assert linked and set(linked) == set(native)
+    assert all(math.isclose(linked[p], native[p] * 1.1, rel_tol=1e-9) for p in linked)
+    assert any(not math.isclose(native[p], own[p], rel_tol=1e-6) for p in native)
+
+
+def test_daily_batches_look_back_into_the_store(spark):
+    root = work_dir(spark, "daily")
+    book = ChargeBook(spark.createDataFrame([("DEL", 129.0, 236.0, date(2020, 1, 1), None)], CHARGES),
+                      spark.createDataFrame([("economy", 0.05, date(2020, 1, 1), None)], TAXES), spark.createDataFrame([], "route string"), fee=299.0)
+    whole = raw(spark, 5)
+    ingest(whole.where("collected_date < DATE'2026-05-05'"), book, f"{root}/store")
+    # One fare line doubles on the fifth day, which comes alone.
+    jump = (F.col("flight_number") == "0") & (F.col("fare_family") == "A") & (F.col("apw_days") == 7) & (F.col("route") == "DEL-BOM")
+    ingest(whole.where("collected_date = DATE'2026-05-05'").withColumn("total_fare", F.when(jump, F.col("total_fare") * 1.6).otherwise(F.col("total_fare"))), book, f"{root}/store")
+    last = spark.read.parquet(f"{root}/store").where("collected_date = DATE'2026-05-05'")
+    hit = {r["flight_number"] + r["fare_family"] for r in last.where("quality_flag IN ('LONGITUDINAL_JUMP', 'OUTLIER_CELL') AND apw_days = 7 AND route = 'DEL-BOM'").collect()}
+    assert "0A" in hit
