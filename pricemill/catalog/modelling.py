@@ -37,7 +37,7 @@ cte("numbered_blocks", f"""
   FROM blocks_book SEMI JOIN eff_book USING (period, {CELL}) WHERE lr_n > 0 OR laf_lr IS NOT NULL""", "blocks_book", "eff_book")
 cte("drawn", f"""
   SELECT period, {CELL}, draw, sum(coalesce(b.lr_sum, 0)) AS s, sum(b.lr_n) AS c, sum(coalesce(b.laf_lr, 0)) AS l, count(b.laf_lr) AS h
-  FROM (SELECT period, {CELL}, draw, CAST('0x' || substr(md5(concat_ws('|', '20260822', period, {CELL}, draw, i)), 1, 8) AS BIGINT) % n AS pick
+  FROM (SELECT period, {CELL}, draw, CAST('0x' || substr(md5(concat_ws('|', '7', period, {CELL}, draw, i)), 1, 8) AS BIGINT) % n AS pick
         FROM numbered_blocks, range({DRAWS}) d(draw)) p
   JOIN numbered_blocks b USING (period, {CELL}) WHERE b.i = p.pick GROUP BY ALL""", "numbered_blocks")
 cte("head_ci", """
@@ -63,7 +63,7 @@ def _(spark, sf):
   FROM (SELECT period, 100 * exp(sum(lr_sum) / sum(lr_n)) AS value, count(*) AS n_blocks FROM blocks_book WHERE lr_n > 0 GROUP BY 1)
   JOIN (SELECT period, stddev_samp(stat) AS se, quantile_cont(stat, 0.05) AS lo, quantile_cont(stat, 0.95) AS hi FROM
     (SELECT p.period, draw, 100 * exp(sum(lr_sum) / sum(lr_n)) AS stat FROM
-      (SELECT period, draw, CAST('0x' || substr(md5(concat_ws('|', '20260822', period, draw, i)), 1, 8) AS BIGINT) % n AS pick FROM nb, range({DRAWS}) d(draw)) p
+      (SELECT period, draw, CAST('0x' || substr(md5(concat_ws('|', '7', period, draw, i)), 1, 8) AS BIGINT) % n AS pick FROM nb, range({DRAWS}) d(draw)) p
       JOIN nb ON nb.period = p.period AND nb.i = p.pick GROUP BY ALL) GROUP BY 1) USING (period)""", "blocks_book").replace(
     "\n\n  SELECT period, round(value, 6) AS value, n_blocks", f""",
 nb AS (SELECT period, lr_sum, lr_n, row_number() OVER (PARTITION BY period ORDER BY {CELL}, flight_number) - 1 AS i, count(*) OVER (PARTITION BY period) AS n

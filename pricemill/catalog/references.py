@@ -28,7 +28,6 @@ def write_csv(df, path):
 def cpi_files(spark, sf):
     """Two usable files of different depth and one without an index column."""
     q = R.retail_quotes(spark, sf, "month")
-    q = q.where(F.col("collected_date") >= F.lit("1999-01-01").cast("date"))
     base = (q.groupBy("collected_date", "route", "source", "fare_family").agg(F.round(F.avg("price"), 2).alias("Index"))
             .select(F.year("collected_date").alias(" Year"), month_text("collected_date").alias("Month"), F.col("route").alias("State"),
                     F.when(F.col("source") == "O", "Urban").otherwise("Rural").alias("Sector"), F.lit("Transport").alias("Division"),
@@ -43,8 +42,7 @@ CPI = """
          CASE WHEN y.base_year = 2024 AND p_type <> 'PROMO' THEN 'item' ELSE 'division' END AS level,
          CASE WHEN y.base_year = 2024 AND p_type <> 'PROMO' THEN 'Air fare ' || p_type ELSE 'Transport' END AS label, p_type, round(avg(l_extendedprice), 2) AS idx
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-       JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey, (VALUES (2024), (2012)) y(base_year)
-  WHERE o_orderdate >= DATE '1999-01-01' GROUP BY ALL"""
+       JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey, (VALUES (2024), (2012)) y(base_year) GROUP BY ALL"""
 
 
 def cpi(spark, sf):
@@ -71,16 +69,16 @@ def _(spark, sf):
 
 
 def fares(spark, sf):
-    q = R.retail_quotes(spark, sf, "month").where(F.year("collected_date") >= 2000)
+    q = R.retail_quotes(spark, sf, "month")
     rows = q.groupBy("collected_date", "route").agg(F.round(F.max("price"), 2).alias("fare"))
     text = rows.select(F.date_format("collected_date", "yyyy-MM").alias("Month"), F.lower(F.concat(F.lit(" "), "route", F.lit(" "))).alias("Route"),
                        F.when(F.month("collected_date") == 12, "n/a").when(F.month("collected_date") == 11, "-1").otherwise(F.col("fare").cast("string")).alias("Average_Fare"))
-    root = work_dir(spark, "fares")
+    root = work_dir(spark, "fares")  # one file each, of a row per month and route, as its checksum stands for the file
     return ref.load_fares(spark, write_csv(text.coalesce(1), f"{root}/official"), "https://example.org/fares").unionByName(
         ref.load_fares(spark, write_csv(text.coalesce(1), f"{root}/sample")))
 
 
-FARES = sql("SELECT 1", "qm").rsplit("\nSELECT 1", 1)[0] + """, fares AS (SELECT * FROM (SELECT period, route, round(max(price), 2) AS average_fare FROM qm WHERE year(period) >= 2000 GROUP BY ALL)
+FARES = sql("SELECT 1", "qm").rsplit("\nSELECT 1", 1)[0] + """, fares AS (SELECT * FROM (SELECT period, route, round(max(price), 2) AS average_fare FROM qm GROUP BY ALL)
   WHERE month(period) < 11)
 """
 
@@ -101,10 +99,10 @@ def _(spark, sf):
     return ref.fare_provenance(fares(spark, sf)).drop("file_sha256")
 
 
-@query("S8_alias_tolerant_load", FARES + """
+@query("S8_alias_tolerant_load", FARES.replace("WHERE month(period) < 11", "") + """
   SELECT period, route, 'average_fare' AS metric, average_fare AS value, TRUE AS has_raw FROM fares""")
 def _(spark, sf):
-    q = R.retail_quotes(spark, sf, "month").where((F.year("collected_date") >= 2000) & (F.month("collected_date") < 11))
+    q = R.retail_quotes(spark, sf, "month")
     rows = q.groupBy("collected_date", "route").agg(F.round(F.max("price"), 2).alias("fare"))
     text = rows.select(F.date_format("collected_date", "yyyy-MM-dd").alias("Date"), F.col("route").alias("Sector Pair"),
                        F.concat(F.lit("₹ "), F.format_number("fare", 2)).alias("Avg Fare"))

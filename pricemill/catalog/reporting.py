@@ -55,9 +55,9 @@ def _(spark, sf):
   SELECT collected_date AS period, count(DISTINCT CASE WHEN NOT is_sold_out THEN fare_family END) AS families_offered,
          count(DISTINCT fare_family) AS families_total, count(*) FILTER (is_sold_out) AS n_sold_out, count(*) AS n_quotes,
          round(count(DISTINCT CASE WHEN NOT is_sold_out THEN fare_family END) / count(DISTINCT fare_family), 4) AS availability_ratio
-  FROM raw_quotes WHERE route = 'ASIA' GROUP BY 1""", "raw_quotes"))
+  FROM raw_quotes GROUP BY 1""", "raw_quotes"))
 def _(spark, sf):
-    return rp.availability_by_day(R.retail_raw_quotes(spark, sf), "ASIA")
+    return rp.availability_by_day(R.retail_raw_quotes(spark, sf))
 
 
 @query("A21_level_series", sql("""
@@ -65,9 +65,9 @@ def _(spark, sf):
          round(avg(adjusted), 6) AS adjusted_smoothed, round(avg(availability), 6) AS availability,
          CAST(sum(n_matched) AS BIGINT) AS n_matched, CAST(sum(n_quotes) AS BIGINT) AS n_quotes,
          round(avg(adjusted_raw) - avg(matched), 4) AS matched_vs_adjusted
-  FROM smooth_book WHERE NOT suppressed AND route = 'EUROPE' GROUP BY 1""", "smooth_book"))
+  FROM smooth_book WHERE NOT suppressed GROUP BY 1""", "smooth_book"))
 def _(spark, sf):
-    return rp.level_series(frames(spark, sf).cells, "EUROPE")
+    return rp.level_series(frames(spark, sf).cells)
 
 
 @query("A22_J13_coverage_ledger", sql("""
@@ -281,8 +281,10 @@ def _(spark, sf):
     return output_hash(heads, ["omega_preset", "period", "n_apw", "n_matched"])
 
 
-@query("A34_order_free_input_hash", sql("SELECT count(*) AS n FROM quotes", "quotes"))
+@query("A34_order_free_input_hash", sql("""
+  SELECT CAST(sum(('0x' || substr(md5(concat_ws('|', apw_days, carrier, cents, route)), 1, 8))::BIGINT) AS VARCHAR) AS input_hash, count(*) AS n
+  FROM (SELECT *, CAST(round(price * 100) AS BIGINT) AS cents FROM quotes)""", "quotes"))
 def _(spark, sf):
     from ..sources.index_store import input_hash
     quotes = R.retail_quotes(spark, sf)
-    return input_hash(quotes, [*CELL, "price"]).select("n")
+    return input_hash(quotes.withColumn("cents", F.round(F.col("price") * 100).cast("long")), [*CELL, "cents"])

@@ -353,9 +353,9 @@ def _(spark, sf):
 
 @query("J12_ledger_segment", sql("""
   SELECT DISTINCT CAST(collected_date AS VARCHAR) || '|' || source AS provenance_id, source FROM quotes
-  WHERE year(collected_date) <> 1997 AND route = 'ASIA' AND quantity >= 50""", "quotes"))
+  WHERE year(collected_date) <> 1997 AND quantity >= 50""", "quotes"))
 def _(spark, sf):
-    quotes = R.retail_raw_quotes(spark, sf).where((F.col("route") == "ASIA") & F.col("is_sold_out"))
+    quotes = R.retail_raw_quotes(spark, sf).where("is_sold_out")
     quotes = quotes.withColumn("provenance_id", F.concat_ws("|", F.col("collected_date").cast("string"), "source"))
     return lg.ledger_segment(ledger_ids(spark, sf), quotes)
 

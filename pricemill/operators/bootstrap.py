@@ -63,7 +63,7 @@ def interval(stats: DataFrame, by: Sequence[str], level: float) -> DataFrame:
     )
 
 
-def headline_interval(blocks: DataFrame, cells: DataFrame, weights: DataFrame, draws: int = 500, seed: int = 20260822,
+def headline_interval(blocks: DataFrame, cells: DataFrame, weights: DataFrame, draws: int = 500, seed: int = 7,
                       level: float = 0.90, adjust: bool = True) -> DataFrame:
     """Resample flights inside each live cell, rebuild the blend at observed availability, re-weight."""
     key = ["period", *CELL]
@@ -101,7 +101,7 @@ def transport(interval_df: DataFrame, smoothed: DataFrame, raw: DataFrame) -> Da
     )
 
 
-def pooled_interval(blocks: DataFrame, draws: int = 200, seed: int = 20260822, level: float = 0.90) -> DataFrame:
+def pooled_interval(blocks: DataFrame, draws: int = 200, seed: int = 7, level: float = 0.90) -> DataFrame:
     """All flights of a period pooled, unweighted; fewer than two blocks give no interval.
 
     The bounds are widened to hold the point value. The flight label includes its cell.
