@@ -138,10 +138,12 @@ def meat(scores: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def fit(obs: DataFrame, by: Sequence[str] = (), effects: Sequence[str] = ("route", "carrier", "dow", "month")) -> DataFrame:
-    """One summary row per group; groups under the minimum sample are left out."""
+    """One summary row per group; a group under the minimum sample has its n_obs and nulls."""
     by = list(by)
     effects = [e for e in effects if e not in by]
-    cells = compress(obs, by, effects).where(F.col("_total") >= MIN_OBS)
+    every = compress(obs, by, effects)
+    cells = every.where(F.col("_total") >= MIN_OBS)
+    refused = every.where(F.col("_total") < MIN_OBS).groupBy(*by).agg(F.max("_total").cast("long").alias("n_obs"))
     equations = normal_equations(cells, by)
     scores = cluster_scores(cells, coefficients(equations, by), by)
     clusters = cells.groupBy(*by).agg(F.countDistinct("cluster").cast("double").alias("s")).select(
@@ -170,7 +172,9 @@ def fit(obs: DataFrame, by: Sequence[str] = (), effects: Sequence[str] = ("route
                "n_clusters": int(g), "n_params": k, "coefficients": dict(zip(names, map(float, beta))), "std_errors": dict(zip(names, map(float, se)))}
         return pd.DataFrame([row])
 
-    return with_optimum(_per_group(long, by, run, ", ".join([*[f"{b} string" for b in by], SUMMARY])))
+    fitted = with_optimum(_per_group(long, by, run, ", ".join([*[f"{b} string" for b in by], SUMMARY])))
+    short = refused.select(*[F.col(b).cast("string").alias(b) for b in by], F.col("n_obs").cast(fitted.schema["n_obs"].dataType).alias("n_obs"))
+    return fitted.unionByName(short.where("n_obs is not null"), allowMissingColumns=True)
 
 
 def with_optimum(fits: DataFrame) -> DataFrame:
@@ -208,7 +212,7 @@ LADDER = ("n_obs long, n_components int, bic double, rank int, fare double, sd_l
 
 def fare_ladder(quotes: DataFrame, by: Sequence[str] = ("route", "carrier"), price: str = "price", max_components: int = 6,
                 iterations: int = 200) -> DataFrame:
-    """Gaussian mixture of log prices per group, size chosen by BIC, buckets in ascending order.
+    """Gaussian mixture of log prices per group, size chosen by BIC, buckets in ascending order; a group too small for it has nulls.
 
     Quotes are first folded into narrow log bins with their count, sum and sum of squares; a group
     is then at most (log range x bins per unit) rows whatever its size, and all of them enter.
@@ -225,7 +229,7 @@ def fare_ladder(quotes: DataFrame, by: Sequence[str] = ("route", "carrier"), pri
         head = {b: pdf[b].iloc[0] for b in by}
         n_obs = int(pdf["n"].sum())
         if n_obs < LADDER_MIN_OBS:
-            return pd.DataFrame(columns=[*by, "n_obs", "n_components", "bic", "rank", "fare", "sd_log", "weight"])
+            return pd.DataFrame([{**head, "n_obs": n_obs, "n_components": None, "bic": None, "rank": None, "fare": None, "sd_log": None, "weight": None}])
         j, bic, mean, var, weight = best_mixture(pdf["n"].to_numpy(float), pdf["s"].to_numpy(), pdf["q"].to_numpy(), max_components, iterations)
         order = np.argsort(mean)
         return pd.DataFrame([{**head, "n_obs": n_obs, "n_components": j, "bic": bic, "rank": r + 1, "fare": float(np.exp(mean[c])),

@@ -55,7 +55,7 @@ def fit(design: DataFrame, xs: Sequence[str] | None = None, synthetic: bool = Fa
 
 
 def out_of_sample(design: DataFrame, xs: Sequence[str], min_train: int | None = None, min_oos: int = 6) -> DataFrame:
-    """Expanding-window one-step errors against the no-change forecast."""
+    """Expanding-window one-step errors against the no-change forecast; null where fewer than ``min_oos`` forecasts exist."""
     xs = list(xs)
     start = max(12, len(xs) + 3) if min_train is None else min_train
     usable = design
@@ -65,7 +65,9 @@ def out_of_sample(design: DataFrame, xs: Sequence[str], min_train: int | None =
     err, naive = F.col("actual") - F.col("predicted"), F.col("actual") - F.col("naive")
     out = steps.groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("n_oos"), F.sqrt(F.avg(err * err)).alias("rmse_model"), F.sqrt(F.avg(naive * naive)).alias("rmse_no_change"))
-    return out.where(F.col("n_oos") >= min_oos).withColumns({
+    enough = F.col("n_oos") >= min_oos
+    out = out.withColumns({c: F.when(enough, F.col(c)) for c in ("rmse_model", "rmse_no_change")})
+    return out.withColumns({
         "skill_vs_benchmark_pct": F.when(F.col("rmse_no_change") > 0, 100 * (1 - F.col("rmse_model") / F.col("rmse_no_change"))),
         "beats_benchmark": F.col("rmse_model") < F.col("rmse_no_change")})
 
