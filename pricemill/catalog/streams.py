@@ -107,7 +107,20 @@ def _(spark, sf):
     return runs.latest_updates(updates, ["source", "day"])
 
 
-@query("T5s_circuit_states")
+@query("T5s_circuit_states", f"""
+  WITH RECURSIVE att AS (SELECT source, adapter, event_id, at_ts, success, status, row_number() OVER (PARTITION BY source, adapter ORDER BY at_ts, event_id) AS rn,
+      NOT success AND status IN ('unsupported', 'no_results') AS neutral, NOT success AND status IN ('blocked', 'captcha_blocked', 'policy_denied', 'source_changed') AS policy
+    FROM {ATT}),
+  run AS (SELECT source, adapter, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS at_ts, 'closed' AS state, 0::BIGINT AS consecutive, NULL::TIMESTAMP AS cooldown_until
+    FROM (SELECT DISTINCT source, adapter FROM att)
+    UNION ALL SELECT source, adapter, rn, event_id, at_ts,
+      CASE WHEN success THEN 'closed' WHEN neutral THEN found WHEN trips THEN 'open' WHEN found = 'half_open' THEN 'half_open' ELSE 'closed' END,
+      CASE WHEN success THEN 0 WHEN neutral THEN consecutive ELSE consecutive + 1 END,
+      CASE WHEN success THEN NULL WHEN NOT neutral AND trips THEN at_ts + INTERVAL 60 SECOND ELSE cooldown_until END
+    FROM (SELECT a.*, r.consecutive, r.cooldown_until, a.policy OR r.consecutive >= 4 AS trips,
+            CASE WHEN r.state = 'open' AND r.cooldown_until <= a.at_ts THEN 'half_open' ELSE r.state END AS found
+          FROM run r JOIN att a ON a.source = r.source AND a.adapter = r.adapter AND a.rn = r.rn + 1))
+  SELECT source, adapter, event_id, at_ts AS "at", state, consecutive, cooldown_until FROM run WHERE rn > 0""")
 def _(spark, sf):
     return runs.run_to_table(stateful.circuit_states(attempt_stream(spark, sf)), "circuit").drop("epoch")
 
