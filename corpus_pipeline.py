@@ -27,7 +27,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Without a single labelled row, every text with a letter stays.
     """
     trees = language.learn(docs)
-    told = language.identify(docs.select("*", F.struct("*").alias("_row")), trees)
+    told = language.identify(docs.select(F.struct(*docs.columns).alias("_row")), trees, "_row.text")
     bits = F.col("bits_per_byte") * F.octet_length(F.col("_row.text"))
     fits = (F.col("lang_pred") != "und") & (bits <= MOST_BITS * F.octet_length(F.col("_row.text")) + START_BITS)
     if not trees.languages:
@@ -55,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of every row, with its id, language and source."""
-    return pieces.encode(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", "n_pieces", "lossless", "pieces")
+    return pieces.encode(docs.select("doc_id", "lang", "source", "text"), keep_text=False).select("doc_id", "lang", "source", "n_pieces", "lossless", "pieces")
 
 
 STAGES = [

@@ -21,12 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bytework import rounds
+from .bytework import rounds, tidy
 from .common import documents, id_hash
 
 ORDER = 3
 SAMPLE_BYTES = 1 << 20
 LANGUAGES = 64
+ROUND = 500_000
 # What a text starts with, in training and in scoring.
 START = b"\n\n\n"
 
@@ -172,13 +173,14 @@ def identify(docs: DataFrame, trees: ContextTrees, text: str = "text") -> DataFr
         model = shared.value
         names = np.array(model.languages, dtype=object)
         pred, score, rate = [], [], []
-        for i, j, data, offsets in rounds(texts):
+        for i, j, data, offsets in rounds(texts, ROUND):
             bits = model.lengths(data, offsets) if len(names) else np.zeros((j - i, 1))
             best = bits.argmin(1)
             least = bits[np.arange(len(best)), best]
             pred += names[best].tolist() if len(names) else [None] * (j - i)
             score += (1 / np.exp2(np.minimum(least[:, None] - bits, 0)).sum(1)).tolist()
             rate += (least / np.maximum(np.diff(offsets), 1)).tolist()
+        tidy()
         kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
         return pa.array([{"lang_pred": p, "score": s, "bits_per_byte": r} for p, s, r in zip(pred, score, rate)], kind)
 

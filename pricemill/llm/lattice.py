@@ -110,20 +110,24 @@ class Lattice:
             hit = got >= 0
             heads.append(starts[hit])
             ids.append(got[hit])
-            lengths.append(np.full(int(hit.sum()), length))
+            lengths.append(np.full(int(hit.sum()), length, np.int32))
             alone = starts[hit & (char[starts] == length)]
             for k in range(length if length <= 4 else 0):
                 single[alone + k] = True
         loose = np.flatnonzero(~single[:-1])
         heads.append(loose)
         ids.append(pieces.byte_ids[data[loose]])
-        lengths.append(np.ones(len(loose), np.int64))
+        lengths.append(np.ones(len(loose), np.int32))
+        del prefix, at, left, single, lead, char
         head, self.id, length = np.concatenate(heads), np.concatenate(ids), np.concatenate(lengths)
-        depth = head - offsets[word[head]] + length
-        end = head + word[head] + length
-        order = np.argsort(depth * (len(data) + self.n + 1) + end, kind="stable")
+        del heads, ids, lengths
+        depth = (head - offsets[word[head]] + length).astype(np.int32)
+        end = (head + word[head] + length).astype(np.int32)
+        del head, word
+        order = np.argsort(depth * np.int64(len(data) + self.n + 1) + end, kind="stable")
         self.id, self.end, depth = self.id[order], end[order], depth[order]
         self.start = self.end - length[order]
+        del end, order, length
         self.first, self.last = offsets[:-1] + np.arange(self.n), offsets[1:] + np.arange(self.n)
         group = np.flatnonzero(np.diff(self.end, prepend=-1))  # edges of one end node are neighbours
         self.group, self.bound = group, np.append(group, len(self.end))
@@ -181,8 +185,8 @@ class Lattice:
         share[self.top] = 0.0
         run = np.cumsum(share)
         self.ladder = np.minimum(run - np.repeat(run[self.group] - share[self.group], size), 1.0) + of
-        self.place = np.zeros(self.nodes, np.int64)
-        self.place[self.end[self.group]] = np.arange(n)
+        self.place = np.zeros(self.nodes, np.int32)
+        self.place[self.end[self.group]] = np.arange(n, dtype=np.int32)
 
     def sample(self, word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One segmentation of ``word[i]`` drawn with key[i]: all piece ids, and how many each took."""

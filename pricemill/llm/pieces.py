@@ -17,14 +17,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .bytework import BASE_A, Rolling, mixed, rounds
+from .bytework import BASE_A, Rolling, mixed, rounds, tidy
 from .common import documents
 from .lattice import MODEL_FILE, Lattice, Pieces, load
 
 SEED = 77
-ROUND = 4_000_000
+ROUND = 1_000_000
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,33 +81,40 @@ def row_keys(ids: np.ndarray, seed: int) -> np.ndarray:
     return mixed(ids.astype(np.uint64) ^ np.uint64(mixed(np.array([seed], np.uint64))[0]))
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED, path: str = MODEL_FILE, sharpness: float = 1.0) -> DataFrame:
-    """``docs`` with ``pieces`` (ids), ``n_pieces`` and ``lossless``; pieces weigh their probability to the power ``sharpness``."""
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED, path: str = MODEL_FILE, sharpness: float = 1.0,
+           keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``pieces`` (ids), ``n_pieces`` and ``lossless``; pieces weigh their probability to the power ``sharpness``.
+
+    Rows leave a task in the small groups they are encoded in, so a task holds few of them at a time.
+    """
     model = load(path)
     model = model.with_logp(model.logp * sharpness)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
+    whole = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = F.coalesce(F.col(key), F.lit(0)).cast("long") if whole else F.xxhash64(F.col(key))
+    new = ("pieces", "n_pieces", "lossless")
+    kept = [c for c in docs.columns if c not in new and (keep_text or c != text)]
 
-    @F.arrow_udf("struct<pieces:array<int>,lossless:boolean>")
-    def run(texts: pa.Array, number: pa.Array) -> pa.Array:
+    def run(batches):
         pieces = shared.value
         table = spellings(pieces)
-        keys = row_keys(number.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), seed)
-        all_ids, sizes, same = [], [], []
-        for i, j, data, offsets in rounds(texts, ROUND):
-            ids, first = encode_round(pieces, data, offsets, keys[i:j])
-            raw = memoryview(np.ascontiguousarray(data))
-            same += [d == raw[a:b] for d, a, b in zip(decode_round(table, ids, first), offsets[:-1], offsets[1:])]
-            all_ids.append(ids)
-            sizes.append(np.diff(first))
-        ends = np.append(0, np.cumsum(np.concatenate(sizes))) if sizes else np.zeros(1, np.int64)
-        values = pa.array(np.concatenate(all_ids)) if all_ids else pa.array([], pa.int32())
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values), pa.array(same, pa.bool_())], ["pieces", "lossless"])
-
-    number = F.coalesce(F.col(key), F.lit(0)).cast("long") if docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64(F.col(key))
-    there = F.col(text).isNotNull()
-    coded = docs.withColumn("_coded", run(F.col(text), number))
-    return coded.withColumn("pieces", F.when(there, F.col("_coded.pieces"))).withColumn("n_pieces", F.when(there, F.size("_coded.pieces").cast("long"))).withColumn(
-        "lossless", F.when(there, F.col("_coded.lossless"))).drop("_coded")
+        for batch in batches:
+            texts = batch.column("_text")
+            keys = row_keys(batch.column("_number").to_numpy().view(np.uint64), seed)
+            for i, j, data, offsets in rounds(texts, ROUND):
+                ids, first = encode_round(pieces, data, offsets, keys[i:j])
+                raw = memoryview(np.ascontiguousarray(data))
+                same = [d == raw[a:b] for d, a, b in zip(decode_round(table, ids, first), offsets[:-1], offsets[1:])]
+                gone = texts.slice(i, j - i).is_null().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(n).slice(i, j - i) for n in range(len(kept))],
+                     pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids), mask=pa.array(gone)),
+                     pa.array(np.diff(first), mask=gone), pa.array(np.array(same, bool), mask=gone)], names=[*kept, *new])
+            tidy()
+
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()),
+                           T.StructField("lossless", T.BooleanType())])
+    return docs.select(*kept, F.col(text).alias("_text"), number.alias("_number")).mapInArrow(run, schema)
 
 
 def decoded(pieces: Column, path: str = MODEL_FILE) -> Column:
@@ -123,4 +130,4 @@ def decoded(pieces: Column, path: str = MODEL_FILE) -> Column:
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled pieces of every document, and whether they decode to its text."""
-    return encode(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_pieces", "lossless", "pieces")
+    return encode(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False).select("doc_id", "n_pieces", "lossless", "pieces")
