@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pricemill.session import materialise
 
-from .bytework import BASE_A, BASE_B, SMALL, Rolling, mixed, rounds, run_starts, word_hashes, words
+from .bytework import BASE_A, BASE_B, SMALL, Rolling, mixed, rounds, run_starts, tidy, word_hashes, words
 from .common import documents, sent_if_small
 from .graph import components
 
@@ -146,6 +146,7 @@ def _marks(n: int):
                 h, bounds = grams.sets(data, offsets)
                 a, b = set_marks(h, bounds)
                 yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(i, j - i), "n": pa.array(np.diff(bounds)), "m1": pa.array(a), "m2": pa.array(b)})
+        tidy()
     return run
 
 
@@ -180,6 +181,7 @@ def _shown(n: int, share: int):
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array(np.concatenate([key[group], salt])), "doc": pa.array(np.concatenate([doc[group], pair[:, 0]])),
                 "peer": pa.concat_arrays([pa.nulls(len(group), pa.int64()), pa.array(pair[:, 1])])})
+            tidy()
     return run
 
 
@@ -191,6 +193,7 @@ def _sets(n: int):
                 h, bounds = grams.sets(data, offsets)
                 values = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(h)])
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(i, j - i), "tasks": batch.column("tasks").slice(i, j - i), "grams": values})
+        tidy()
     return run
 
 
@@ -256,6 +259,7 @@ def _links(share: int):
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
                 out = []
         flush()
+        tidy()
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
     return run
 
@@ -333,3 +337,18 @@ def keep_one(docs: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and near-duplicate component of every document."""
     return join_components(documents(spark, sf_dir))
+
+
+OP2_SQL = """
+WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(words[i + 1:i + 3], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(greatest(len(words) - 2, 1))) AS i FROM cut WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * common >= 90 * (s.n + t.n - common)),
+reach AS (SELECT DISTINCT a AS node, a AS root FROM links UNION SELECT b, root FROM reach JOIN links ON a = node WHERE root < b),
+least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT cut.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, coalesce(least.root, cut.doc_id) AS component_id
+FROM cut LEFT JOIN sizes ON sizes.doc_id = cut.doc_id LEFT JOIN least ON least.node = cut.doc_id
+"""

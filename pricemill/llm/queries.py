@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_source_mix": mixing.OP1_SQL,
+    "op2_jaccard_join": jaccard_join.OP2_SQL,
+    "op7_cover_dedup": substrings.OP7_SQL,
     "op10_jump_shards": sharding.OP10_SQL,
 }

@@ -261,3 +261,16 @@ def dedup(docs: DataFrame) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without passages of an earlier one."""
     return dedup(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+OP7_SQL = """
+WITH cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, i, sha256(array_to_string(words[i + 1:i + 50], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(len(words) - 49)) AS i FROM cut WHERE len(words) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS least FROM windows GROUP BY h),
+covered AS (SELECT DISTINCT doc_id, i + k + 1 AS place FROM windows JOIN firsts USING (h), range(50) t(k) WHERE least < doc_id),
+placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM cut),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n FROM placed ANTI JOIN covered USING (doc_id, place) GROUP BY doc_id)
+SELECT cut.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM cut LEFT JOIN kept ON kept.doc_id = cut.doc_id
+"""
