@@ -386,8 +386,8 @@ def _(spark, sf):
 
 
 @query("F1_charge_split", sql("""
-  SELECT route, round(sum(price * 0.6), 2) AS base_fare, round(sum(price * 0.1 + 5), 2) AS taxes, round(sum(77.0), 2) AS udf,
-         round(sum(CASE WHEN quantity > 10 THEN 12.0 END), 2) AS other_fee FROM quotes GROUP BY 1""", "quotes"))
+  SELECT route, round(sum(price * 0.6), 4) AS base_fare, round(sum(price * 0.1 + 5), 4) AS taxes, round(sum(77.0), 4) AS udf,
+         round(sum(CASE WHEN quantity > 10 THEN 12.0 END), 4) AS other_fee FROM quotes GROUP BY 1""", "quotes"))
 def _(spark, sf):
     def line(kind, code, amount):
         return F.struct(F.lit(kind).alias("type"), F.lit(code).alias("code"), amount.cast("double").alias("amount"))
@@ -395,7 +395,7 @@ def _(spark, sf):
         line("FarePrice", "", F.col("price") * 0.6), line("Tax", "YQ", F.col("price") * 0.1), line("Other", "cgst", F.lit(5)),
         line("Other", "UDF", F.lit(77)), line("TravelFee", "CF", F.when(F.col("quantity") > 10, F.lit(12))), line("Seat", "X", F.lit(9))).alias("charges"))
     parts = ["base_fare", "taxes", "udf", "other_fee"]
-    return ex.charge_split(quotes).groupBy("route").agg(*[F.round(F.sum(c), 2).alias(c) for c in parts])
+    return ex.charge_split(quotes).groupBy("route").agg(*[F.round(F.sum(c), 4).alias(c) for c in parts])
 
 
 @query("F2_scalar_parsers", """
