@@ -1,6 +1,6 @@
 """The registered queries against their SQL twins on the smallest tables.
 
-A sample runs by default; FULL=1 runs all of them.
+All of them run; SAMPLE=1 runs every sixth.
 """
 import os
 
@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-SAMPLE = [n for i, n in enumerate(sorted(QUERIES)) if i % 6 == 0]
+NAMES = sorted(QUERIES)[::6] if os.environ.get("SAMPLE") else sorted(QUERIES)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
 
@@ -30,7 +30,7 @@ def test_every_twin_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES) if os.environ.get("FULL") else SAMPLE)
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
     problem = check(spark, duck, name, QUERIES[name], ORACLES.get(name), SF)
     assert problem is None or problem.startswith("near"), problem

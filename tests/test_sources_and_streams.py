@@ -125,4 +125,4 @@ def test_hash_chain_over_several_batches_is_intact(spark):
     stream = runs.file_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
     chained = runs.run_to_table(stateful.hash_chain(stream.select("source", "event_id", F.col("status").alias("body")), lanes=4), "chained")
     out = lg.chain_summary(chained, F.col("body"), ["source", "lane"], per_bucket=7).collect()
-    assert sum(r["n_records"] for r in out) == 120 and all(r["n_broken"] == 0 for r in out) and len(out) == 4
+    assert sum(r["n_records"] for r in out) == 120 and all(r["n_broken"] == 0 for r in out) and len(out) == 2 * 4
