@@ -55,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of every row, with its id, language and source."""
-    return pieces.encode(docs.select("doc_id", "lang", "source", "text"), keep_text=False).select("doc_id", "lang", "source", "n_pieces", "lossless", "pieces")
+    return pieces.encode(docs.select("doc_id", "lang", "source", "text"), keep_text=False, round_bytes=700_000).select("doc_id", "lang", "source", "n_pieces", "lossless", "pieces")
 
 
 STAGES = [

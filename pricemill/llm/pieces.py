@@ -24,7 +24,7 @@ from .common import documents
 from .lattice import MODEL_FILE, Lattice, Pieces, load
 
 SEED = 77
-ROUND = 1_000_000
+ROUND = 2_000_000
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,10 +82,11 @@ def row_keys(ids: np.ndarray, seed: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED, path: str = MODEL_FILE, sharpness: float = 1.0,
-           keep_text: bool = True) -> DataFrame:
+           keep_text: bool = True, round_bytes: int = ROUND) -> DataFrame:
     """``docs`` with ``pieces`` (ids), ``n_pieces`` and ``lossless``; pieces weigh their probability to the power ``sharpness``.
 
-    Rows leave a task in the small groups they are encoded in, so a task holds few of them at a time.
+    Rows leave a task in the rounds of ``round_bytes`` that they are encoded in: larger rounds meet more repeated
+    words, smaller ones need less memory.
     """
     model = load(path)
     model = model.with_logp(model.logp * sharpness)
@@ -101,7 +102,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
         for batch in batches:
             texts = batch.column("_text")
             keys = row_keys(batch.column("_number").to_numpy().view(np.uint64), seed)
-            for i, j, data, offsets in rounds(texts, ROUND):
+            for i, j, data, offsets in rounds(texts, round_bytes):
                 ids, first = encode_round(pieces, data, offsets, keys[i:j])
                 raw = memoryview(np.ascontiguousarray(data))
                 same = [d == raw[a:b] for d, a, b in zip(decode_round(table, ids, first), offsets[:-1], offsets[1:])]
@@ -110,7 +111,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
                     [*[batch.column(n).slice(i, j - i) for n in range(len(kept))],
                      pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids), mask=pa.array(gone)),
                      pa.array(np.diff(first), mask=gone), pa.array(np.array(same, bool), mask=gone)], names=[*kept, *new])
-            tidy()
+        tidy()
 
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()),
                            T.StructField("lossless", T.BooleanType())])
