@@ -173,7 +173,8 @@ def fit(obs: DataFrame, by: Sequence[str] = (), effects: Sequence[str] = ("route
         return pd.DataFrame([row])
 
     fitted = with_optimum(_per_group(long, by, run, ", ".join([*[f"{b} string" for b in by], SUMMARY])))
-    short = refused.select(*[F.col(b).cast("string").alias(b) for b in by], F.col("n_obs").cast(fitted.schema["n_obs"].dataType).alias("n_obs"))
+    short = refused.select(*[F.col(b).cast("string").alias(b) for b in by], F.col("n_obs").cast(fitted.schema["n_obs"].dataType).alias("n_obs"),
+                           F.lit(f"fewer than {MIN_OBS} observations").alias("note"))
     return fitted.unionByName(short.where("n_obs is not null"), allowMissingColumns=True)
 
 
