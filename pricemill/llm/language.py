@@ -7,8 +7,8 @@ escape and is predicted by the shorter context, whose bytes already refused are
 probabilities are scaled up accordingly, down to equal shares of all 256 bytes. So the code length
 of a text is a sum of table entries, which whole texts are looked up in.
 
-The trees are fitted on a bounded sample of the labelled rows: about ``sample_bytes`` of text per
-language, drawn by a hash of id and text, at most ``LANGUAGES`` languages with the most text. Every text is scored whole.
+The trees of all labelled languages are fitted on a bounded sample of the labelled rows: about ``sample_bytes``
+of text per language, or an equal share of ``TOTAL_BYTES`` if that is less, drawn by a hash of id and text. Every text is scored whole.
 
 Defined results: null text, or a text without a letter, is ``und`` with score 0; without any labelled
 text every row is ``und``; repeated rows get the same answer; a null id is never held out and never
@@ -19,15 +19,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pricemill.session import materialise
+
 from .bytework import rounds, tidy
-from .common import documents, id_hash
+from .common import documents, id_hash, sent_if_small
 
 ORDER = 3
 SAMPLE_BYTES = 1 << 20
-LANGUAGES = 64
+TOTAL_BYTES = 16 << 20
 ROUND = 500_000
+# Table entries that one step of the scoring reads.
+STEP = 4_000_000
 # What a text starts with, in training and in scoring.
 START = b"\n\n\n"
 
@@ -59,17 +64,23 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class ContextTrees:
-    """Frozen code lengths of all languages: ``bits[state, byte, language]``.
+    """Frozen code lengths of all languages, for the bytes that some language has seen in a state.
 
-    A state is a context known to some language: none, one, two or three bytes. ``pair`` numbers the
-    two-byte strings that start a longer context; ``long`` gives the state of such a pair and one byte more,
-    or 0; ``short`` gives the state of the last two bytes.
+    A state is a context known to some language: none, one, two or three bytes. ``row[state, byte]`` numbers the
+    rows of ``bits``, one column a language; where it is -1, the byte costs ``escape[state]`` and what it costs
+    in the state of one byte less, ``parent``. ``pair`` numbers the two-byte strings that start a longer
+    context; ``long`` gives the state of such a pair and one byte more, or 0; ``short`` gives the state of
+    the last two bytes. So the tables grow with the contexts seen times the languages.
     """
 
-    def __init__(self, counts: list[tuple[str, int, int]], languages: list[str]):
+    def __init__(self, counts: list[tuple[str, int, int]] | pa.Table, languages: list[str]):
         self.languages = languages
-        by = {name: [(k, n) for lang, k, n in counts if lang == name] for name in languages}
-        table = {name: self._levels(np.array(v, np.int64).reshape(-1, 2)) for name, v in by.items()}
+        if not isinstance(counts, pa.Table):
+            counts = pa.table({"lang": pa.array([c[0] for c in counts], pa.string()), "key": pa.array([c[1] for c in counts], pa.int64()), "n": pa.array([c[2] for c in counts], pa.int64())})
+        code = pc.index_in(counts["lang"], pa.array(languages, pa.string())).to_numpy()
+        rows = np.stack([counts["key"].to_numpy(), counts["n"].to_numpy()], 1)
+        order = np.argsort(code, kind="stable")
+        table = dict(zip(languages, map(self._levels, np.split(rows[order], np.searchsorted(code[order], np.arange(1, len(languages)))))))
         states: list[tuple[int, int]] = [(0, 0)]  # (length, context)
         for length in (1, 2, 3):
             states += [(length, int(c)) for c in np.unique(np.concatenate([t[length][0] for t in table.values()] or [np.zeros(0, np.int64)]))]
@@ -80,11 +91,21 @@ class ContextTrees:
         # Bytes that no language has seen cost the same everywhere and share one column.
         self.column = np.where(seen, np.cumsum(seen) - 1, seen.sum()).astype(np.int64)
         self.width = int(seen.sum()) + 1
-        parent = np.array([0] + [number[(n - 1, c & ((1 << 8 * (n - 1)) - 1))] for n, c in states[1:]], np.int64)
-        bits = np.empty((len(states), self.width, len(languages)), np.float32)
+        self.parent = np.array([0] + [number[(n - 1, c & ((1 << 8 * (n - 1)) - 1))] for n, c in states[1:]], np.int32)
+        first = [next((i for i, s in enumerate(states) if s[0] == length), len(states)) for length in range(ORDER + 1)] + [len(states)]
+        context = np.array([c for _, c in states], np.int64)
+        place = {name: [first[length] + np.searchsorted(context[first[length]:first[length + 1]], t[length][0]) for length in range(ORDER + 1)] for name, t in table.items()}
+        self.row = np.full(len(states) * self.width, -1, np.int32)
+        self.row[:self.width] = 0  # every byte has a row in the state without context
+        for name, t in table.items():
+            for length in range(ORDER + 1):
+                self.row[place[name][length] * self.width + self.column[t[length][1]]] = 0
+        where = np.flatnonzero(self.row == 0)
+        self.row[where] = np.arange(len(where))
+        self.bits = np.empty((len(where), len(languages)), np.float32)
+        self.escape = np.empty((len(states), len(languages)), np.float32)
         for x, name in enumerate(languages):
-            bits[:, :, x] = self._code_lengths(table[name], states, number, parent, seen)
-        self.bits = bits.reshape(len(states) * self.width, len(languages))
+            self._code_lengths(x, table[name], place[name], first, where, seen)
         self.short = np.zeros(1 << 16, np.int32)
         one = np.zeros(256, np.int32)
         for (n, c), i in number.items():
@@ -110,27 +131,47 @@ class ContextTrees:
             out.append((key >> 8, key & 255, np.bincount(inverse, rows[:, 1], len(key)) if len(key) else np.zeros(0)))
         return out
 
-    def _code_lengths(self, levels, states, number, parent, seen) -> np.ndarray:
-        p = np.empty((len(states), self.width))
-        share = np.full(self.width, 1 / 256)  # the last column stands for each unseen byte
-        weight = np.ones(self.width)
+    def _code_lengths(self, x: int, levels, place, first, where: np.ndarray, seen: np.ndarray) -> None:
+        """Fill column ``x``: state by state, from the shortest contexts on, the rows of ``bits`` and ``escape``."""
+        width = self.width
+        state, byte = where // width, where % width
+        weight = np.ones(width)
         weight[-1] = max(256 - int(seen.sum()), 1)
+        base = np.full(width, 1 / 256)  # the last column stands for each unseen byte
         if seen.all():
-            share[-1] = 0
-        first = {length: next((i for i, s in enumerate(states) if s[0] == length), len(states)) for length in range(ORDER + 2)}
-        for length, (context, byte, n) in enumerate(levels):
+            base[-1] = 0
+        cost, pay = np.empty(len(where)), np.zeros(len(self.parent))
+        for length, (_, of, n) in enumerate(levels):
             lo, hi = first[length], first[length + 1]
-            count = np.zeros((hi - lo, self.width))
-            index = np.array([number[(length, int(c))] for c in context], np.int64) - lo
-            np.add.at(count, (index, self.column[byte]), n)
-            total, kinds, lower = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True), share[None, :] if not length else p[parent[lo:hi]]
-            open_ = np.where(count > 0, 0.0, lower)
-            left = (open_ * weight).sum(1, keepdims=True)
+            rows = np.arange(*np.searchsorted(state, [lo, hi]))
+            lower = base if not length else np.exp2(-self._cost(self.parent[state[rows]], byte[rows], cost, pay))
+            lower = np.array(lower[byte[rows]] if not length else lower)
+            at = place[length]
+            number = self.row[at * width + self.column[of]] - (rows[0] if len(rows) else 0)
+            count = np.bincount(number, n, len(rows)) if len(number) else np.zeros(len(rows))
+            total = np.bincount(at - lo, n, hi - lo) if len(at) else np.zeros(hi - lo)
+            kinds = np.bincount(at - lo, minlength=hi - lo)
+            # The shares of all bytes sum to 1, so the open bytes have what the known ones leave.
+            known = np.bincount(state[rows] - lo, np.where(count > 0, lower * weight[byte[rows]], 0), hi - lo)
+            left = 1 - known
             # Where every byte is already known the escape has nothing to go to.
             escape = np.where(left > 1e-12, kinds, 0)
             below = np.maximum(total + escape, 1)
-            p[lo:hi] = np.where(total > 0, count / below + escape / below * open_ / np.maximum(left, 1e-300), lower)
-        return -np.log2(np.maximum(p, 1e-300))
+            factor = np.where(total > 0, escape / below / np.maximum(left, 1e-300), 1.0)
+            pay[lo:hi] = -np.log2(np.maximum(factor, 1e-300))
+            own = state[rows] - lo
+            cost[rows] = -np.log2(np.maximum(np.where(count > 0, count / below[own], factor[own] * lower), 1e-300))
+        self.bits[:, x], self.escape[:, x] = cost, pay
+
+    def _cost(self, state: np.ndarray, byte: np.ndarray, bits: np.ndarray, escape: np.ndarray) -> np.ndarray:
+        """What the bytes cost in their states: the first row on the way to shorter contexts, and the escapes to it."""
+        row = self.row[state.astype(np.int64) * self.width + byte]
+        missing = np.flatnonzero(row < 0)
+        out = bits[row]
+        if len(missing):
+            state = state[missing]
+            out[missing] = escape[state] + self._cost(self.parent[state], byte[missing], bits, escape)
+        return out
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits that each language needs for each text."""
@@ -140,28 +181,32 @@ class ContextTrees:
             return out
         last = (grams >> np.uint32(8)) & np.uint32(0xFFFF)
         state = self.long[self.pair[grams >> np.uint32(16)] * 256 + ((grams >> np.uint32(8)) & np.uint32(255)).astype(np.int32)]
-        state = np.where(state > 0, state, self.short[last]).astype(np.int64)
-        cost = self.bits[state * self.width + self.column[(grams & np.uint32(255)).astype(np.int64)]]
-        full = np.flatnonzero(np.diff(offsets))
-        out[full] = np.add.reduceat(cost, offsets[full], axis=0, dtype=np.float64)
+        state = np.where(state > 0, state, self.short[last])
+        byte = self.column[grams & np.uint32(255)]
+        # However many languages there are and however long a text is, a step takes bounded memory.
+        step = max(STEP // len(self.languages), 1000)
+        for lo in range(0, len(grams), step):
+            owner = text[lo:lo + step]
+            begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            out[owner[begin]] += np.add.reduceat(self._cost(state[lo:lo + step], byte[lo:lo + step], self.bits, self.escape), begin, axis=0, dtype=np.float64)
         return out
 
 
-def learn(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> ContextTrees:
-    """Fit the trees on about ``sample_bytes`` of labelled text per language; rows without label don't count."""
+def learn(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> ContextTrees:
+    """Fit the trees of all languages on about ``sample_bytes`` of labelled text each, or equal shares of ``total_bytes``; rows without label don't count."""
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).orderBy(F.desc("bytes"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
+    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    sizes = materialise(sizes, "language-sizes")
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
+    if not languages:
         return ContextTrees([], [])
+    each = min(sample_bytes, max(total_bytes // len(languages), 1))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, sample_bytes / max(r["bytes"], 1))).otherwise(share)
-    sample = labelled.filter(place < share).select("lang", "text")
+    share = each / F.greatest(F.col("bytes"), F.lit(1))
+    sample = labelled.join(sent_if_small(sizes, 80), "lang").filter(place < share).select("lang", "text")
     counts = sample.mapInArrow(_counts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     # At most one row per sampled byte.
-    rows = sorted((r["lang"], r["key"], r["n"]) for r in counts.collect())
-    return ContextTrees(rows, sorted({r["lang"] for r in sizes}))
+    return ContextTrees(counts.toArrow(), languages)
 
 
 def identify(docs: DataFrame, trees: ContextTrees, text: str = "text") -> DataFrame:

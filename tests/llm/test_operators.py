@@ -331,6 +331,17 @@ def test_language_without_labels(spark):
     assert language.identify(df, language.learn(df)).collect()[0]["lang_pred"] == "und"
 
 
+def test_every_labelled_language_is_learned(spark):
+    """More than 64 of them, each in letters of its own; the last by bytes in an own script too."""
+    words = lambda k: " ".join(chr(0x4E00 + 40 * k + (7 * i * i + j) % 40) for i in range(12) for j in range(3))
+    df = spark.createDataFrame([(k, words(k) * (1 + (k < 64)), f"l{k:02}") for k in range(70)], "doc_id long, text string, lang string")
+    for share in ({}, {"total_bytes": 70 * 60}):
+        trees = language.learn(df, **share)
+        assert trees.languages == [f"l{k:02}" for k in range(70)]
+    got = {r["lang"]: r["lang_pred"] for r in language.identify(df, language.learn(df)).collect()}
+    assert got == {k: k for k in got} and len(got) == 70
+
+
 def jump_by_the_book(key, n):
     key &= (1 << 64) - 1
     b, j = -1, 0
