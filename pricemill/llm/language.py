@@ -8,7 +8,8 @@ probabilities are scaled up accordingly, down to equal shares of all 256 bytes.
 of a text is a sum of table entries, which whole texts are looked up in.
 
 The trees of all labelled languages are fitted on a bounded sample of the labelled rows: about ``sample_bytes``
-of text per language, or an equal share of ``TOTAL_BYTES`` if that is less, drawn by a hash of id and text. Every text is scored whole.
+of text per language, or an equal share of ``TOTAL_BYTES`` if that is less, drawn in pieces of ``PIECE`` bytes by a hash of id, text and place. So a language
+whose text lies in a few long documents, or in copies of one row, has its share too. Every text is scored whole.
 
 Defined results: null text, or a text without a letter, is ``und`` with score 0; without any labelled
 text every row is ``und``; repeated rows get the same answer; a null id is never held out and never
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricemill.session import materialise
 
-from .bytework import rounds, tidy
+from .bytework import mixed, rounds, tidy
 from .common import documents, id_hash, sent_if_small
 
 ORDER = 3
 SAMPLE_BYTES = 1 << 20
 TOTAL_BYTES = 16 << 20
 ROUND = 500_000
+# Bytes that are drawn together, and the fewest that are drawn of a language on average.
+PIECE, LEAST_BYTES = 256, 8192
 # Table entries that one step of the scoring reads.
 STEP = 4_000_000
 # What a text starts with, in training and in scoring.
@@ -38,11 +41,19 @@ START = b"\n\n\n"
 
 
 def _counts(batches):
-    """(lang, key, n) of a batch: key holds ORDER + 1 bytes, the last of which followed the others."""
+    """(lang, key, n) of a batch: key holds ORDER + 1 bytes, the last of which followed the others, in a piece that is drawn."""
     for batch in batches:
         lang = batch.column("lang").to_numpy(zero_copy_only=False)
+        row, share = batch.column("row").to_numpy().view(np.uint64), batch.column("share").to_numpy()
         for i, j, data, offsets in rounds(batch.column("text")):
             grams, text = _grams(data, offsets)
+            size = np.diff(offsets)
+            pieces = -(-size // PIECE)
+            owner = np.repeat(np.arange(j - i), pieces)
+            nth = np.arange(len(owner)) - (np.cumsum(pieces) - pieces)[owner]
+            place = (mixed(row[i:j][owner] ^ mixed(nth.astype(np.uint64))) >> np.uint64(11)) / float(1 << 53)
+            drawn = np.repeat(place < share[i:j][owner], np.minimum(size[owner] - nth * PIECE, PIECE))
+            grams, text = grams[drawn], text[drawn]
             names, code = np.unique(lang[i:j].astype(str), return_inverse=True)
             key, n = np.unique(grams.astype(np.uint64) | (code[text].astype(np.uint64) << np.uint64(32)), return_counts=True)
             yield pa.RecordBatch.from_pydict({
@@ -194,16 +205,15 @@ class ContextTrees:
 
 def learn(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> ContextTrees:
     """Fit the trees of all languages on about ``sample_bytes`` of labelled text each, or equal shares of ``total_bytes``; rows without label don't count."""
-    labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"))
-    sizes = materialise(sizes, "language-sizes")
+    labelled = docs.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("lang", "text", F.xxhash64("doc_id", "text").alias("row"))
+    # Copies of a row are drawn together, so they count once for the share.
+    once = labelled.select("lang", "row", F.octet_length("text").cast("long").alias("bytes")).distinct()
+    sizes = materialise(once.groupBy("lang").agg(F.sum("bytes").alias("bytes")), "language-sizes")
     languages = sorted(r["lang"] for r in sizes.select("lang").collect())
     if not languages:
         return ContextTrees([], [])
-    each = min(sample_bytes, max(total_bytes // len(languages), 1))
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    share = each / F.greatest(F.col("bytes"), F.lit(1))
-    sample = labelled.join(sent_if_small(sizes, 80), "lang").filter(place < share).select("lang", "text")
+    each = min(sample_bytes, max(total_bytes // len(languages), LEAST_BYTES))
+    sample = labelled.join(sent_if_small(sizes, 80), "lang").select("lang", "text", "row", (each / F.col("bytes")).alias("share"))
     counts = sample.mapInArrow(_counts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     # At most one row per sampled byte.
     return ContextTrees(counts.toArrow(), languages)

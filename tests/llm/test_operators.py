@@ -342,6 +342,19 @@ def test_every_labelled_language_is_learned(spark):
     assert got == {k: k for k in got} and len(got) == 70
 
 
+def test_long_texts_and_copies_are_learned(spark):
+    """Few long documents, or copies of one row, of which whole rows were rarely drawn; a language of empty texts isn't learned."""
+    long = [(k, f"{w} " * 3000, w) for w in ("aqua", "bosque", "cedar") for k in range(3)]
+    copies = [(9, "dune " * 100, "dune")] * 60
+    df = spark.createDataFrame([*long, *copies, (10, "", "empty")], "doc_id long, text string, lang string")
+    trees = language.learn(df, sample_bytes=1500)
+    assert trees.languages == ["aqua", "bosque", "cedar", "dune"]
+    for name in trees.languages:
+        data, offsets = next((d, o) for _, _, d, o in rounds(__import__("pyarrow").array([f"{name} " * 20])))
+        bits = trees.lengths(data, offsets)[0]
+        assert trees.languages[bits.argmin()] == name and bits.min() < 2 * len(data)
+
+
 def jump_by_the_book(key, n):
     key &= (1 << 64) - 1
     b, j = -1, 0
