@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.quantiles import grouped_quantiles, median_and_mad
 from ..functions.scalars import positive_ln
 from ..params import APW_WINDOWS, FARE_CEILING, MAD_TO_SIGMA, SIGMA_PER_MAD
-from ..schemas import CABINS, CELL, FARE_LINE, PUBLISHABLE
+from ..schemas import CABINS, CELL, FARE_LINE, PRODUCT
 from ..session import materialise
 
 CELL_DAY = [*CELL, "collected_date"]
@@ -150,7 +150,7 @@ def clean(df: DataFrame, distances: DataFrame | None = None, tukey_k: float = 3.
           jump_sigma: float = 3.0, windows: Sequence[int] = APW_WINDOWS, price: str = "price_T", earlier: DataFrame | None = None) -> DataFrame:
     """Gates, outliers, jumps and dispositions. The gated rows feed several branches: they are written once.
 
-    ``earlier`` holds stored prices that precede this batch (``last_prices``), for the jump test.
+    ``earlier`` holds the stored prices of this batch's cells (``stored_prices``), for the jump test.
     """
     gated = materialise(validity_gates(df, distances, windows), "gated")
     flagged = flag_outliers(gated, tukey_k, hampel_z, price)
@@ -160,11 +160,15 @@ def clean(df: DataFrame, distances: DataFrame | None = None, tukey_k: float = 3.
     return assign_dispositions(flag_jumps(flagged, jump_sigma, price, history), price)
 
 
-def last_prices(store: DataFrame, price: str = "price_T") -> DataFrame:
-    """Publishable prices of every fare line on its last stored date."""
-    kept = store.where(F.col("disposition").isin(*PUBLISHABLE))
-    last = kept.groupBy(*FARE_LINE).agg(F.max("collected_date").alias("collected_date"))
-    return kept.join(last, [*FARE_LINE, "collected_date"]).select(*FARE_LINE, "collected_date", price)
+def stored_prices(store: DataFrame, batch: DataFrame) -> DataFrame:
+    """Prices of all stored rows in the cells of ``batch``, as they were before winsorising, without rows that ``batch`` repeats.
+
+    Rows of any disposition count, as they do within a batch: after a move that stays, only its first day is a jump.
+    """
+    key = [*PRODUCT, "collected_date", "source"]
+    kept = store.join(batch.select(*CELL).distinct(), CELL, "left_semi").join(batch.select(*key).distinct(), key, "left_anti")
+    before = F.col("total_fare") - F.coalesce(F.col("convenience_fee"), F.lit(0.0))
+    return kept.select(*FARE_LINE, "collected_date", before.alias("price_T"))
 
 
 def disposition_counts(df: DataFrame) -> DataFrame:

@@ -27,14 +27,14 @@ class ChargeBook:
 def ingest(raw: DataFrame, book: ChargeBook, store: str, distances: DataFrame | None = None, method: Method = Method()) -> None:
     """Decompose, clean and append a batch of any number of days at once.
 
-    The jump test looks back to the last stored price of every fare line before the batch.
+    The jump test runs over the stored prices of the batch's cells and the batch, so it finds what it would find had all come
+    at once. Only rows of the batch are flagged: a late row changes no stored flag.
     """
     spark = raw.sparkSession
     split = charges.decompose(raw, book.airports, book.taxes, book.rcs_routes, fee=book.fee, levy=book.levy)
     earlier = None
     if path_exists(spark, store):
-        begins = raw.agg(F.min("collected_date")).first()[0]
-        earlier = cleaning.last_prices(spark.read.parquet(store).where(F.col("collected_date") < F.lit(begins)))
+        earlier = cleaning.stored_prices(spark.read.parquet(store), raw)
     append_quotes(cleaning.clean(split, distances, method.tukey_k, method.hampel_z, method.jump_sigma, method.apw_windows, earlier=earlier), store)
 
 

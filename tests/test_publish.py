@@ -99,3 +99,19 @@ def test_daily_batches_look_back_into_the_store(spark):
     last = spark.read.parquet(f"{root}/store").where("collected_date = DATE'2026-05-05'")
     hit = {r["flight_number"] + r["fare_family"] for r in last.where("quality_flag IN ('LONGITUDINAL_JUMP', 'OUTLIER_CELL') AND apw_days = 7 AND route = 'DEL-BOM'").collect()}
     assert "0A" in hit
+
+
+def test_flags_by_day_with_a_late_row_are_those_at_once(spark):
+    root = work_dir(spark, "late")
+    book = ChargeBook(spark.createDataFrame([("DEL", 129.0, 236.0, date(2020, 1, 1), None)], CHARGES),
+                      spark.createDataFrame([("economy", 0.05, date(2020, 1, 1), None)], TAXES), spark.createDataFrame([], "route string"), fee=299.0)
+    late = (date(2026, 5, 3), date(2026, 5, 10), "DEL-BOM", "6E", 7, "99", "A", "economy", 0, "INR", 5200.0, "DEL", "BOM", False, "s")
+    whole = raw(spark, 8).union(spark.createDataFrame([late], COLS))
+    ingest(whole, book, f"{root}/once")
+    new = (F.col("collected_date") == F.lit(date(2026, 5, 8))) | (F.col("flight_number") == "99")
+    ingest(whole.where(~new), book, f"{root}/store")
+    for _ in range(2):  # the second time nothing is new
+        ingest(whole.where(new), book, f"{root}/store")
+    key = ["collected_date", "route", "apw_days", "flight_number", "fare_family", "quality_flag"]
+    once, by_day = (sorted(tuple(r) for r in spark.read.parquet(f"{root}/{s}").where(new).select(*key).na.fill("").collect()) for s in ("once", "store"))
+    assert once == by_day and sum(r[-1] == "LONGITUDINAL_JUMP" for r in once) > 2
