@@ -5,6 +5,9 @@ operators, string literals and names; constants are propagated through names and
 what a sensitively named target ends up holding is scored by the target's words and by the look of
 the value. The literals behind a flagged value are spans of kind ``literal``, wherever they stand.
 
+A name has the value of its latest assignment before it is used, or of its first one if it is used before; chains
+may be of any length. A statement runs over a line end at a joining sign and at a backslash.
+
 A text is scanned whole and on its own, in Arrow batches; only texts that hold an assignment sign and
 a telling stem are lexed.
 
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -37,9 +41,9 @@ STRONG = {"password", "passwd", "pwd", "passphrase", "secret", "token", "apikey"
 BEFORE_KEY = {"api", "access", "private", "secret", "signing", "encryption", "master", "auth", "service", "storage", "account"}
 NOT_A_VALUE = {"true", "false", "none", "null", "changeme", "change_me", "example", "password", "secret", "token", "undefined", "redacted", "placeholder"}
 
-TOKEN = (r"""(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
+TOKEN = (r"""(?P<text>"(?:[^"\\\n]|\\\r?\n|\\.)*"|'(?:[^'\\\n]|\\\r?\n|\\.)*'|`[^`\n]*`)"""
          r"""|(?P<name>[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*(?:\[["'][\w.\-]+["']\])?)"""
-         r"""|(?P<assign>:=|=>|(?<![=!<>+*/|&^%~-])=(?![=~])|:(?![:/]))|(?P<join>\+(?!=)|\.(?=\s))|(?P<blank>[ \t\r]+)|(?P<other>.)""")
+         r"""|(?P<assign>:=|=>|(?<![=!<>+*/|&^%~-])=(?![=~])|:(?![:/]))|(?P<join>\+(?!=)|\.(?=\s))|(?P<blank>(?:[ \t\r]|\\\r?\n)+)|(?P<line>\n)|(?P<other>.)""")
 BARE = r"^[ \t]*(?:-[ \t]+)?(?:export[ \t]+|set[ \t]+|ENV[ \t]+)?([A-Za-z_][\w.\-]*)[ \t]*[=:][ \t]*([^\s\"'`;,(){}<>$]+)[ \t\r]*(?:#.*)?$"
 RULES = {k: re.compile(p, f) for k, p, f in (("assign", ASSIGN, re.I | re.A), ("access", ACCESS, 0), ("hex", r"[0-9a-f]{24,}", 0),
                                              ("token", TOKEN, re.A), ("bare", BARE, re.A), ("part", r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", re.A))}
@@ -68,14 +72,33 @@ def sensitivity(name: str) -> int:
     return 1 if {"key", "auth", "pass", "cred", "creds"} & set(words) else 0
 
 
-def secrecy(value: str) -> int:
+HEAD = 32  # first characters of a value that tell a placeholder
+
+
+def look(value: str) -> tuple[int, str, Counter]:
+    """What ``secrecy`` needs of a value: its length, its head and how often it has each character."""
+    return len(value), value[:HEAD], Counter(value)
+
+
+def joined_look(looks: list) -> tuple[int, str, Counter]:
+    """The look of a concatenation, without building it: a name may stand in it very often."""
+    n, head, total = 0, "", Counter()
+    for size, first, count in looks:
+        if n < HEAD:
+            head = (head + first)[:HEAD]
+        n += size
+        total.update(count)
+    return n, head, total
+
+
+def secrecy(value: str | tuple[int, str, Counter]) -> int:
     """Points for the look of a value: length, mixed characters, spread; 0 for a placeholder."""
-    low = value.lower()
-    if len(value) < 6 or re.search(r"\s", value) or low in NOT_A_VALUE or re.match(r"(your|my|some|the)[-_ ]|<|\$\{|\{\{|%\(", low) or len(set(low)) < 4:
+    n, head, count = look(value) if isinstance(value, str) else value
+    low, chars = head.lower(), "".join(count)
+    if n < 6 or re.search(r"\s", chars) or n <= HEAD and low in NOT_A_VALUE or re.match(r"(your|my|some|the)[-_ ]|<|\$\{|\{\{|%\(", low) or len(set(chars.lower())) < 4:
         return 0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    bits = -sum(c / n * math.log2(c / n) for c in count.values() if c / n)
+    kinds = sum(bool(re.search(p, chars)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return 1 + (n >= 16) + (kinds >= 2) + (bits >= 3)
 
 
@@ -85,60 +108,98 @@ def literal_spans(text: str, low: str) -> list[tuple[str, int, int, int, int]]:
         return []
     statements: list[tuple[str, list]] = []  # (target, terms); a term is a name or (start, end) of a literal
     bare: list[tuple[str, int, int]] = []
-    start = 0
-    for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            if m := RULES["bare"].match(line):
-                bare.append((m[1], start + m.start(2), start + m.end(2)))
-            statements += _statements(line, start)
+    lines = text.split("\n")
+    start = begin = 0
+    for i, line in enumerate(lines):
+        if ("=" in line or ":" in line) and (m := RULES["bare"].match(line)):
+            bare.append((m[1], start + m.start(2), start + m.end(2)))
         start += len(line) + 1
-    constants: dict[str, list] = {}
-    for target, terms in statements:
-        constants.setdefault(target, terms)
-
-    def literals(terms: list, seen: frozenset) -> list | None:
-        out: list = []
-        for t in terms:
-            if isinstance(t, tuple):
-                out.append(t)
-            elif t in constants and t not in seen and len(seen) < 20:
-                more = literals(constants[t], seen | {t})
-                if more is None:
-                    return None
-                out += more
-            else:
-                return None  # not a constant: nothing is known about the value
-        return out
-
-    spans = set()
-    for target, terms in statements:
-        if sure := sensitivity(target):
-            parts = literals(terms, frozenset((target,)))
-            value = "".join(text[a:b] for a, b in parts or ())
-            if parts and (points := secrecy(value)) and sure + points >= (3 if sure == 2 else 5):
-                spans |= {p for p in parts if p[1] > p[0]}
+        # A statement goes on after a joining sign or a backslash at the end, or before a joining sign.
+        if i + 1 == len(lines) or not line.rstrip().endswith(("+", ".", "\\")) and not lines[i + 1].lstrip().startswith(("+", ".")):
+            block = text[begin:start - 1]
+            if "=" in block or ":" in block:
+                statements += _statements(block, begin)
+            begin = start
+    assigned: dict[str, list[int]] = {}  # the statements that assign a name, in order
+    for i, (target, _) in enumerate(statements):
+        assigned.setdefault(target, []).append(i)
+
+    def source(name: str, use: int) -> int | None:
+        """The statement that ``name`` has its value from in statement ``use``: the latest before it, else the first."""
+        own = assigned.get(name)
+        return own[max(bisect_left(own, use) - 1, 0)] if own else None
+
+    needs = [[source(t, i) for t in terms if isinstance(t, str)] for i, (_, terms) in enumerate(statements)]
+    known: dict[int, tuple | None] = {}  # look of each statement's value, None if it isn't a constant
+
+    def value(wanted: int) -> tuple | None:
+        stack, begun = [wanted], set()
+        while stack:
+            i = stack[-1]
+            if i not in known:
+                later = [n for n in needs[i] if n not in known]
+                # An unknown name, or a circle: nothing is known about the value.
+                if None in needs[i] or any(n in known and known[n] is None for n in needs[i]) or i in later or begun.intersection(later):
+                    known[i] = None
+                elif later:
+                    begun.add(i)
+                    stack += later
+                    continue
+                else:
+                    of = iter(needs[i])
+                    known[i] = joined_look([known[next(of)] if isinstance(t, str) else look(text[t[0]:t[1]]) for t in statements[i][1]])
+            begun.discard(i)
+            stack.pop()
+        return known[wanted]
+
+    flagged = []
+    for i, (target, _) in enumerate(statements):
+        if (sure := sensitivity(target)) and (has := value(i)) and (points := secrecy(has)) and sure + points >= (3 if sure == 2 else 5):
+            flagged.append(i)
+    spans, done = set(), set()
+    while flagged:
+        if (i := flagged.pop()) not in done:
+            done.add(i)
+            flagged += needs[i]
+            spans |= {t for t in statements[i][1] if not isinstance(t, str) and t[1] > t[0]}
     for target, a, b in bare:
-        value = text[a:b]
-        if sensitivity(target) == 2 and value not in constants and secrecy(value) >= 3 and re.search("[0-9]", value):
+        held = text[a:b]
+        if sensitivity(target) == 2 and held not in assigned and secrecy(held) >= 3 and re.search("[0-9]", held):
             spans.add((a, b))
     return [("literal", a, b, a, b) for a, b in sorted(spans)]
 
 
-def _statements(line: str, start: int) -> list[tuple[str, list]]:
-    """Assignments of one line: a name or quoted key, a sign, then literals and names joined by + or '.'."""
-    tokens = [(m.lastgroup, m[0], m.start()) for m in RULES["token"].finditer(line) if m.lastgroup != "blank"]
+def _statements(block: str, start: int) -> list[tuple[str, list]]:
+    """Assignments of lines that belong together: a name or quoted key, a sign, then literals and names joined by + or '.'."""
+    tokens = [(m.lastgroup, m[0], m.start()) for m in RULES["token"].finditer(block) if m.lastgroup != "blank"]
+    kinds = [t[0] for t in tokens] + ["end"] * 3
+
+    def after_lines(j: int) -> int:
+        while kinds[j] == "line":
+            j += 1
+        return j
+
     out = []
     for i in range(1, len(tokens) - 1):
-        if tokens[i][0] != "assign" or tokens[i - 1][0] not in ("name", "text"):
+        if kinds[i] != "assign" or kinds[i - 1] not in ("name", "text"):
             continue
         terms, j = [], i + 1
-        while j < len(tokens) and tokens[j][0] in ("name", "text"):
+        while kinds[j] in ("name", "text"):
             kind, what, at = tokens[j]
-            terms.append(what if kind == "name" else (start + at + 1, start + at + len(what) - 1))
-            if j + 1 < len(tokens) and tokens[j + 1][0] == "join":
-                j += 2
-            else:
+            if kind == "name":
+                terms.append(what)
+            else:  # a literal that a backslash carries over a line end has a part on each line
+                cuts = [(0, 1), *[m.span() for m in re.finditer(r"\\\r?\n", what)], (len(what) - 1, len(what))]
+                terms += [(start + at + a, start + at + b) for (_, a), (b, _) in zip(cuts, cuts[1:])]
+            join = after_lines(j + 1)
+            if kinds[join] != "join":
+                break
+            more = after_lines(join + 1)
+            # Over a line end, a sign that may belong to something else joins only a literal.
+            unsure = join > j + 1 or more > join + 1 and tokens[join][1] == "."
+            if unsure and (kinds[more] != "text" or kinds[more + 1] == "assign"):
                 break
+            j = more
         if terms:
             out.append((tokens[i - 1][1].strip("\"'`"), terms))
     return out

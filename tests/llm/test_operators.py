@@ -279,6 +279,26 @@ def test_secret_literals(text, found):
     assert [text[a:b] for k, a, b, _, _ in secret_scan.find(text) if k == "literal"] == found
 
 
+CHAIN = "".join(f"n{i} = n{i + 1}\n" for i in range(50)) + "n50 = 'q1w2e3r4t5'\ndb_password = n0"
+
+
+@pytest.mark.parametrize("text,found", [
+    (CHAIN, ["q1w2e3r4t5"]), ('k = os.getenv("X")\nk = "Qq77xx12z"\ndb_passwd2 = k\ndb_pwd = k\nk = "later99Zz"', ["Qq77xx12z"]),
+    ('db_pwd = "a8f3kd9z" +\n   "Qq77xx12"\n', ["a8f3kd9z", "Qq77xx12"]), ('db_pwd = "a8f3kd9z"\n   + "Qq77xx12"\n', ["a8f3kd9z", "Qq77xx12"]),
+    ('db_pwd = "a8f3" + \\\n "Qq77"', ["a8f3", "Qq77"]), ('db_pwd = "a8f3\\\nQq77"\n', ["a8f3", "Qq77"]),
+    ('db_pwd = "a8f3kd9z"\n+ other = "x"', ["a8f3kd9z"]), ("db_pwd: 'a8f3kd9z' .\nThe end", ["a8f3kd9z"]), ("db_pwd = db_pwd", []),
+    ("db_pwd = k\nk = 'a8f3kd9z'", ["a8f3kd9z"]), ("k = 'a8f3kd9z'\nk = k + 'B'\ndb_pwd = k", ["a8f3kd9z", "B"])])
+def test_secret_constants(text, found):
+    assert [text[a:b] for k, a, b, _, _ in secret_scan.find(text) if k == "literal"] == found
+
+
+def test_secret_constants_that_double():
+    text = "".join(f"n{i} = n{i + 1} + n{i + 1}\n" for i in range(300)) + "n300 = 'q1w2e3r4t5'\ndb_pwd = n0"
+    assert [text[a:b] for k, a, b, _, _ in secret_scan.find(text) if k == "literal"] == ["q1w2e3r4t5"]
+    text = "db_pwd = 'a8f3kd9z'\n" + "db_pwd = db_pwd + 'x'\n" * 5000
+    assert len(secret_scan.find(text)) == 5001
+
+
 def test_secrets_are_masked(spark):
     df = spark.createDataFrame([('password: hunter22 and token = "0123456789abcdef0123456789"',), (None,), ("plain",)], "text string")
     assert [r[0] for r in df.select(secret_scan.redacted(df["text"])).collect()] == ['password: [secret] and token = "[secret]"', None, "plain"]
