@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard_join, language, lm_score, mixing, pieces, quality, secret_scan, sharding, substrings
+from . import cells, codebooks, fingerprints, jaccard_join, language, lm_score, mixing, pieces, polytope, quality, secret_scan, sharding, substrings
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8,
     "op9_language_id": language.op9,
     "op10_jump_shards": sharding.op10,
+    "op11_va_clusters": cells.op11,
+    "op12_polytope_dedup": polytope.op12,
+    "op13_bounded_codes": codebooks.op13,
 }
 
 ORACLES = {
@@ -22,4 +25,7 @@ ORACLES = {
     "op2_jaccard_join": jaccard_join.OP2_SQL,
     "op7_cover_dedup": substrings.OP7_SQL,
     "op10_jump_shards": sharding.OP10_SQL,
+    "op11_va_clusters": cells.OP11_SQL,
+    "op12_polytope_dedup": polytope.OP12_SQL,
+    "op13_bounded_codes": codebooks.OP13_SQL,
 }

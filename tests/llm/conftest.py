@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
@@ -37,17 +38,50 @@ def rows(seed=5):
     return [r + ("clash",) * (len(SCHEMA) - 5) for r in out]
 
 
+VECTORS = T.StructType([
+    T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()),
+    *[T.StructField(c, T.StringType()) for c in ("cluster", "distance", "cells", "components", "codes", "error", "lists", "node", "key", "keys", "ball", "copies", "vector", "n")]])
+
+
+def vector_rows(seed=7):
+    """Random vectors, families of near copies, pairs about the threshold, copies, and odd vectors."""
+    rnd = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x)
+    out = [unit(rnd.normal(size=64)) for _ in range(150)]
+    for size, noise in ((40, 0.10), (12, 0.15), (9, 0.22), (30, 0.3)):
+        base = unit(rnd.normal(size=64))
+        out += [unit(base + noise * unit(rnd.normal(size=64))) for _ in range(size)]
+    for cos in np.linspace(0.94, 0.96, 41):
+        a = unit(rnd.normal(size=64))
+        z = rnd.normal(size=64)
+        out += [a, cos * a + np.sqrt(1 - cos * cos) * unit(z - (z @ a) * a)]
+    out = [x.astype(np.float32).tolist() for x in out]
+    out += [out[3]] * 25 + [out[160]] * 3 + [[3.0 * v for v in out[5]]]
+    out += [None, [], [0.0] * 64, [0.0] * 64, [1.0] * 63 + [None], [1.0] * 63 + [float("nan")], [float("inf")] + [1.0] * 63, [1.0, 2.0, 3.0, 4.0], [2.0, 4.0, 6.0, 8.0],
+            [-1.0], [-2.0], [5.0], [1e30] * 64, [1e-30] * 64, [-1e30] * 64]
+    rows = [(7 * i % 1009, x, None if i % 11 == 0 else i % 4) for i, x in enumerate(out)]
+    rows += [(None, out[3], 1), (None, out[40], 1), (rows[8][0], out[70], 2), (rows[8][0], out[8], 2), rows[9]]
+    return [r + ("clash",) * (len(VECTORS) - 3) for r in rows]
+
+
 @pytest.fixture(scope="session")
 def fixture_dir(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("docs"))
     spark.createDataFrame(rows(), SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(vector_rows(), VECTORS).repartition(3).write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
+@pytest.fixture(scope="session")
+def vectors(spark, fixture_dir):
+    return [tuple(r)[:3] for r in spark.read.parquet(f"{fixture_dir}/embeddings.parquet").collect()]
+
+
 @pytest.fixture(scope="session")
 def empty_dir(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("none"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], VECTORS).write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
