@@ -25,17 +25,39 @@ def event_stream(spark, sf):
     return runs.file_stream(spark, f"{sf}/events*.parquet", schema)
 
 
+# Files that a trigger reads.
+TRIGGER_FILES = 8
+
+
+def triggered(spark, rows, part, count):
+    """``rows`` as a stream of ``count`` triggers; ``part`` numbers the trigger of a row from 0."""
+    root = work_dir(spark, "triggers")
+    numbered = rows.withColumn("_part", part)
+    for i in range(count):  # files are read in the order of their writing
+        numbered.where(F.col("_part") == i).drop("_part").repartition(TRIGGER_FILES).write.mode("append").parquet(root)
+    return runs.file_stream(spark, root, rows.schema, files_per_trigger=TRIGGER_FILES)
+
+
 def late_stream(spark, sf):
-    """The events in three triggers, the newest days first: most rows arrive days late."""
+    """The events in three triggers, the newest days first: most rows arrive days late. Events without a time come last."""
+    events = R.table(spark, sf, "events")
+    day = F.unix_date(F.to_date("ts"))
+    span = events.agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    first, last = span.select("first").scalar(), span.select("last").scalar()
+    return triggered(spark, events, F.coalesce(F.floor(3 * (last - day) / (last - first + 1)), F.lit(2)), 3)
+
+
+LATENESS_DAYS = 40
+
+
+def shuffled_stream(spark, sf):
+    """The events in five triggers without any order, and a closing tick that lets the watermark pass all of them."""
     events = R.table(spark, sf, "events")
-    root = work_dir(spark, "events")
-    day = F.to_date("ts")
-    third = F.ntile(3).over(Window.orderBy(F.desc("day")))
-    parts = events.select(day.alias("day")).distinct().withColumn("part", third)
-    events.withColumn("day", day).join(parts, "day").drop("day").write.partitionBy("part").parquet(root)
-    for part in ("1", "2", "3"):  # files are read in the order of their writing
-        spark.read.schema(events.schema).parquet(f"{root}/part={part}").coalesce(2).write.mode("append").parquet(f"{root}-files")
-    return runs.file_stream(spark, f"{root}-files", events.schema, files_per_trigger=2)
+    tick = events.agg(F.max("ts").alias("ts")).select(*[
+        (F.col("ts") + F.expr(f"INTERVAL {LATENESS_DAYS + 1} DAY") if c == "ts" else F.lit(-1) if c in ("event_id", "user_id") else F.lit(None)).cast(t).alias(c)
+        for c, t in events.dtypes])
+    part = F.when(F.col("event_id") < 0, 5).otherwise(F.pmod(F.xxhash64("event_id"), F.lit(5)))
+    return triggered(spark, events.unionByName(tick), part, 6)
 
 
 def attempt_stream(spark, sf, events=event_stream):
@@ -122,7 +144,8 @@ def _(spark, sf):
           FROM run r JOIN att a ON a.source = r.source AND a.adapter = r.adapter AND a.rn = r.rn + 1))
   SELECT source, adapter, event_id, at_ts AS "at", state, consecutive, cooldown_until FROM run WHERE rn > 0""")
 def _(spark, sf):
-    return runs.run_to_table(stateful.circuit_states(attempt_stream(spark, sf)), "circuit").drop("epoch")
+    stream = attempt_stream(spark, sf, shuffled_stream)
+    return runs.run_to_table(stateful.circuit_states(stream, f"{LATENESS_DAYS} days"), "circuit", **runs.ROCKS).drop("epoch")
 
 
 @query("T6s_stream_adapter_totals", f"""

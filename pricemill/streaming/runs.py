@@ -31,9 +31,26 @@ def _local_state_partitions(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def drain(stream: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+# State with timers and several variables per key lives in RocksDB.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings that a stream reads when it starts."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def drain(stream: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, int], None], mode: str = "append", **settings: str) -> None:
     """Process all input now available, batch by batch, then stop."""
-    with _local_state_partitions(stream.sparkSession):
+    with _local_state_partitions(stream.sparkSession), _settings(stream.sparkSession, settings):
         q = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).foreachBatch(each_batch).start())
         q.awaitTermination()
@@ -46,11 +63,11 @@ def to_folder(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_to_table(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, purpose: str, mode: str = "append", **settings: str) -> DataFrame:
     """Drain a stream into a fresh folder and return it as a table with its ``epoch``."""
     spark = stream.sparkSession
     root = work_dir(spark, purpose)
-    drain(stream, f"{root}/checkpoint", to_folder(f"{root}/out"), mode)
+    drain(stream, f"{root}/checkpoint", to_folder(f"{root}/out"), mode, **settings)
     return spark.read.parquet(f"{root}/out")
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ledger import GENESIS
@@ -34,7 +35,11 @@ def adapter_totals(stream: DataFrame) -> DataFrame:
 
 
 CIRCUIT_OUT = "source string, adapter string, event_id long, at timestamp, state string, consecutive long, cooldown_until timestamp"
-CIRCUIT_STATE = "state string, consecutive long, cooldown_until timestamp"
+CIRCUIT_STATE = "state string, consecutive long, cooldown_until timestamp, last_ms long"
+WAITING = "attempts array<struct<at: long, event_id: long, success: boolean, status: string>>"
+# Attempts are ordered and folded by slots of so many seconds.
+SLOT_SECONDS = 600
+EPOCH = datetime(1970, 1, 1)
 
 
 # What an attempt does to a circuit, by the state it finds and its outcome: the state it leaves, the count of
@@ -62,21 +67,74 @@ def next_circuit(state: str, consecutive: int, until, at, success: bool, status:
     return left, counts[count], clocks[clock]
 
 
-def circuit_states(stream: DataFrame) -> DataFrame:
-    """One row per attempt with the circuit state that follows it, in time order within a trigger."""
-    def run(key, batches, state: GroupState):
-        now = tuple(state.get) if state.exists else ("closed", 0, None)
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+class CircuitProcessor(StatefulProcessor):
+    """The circuit of one (source, adapter), fed in time order whatever the order of arrival.
+
+    Attempts wait in slots of ``slot_seconds``, one list per slot in map state, with an event-time timer at the slot's end.
+    When the watermark passes it, no earlier attempt can come any more: the slot is sorted, folded into the circuit and
+    forgotten. So memory holds one slot of one circuit, and the result doesn't depend on how the input was cut into triggers.
+    A circuit in its first state takes no room: it is dropped and begun anew with the next failure. One that rested for
+    ``idle_seconds`` is dropped in any state, if that is given.
+    """
+
+    def __init__(self, slot_seconds: int = SLOT_SECONDS, idle_seconds: int | None = None,
+                 threshold: int = FAILURE_THRESHOLD, cooldown: int = COOLDOWN_SECONDS):
+        self.slot_ms, self.idle_ms = slot_seconds * 1000, idle_seconds and idle_seconds * 1000
+        self.threshold, self.cooldown = threshold, cooldown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.circuit = handle.getValueState("circuit", CIRCUIT_STATE)
+        self.waiting = handle.getMapState("waiting", "slot long", WAITING)
+
+    def handleInputRows(self, key, rows, timerValues):
+        for part in rows:
+            at = part["at"].astype("datetime64[us]").astype("int64")
+            for slot, some in part.assign(_at=at, _slot=at // 1000 // self.slot_ms).groupby("_slot"):
+                held = self.waiting.getValue((int(slot),))
+                new = list(zip(some["_at"].tolist(), some["event_id"].tolist(), some["success"].tolist(), some["status"].tolist()))
+                if held is None:
+                    self.handle.registerTimer((int(slot) + 1) * self.slot_ms)
+                self.waiting.updateValue((int(slot),), ([*(tuple(r) for r in held[0]), *new] if held else new,))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        held = self.waiting.getValue((end // self.slot_ms - 1,)) if end % self.slot_ms == 0 else None
+        if held is None:  # the timer of a circuit at rest
+            if self.circuit.exists() and self.circuit.get()[3] + self.idle_ms + 1 == end:
+                self.circuit.clear()
+            yield pd.DataFrame()
+            return
+        self.waiting.removeKey((end // self.slot_ms - 1,))
+        now = self.circuit.get()[:3] if self.circuit.exists() else ("closed", 0, None)
         out = []
-        for ident, at, ok, status in zip(rows["event_id"], rows["at"], rows["success"], rows["status"]):
-            now = next_circuit(*now, at.to_pydatetime(), bool(ok), status)
+        for micros, ident, success, status in sorted((tuple(r) for r in held[0]), key=lambda r: r[:2]):
+            at = EPOCH + timedelta(microseconds=micros)
+            now = next_circuit(*now, at, bool(success), status, self.threshold, self.cooldown)
             out.append((*key, ident, at, *now))
-        state.update(now)
+        if now == ("closed", 0, None):
+            self.circuit.clear()
+        else:
+            self.circuit.update((*now, micros // 1000))
+            if self.idle_ms:
+                self.handle.registerTimer(micros // 1000 + self.idle_ms + 1)
         yield pd.DataFrame(out, columns=["source", "adapter", "event_id", "at", "state", "consecutive", "cooldown_until"]).astype(
-            {"cooldown_until": "datetime64[us]"})
+            {"at": "datetime64[us]", "cooldown_until": "datetime64[us]"})
 
-    return stream.groupBy("source", "adapter").applyInPandasWithState(
-        run, CIRCUIT_OUT, CIRCUIT_STATE, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def circuit_states(stream: DataFrame, lateness: str = "1 hour", **options) -> DataFrame:
+    """One row per attempt with the circuit state that follows it, in time order however the attempts arrive.
+
+    An attempt is answered when the watermark, ``lateness`` behind the newest attempt of any circuit, has passed its slot;
+    one that comes even later is dropped by the watermark and counted in the stream's progress. Attempts without a time have no
+    place in the order and are left out; split them off before. The query needs the RocksDB state store (``runs.ROCKS``).
+    """
+    timed = stream.select("source", "adapter", "event_id", "success", "status", "at").where(F.col("at").isNotNull()).withWatermark("at", lateness)
+    return timed.groupBy("source", "adapter").transformWithStateInPandas(CircuitProcessor(**options), CIRCUIT_OUT, "append", "eventTime")
 
 
 CHAIN_OUT = "source string, lane long, seq long, event_id long, body string, prev_hash string, this_hash string"

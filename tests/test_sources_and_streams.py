@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -100,18 +101,44 @@ def attempts(spark, path, files=3):
     return rows
 
 
-def test_circuit_state_over_several_batches_equals_a_loop(spark):
-    path = work_dir(spark, "attempts")
-    rows = attempts(spark, path)
+ATTEMPT = "event_id long, source string, adapter string, status string, at timestamp"
+
+
+def write_attempts(spark, path, rows):
+    spark.createDataFrame(rows, ATTEMPT).withColumn("success", F.col("status") == "success").coalesce(1).write.mode("append").parquet(path)
+
+
+@pytest.mark.parametrize("triggers", [1, 5])
+@pytest.mark.parametrize("slot", [30, 600])
+def test_circuit_state_of_shuffled_triggers_equals_a_loop(spark, triggers, slot):
+    rows, path = attempts(spark, work_dir(spark, "unused")), work_dir(spark, "attempts")
+    mixed = [*rows, (500, "s0", "a", "success", None)]
+    random.Random(triggers).shuffle(mixed)
+    for i in range(triggers):
+        write_attempts(spark, path, mixed[i::triggers])
+    write_attempts(spark, path, [(-1, "tick", "", "success", datetime(2026, 1, 3))])  # moves the watermark past all
     stream = runs.file_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
-    got = {r["event_id"]: (r["state"], r["consecutive"], r["cooldown_until"]) for r in runs.run_to_table(stateful.circuit_states(stream), "circuit").collect()}
-    state = {}
+    found = runs.run_to_table(stateful.circuit_states(stream, "12 hours", slot_seconds=slot), "circuit", **runs.ROCKS).collect()
+    got = {r["event_id"]: (r["state"], r["consecutive"], r["cooldown_until"]) for r in found}
+    state, want = {}, {}
     for ident, source, _, status, at in rows:
-        state[source] = stateful.next_circuit(*state.get(source, ("closed", 0, None)), at, status == "success", status)
-        assert got[ident] == state[source]
+        want[ident] = state[source] = stateful.next_circuit(*state.get(source, ("closed", 0, None)), at, status == "success", status)
+    assert got == want and len(found) == len(want)
     assert {s for s, *_ in got.values()} >= {"open", "closed"}
 
 
+def test_idle_circuits_are_dropped(spark):
+    base, path = datetime(2026, 1, 1), work_dir(spark, "idle")
+    write_attempts(spark, path, [(i, "s", "a", "network_error", base + timedelta(seconds=i)) for i in range(4)])
+    write_attempts(spark, path, [(9, "tick", "", "success", base + timedelta(hours=5))])
+    write_attempts(spark, path, [(10, "s", "a", "network_error", base + timedelta(hours=6))])
+    write_attempts(spark, path, [(11, "tick", "", "success", base + timedelta(hours=12))])
+    stream = runs.file_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
+    for idle, count in ((3600, 1), (36000, 5)):
+        rows = runs.run_to_table(stateful.circuit_states(stream, "10 minutes", idle_seconds=idle), "idle", **runs.ROCKS).where("event_id = 10").collect()
+        assert [(r["consecutive"], r["state"]) for r in rows] == [(count, "open" if count == 5 else "closed")]
+
+
 def test_cooled_circuit_is_probed_half_open():
     until = datetime(2026, 1, 1)
     assert stateful.next_circuit("open", 5, until, until, False, "no_results")[0] == "half_open"
