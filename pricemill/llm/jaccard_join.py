@@ -13,7 +13,8 @@ link when their overlap is at least ``SHARE`` percent of their union.
 3. Row blocks: components of the candidates bound where links can be. Inside one, the product of the
    document by n-gram incidence with its transpose accumulates exact overlap counts, block of rows by block
    of rows; pairs below the bound that their sizes set are discarded. Every block leaves a spanning
-   forest of its links, so the output is linear in the documents and no link between components is lost.
+   forest of its links, so the output is linear in the documents and no link between components is lost. In a cluster
+   of many blocks all members are compared with two hubs first; members that the hubs connect aren't compared with one another.
 4. Components of the links are the classes.
 
 Copies within a batch of a task are joined there, so the shuffle of 2 carries at most a row per batch and content.
@@ -29,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pricemill.session import materialise
 
@@ -264,33 +265,85 @@ def _links(share: int):
     return run
 
 
-def product_tasks(members: DataFrame, share: int = SHARE, task_grams: int = TASK_GRAMS, task_docs: int = TASK_DOCS) -> DataFrame:
-    """doc_id and ``tasks`` (task, side) of ``members`` (doc_id, cluster, n).
+def _parts(task_grams: int, task_docs: int) -> Column:
+    """Tasks that the rows of a group fill."""
+    return F.greatest(F.ceil(F.sum("n") / task_grams), F.ceil(F.count(F.lit(1)) / task_docs)).cast("int")
+
+
+def hub_tasks(members: DataFrame, task_grams: int = TASK_GRAMS, task_docs: int = TASK_DOCS) -> DataFrame:
+    """doc_id and ``tasks`` (task, side) that compare every member of a large cluster with the cluster's hubs.
 
-    A small cluster is one task. A large one is cut by size bands — linked sizes lie in one band or in
-    neighbours — and each band into row blocks; every two row blocks that can hold links are a task.
+    A cluster has two hubs, drawn by hash. A hub goes to every row block, any other member to one: linear in the members.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / -float(np.log(share / 100 - 0.005))).cast("int")
-    banded = members.withColumn("band", band)
-    fits = lambda grams, docs: F.greatest(F.ceil(grams / task_grams), F.ceil(docs / task_docs)).cast("int")
-    whole = banded.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), fits(F.sum("n"), F.count(F.lit(1))).alias("parts")).filter("docs > 1").drop("docs")
-    cut = banded.groupBy("cluster", "band").agg(fits(F.sum("n"), F.count(F.lit(1))).alias("blocks"))
-    near = lambda step, name: cut.select("cluster", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
-    sized = banded.join(whole, "cluster").join(cut, ["cluster", "band"]).join(near(1, "below"), ["cluster", "band"], "left").join(near(-1, "above"), ["cluster", "band"], "left")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    order = F.struct(F.xxhash64("doc_id", F.lit(7)).alias("h"), "doc_id")
+    large = members.groupBy("cluster").agg(_parts(task_grams, task_docs).alias("parts"), F.min(order).alias("_low"), F.max(order).alias("_high")).filter("parts > 1")
+    placed = members.join(large, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    at = lambda block, side: F.struct(F.xxhash64(F.col("cluster"), block, F.lit(-2)).alias("task"), F.lit(side).alias("side"))
+    hub = (F.col("doc_id") == F.col("_low.doc_id")) | (F.col("doc_id") == F.col("_high.doc_id"))
+    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: at(j, 0))
+    own = F.array(at(F.col("block"), 1))
+    return placed.select("doc_id", F.when(hub, F.concat(every, own)).otherwise(own).alias("tasks"))
 
-    def task(low_band, low, high_band, high, side):
-        return F.struct(F.xxhash64(F.col("cluster"), low_band, low, high_band, high).alias("task"), F.lit(side).cast("int").alias("side"))
 
-    def others(n, make):
-        return F.transform(F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), make)
+def product_tasks(members: DataFrame, share: int = SHARE, task_grams: int = TASK_GRAMS, task_docs: int = TASK_DOCS) -> DataFrame:
+    """doc_id and ``tasks`` (task, side) of ``members`` (doc_id, cluster, n, core).
 
-    b = F.col("band")
-    own = others(F.col("blocks"), lambda j: F.when(j < F.col("block"), task(b, j, b, F.col("block"), 1)).otherwise(task(b, F.col("block"), b, j, 0)))
-    up = others(F.col("above"), lambda j: task(b, F.col("block"), b + 1, j, 0))
-    down = others(F.col("below"), lambda j: task(b - 1, j, b, F.col("block"), 1))
-    one = F.array(F.struct(F.xxhash64(F.col("cluster"), F.lit(-1), F.lit(0), F.lit(-1), F.lit(0)).alias("task"), F.lit(0).alias("side")))
-    return sized.withColumn("block", block).select("doc_id", F.when(F.col("parts") <= 1, one).otherwise(F.concat(own, up, down)).alias("tasks"))
+    A small cluster is one task. A large one is cut by size bands — linked sizes lie in one band or in neighbours — and each
+    band into row blocks, those of the core (members known to be of one component) apart from those of the rest; every two row blocks
+    that can hold links are a task, but for two of the core.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / -float(np.log(share / 100 - 0.005))).cast("int")
+    banded = members.withColumn("band", band)
+    whole = banded.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), _parts(task_grams, task_docs).alias("parts")).filter("docs > 1").drop("docs")
+    cut = banded.groupBy("cluster", "band", "core").agg(_parts(task_grams, task_docs).alias("blocks"))
+    both = cut.groupBy("cluster", "band").agg(F.max(F.when(~F.col("core"), F.col("blocks"))).alias("rest"), F.max(F.when(F.col("core"), F.col("blocks"))).alias("cores"))
+    near = lambda step, name: both.select("cluster", (F.col("band") + step).alias("band"), F.struct("rest", "cores").alias(name))
+    sized = banded.join(whole, "cluster")
+    for step, name in ((0, "here"), (1, "below"), (-1, "above")):
+        sized = sized.join(near(step, name), ["cluster", "band"], "left")
+    block = F.pmod(F.xxhash64("doc_id"), F.when(F.col("core"), F.col("here.cores")).otherwise(F.col("here.rest"))).cast("int")
+    me = F.struct("band", "core", "block")
+
+    def blocks(name: str, step: int, core: bool) -> Column:
+        n = F.coalesce(F.col(f"{name}.{'cores' if core else 'rest'}"), F.lit(0))
+        numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda j: F.struct((F.col("band") + step).alias("band"), F.lit(core).alias("core"), j.alias("block")))
+
+    def task(other: Column) -> Column:
+        low, high = F.least(me, other), F.greatest(me, other)
+        return F.struct(F.xxhash64(F.col("cluster"), low.band, low.core, low.block, high.band, high.core, high.block).alias("task"),
+                        F.when(me <= other, 0).otherwise(1).alias("side"))
+
+    around = (("here", 0), ("below", -1), ("above", 1))
+    rest = F.concat(*[blocks(name, step, False) for name, step in around])
+    cores = F.concat(*[blocks(name, step, True) for name, step in around])
+    meets = F.when(F.col("core"), rest).otherwise(F.concat(rest, cores))
+    one = F.array(F.struct(F.xxhash64(F.col("cluster"), F.lit(-1)).alias("task"), F.lit(0).alias("side")))
+    return sized.withColumn("block", block).select("doc_id", F.when(F.col("parts") <= 1, one).otherwise(F.transform(meets, task)).alias("tasks"))
+
+
+def cluster_links(docs: DataFrame, members: DataFrame, n: int, share: int, **task) -> DataFrame:
+    """(a, b): edges that connect whatever links connect inside each of the clusters of ``members`` (doc_id, cluster, n).
+
+    The members of a large cluster are first compared with its hubs alone. The largest component that this finds is
+    the cluster's core; after that only what is outside the core is compared, with the core and with itself. So a family of near copies
+    costs as much as it has members, and only members far from the hubs cost more.
+    """
+    def linked(tasks: DataFrame, purpose: str) -> DataFrame:
+        sets = docs.join(sent_if_small(tasks, 80), "doc_id").mapInArrow(_sets(n), "doc_id long, tasks array<struct<task:long,side:int>>, grams binary")
+        dealt = sets.select("doc_id", "grams", F.explode("tasks").alias("t")).select("t.task", "t.side", "doc_id", "grams")
+        return materialise(dealt.repartition("task").sortWithinPartitions("task", "side", "doc_id").mapInArrow(_links(share), "a long, b long"), purpose)
+
+    first = materialise(hub_tasks(members, **task), "hub-tasks")
+    if first.isEmpty():
+        return linked(materialise(product_tasks(members.withColumn("core", F.lit(False)), share, **task), "product-tasks"), "links")
+    near = linked(first, "hub-links")
+    label = components(near, "hub-components").select(F.col("node").alias("doc_id"), "root")
+    sizes = members.join(label, "doc_id").groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size"))
+    core = materialise(sizes.groupBy("cluster").agg(F.max(F.struct("size", "root")).alias("c")).select(F.col("c.root").alias("root"), F.lit(True).alias("core")), "cores")
+    marked = members.join(label.join(sent_if_small(core, 16), "root").select("doc_id", "core"), "doc_id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    tasks = materialise(product_tasks(materialise(marked, "marked-members"), share, **task), "product-tasks")
+    return linked(tasks.filter(F.size("tasks") > 0), "links").union(near)
 
 
 def join_components(docs: DataFrame, n: int = N, share: int = SHARE, **task) -> DataFrame:
@@ -306,10 +359,7 @@ def join_components(docs: DataFrame, n: int = N, share: int = SHARE, **task) ->
         F.col("doc").alias("a"), F.coalesce("peer", "least").alias("b")).filter("a <> b").distinct()
     clusters = components(least, "candidates")
     members = clusters.join(first.select(F.col("rep").alias("node"), "n"), "node").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), "n")
-    tasks = materialise(product_tasks(materialise(members, "members"), share, **task), "product-tasks")
-    sets = keyed.join(sent_if_small(tasks, 80), "doc_id").mapInArrow(_sets(n), "doc_id long, tasks array<struct<task:long,side:int>>, grams binary")
-    dealt = sets.select("doc_id", "grams", F.explode("tasks").alias("t")).select("t.task", "t.side", "doc_id", "grams")
-    links = dealt.repartition("task").sortWithinPartitions("task", "side", "doc_id").mapInArrow(_links(share), "a long, b long")
+    links = cluster_links(keyed, materialise(members, "members"), n, share, **task)
     # Rows of one id that hold several sets make these sets one node.
     reps = real.join(first.select("m1", "m2", "rep"), ["m1", "m2"]).select("doc_id", "rep")
     same = reps.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
@@ -320,18 +370,21 @@ def join_components(docs: DataFrame, n: int = N, share: int = SHARE, **task) ->
 
 
 def keep_one(docs: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
-    """``docs`` without all documents of a component but the one with the smallest id.
+    """``docs`` with one row of every component: the one with the smallest id; a row without id only where no row has one.
 
-    Of rows that share an id, the one with the smallest text (null first) stays. Rows without id all stay.
+    A row is judged by its own text. Rows that share an id but not their texts are documents of their own: each goes only
+    if its own text has a near copy that is kept. Texts without a word link with nothing and stay, also where they repeat.
     """
-    classes = join_components(docs, n, share)
-    gone = materialise(classes.filter("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    twice = materialise(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
-    left = docs.join(sent_if_small(gone, 32), "doc_id", "left_anti")
-    plain = left.join(sent_if_small(twice, 32), "doc_id", "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]])
-    repeated = left.join(sent_if_small(twice, 32), "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
-    return plain.unionByName(repeated).select(*docs.columns)
+    # Rows have a number of their own for the join; it is written down, since it must not change.
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    classes = join_components(numbered.select(F.col("_row").alias("doc_id"), "text"), n, share).select(F.col("doc_id").alias("_row"), "component_id")
+    whole = materialise(classes, "row-classes")
+    several = whole.groupBy("component_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("component_id")
+    placed = whole.join(several, "component_id").join(numbered.select("_row", "doc_id"), "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    kept = materialise(placed.groupBy("component_id").agg(F.min(order).alias("k")).select(F.col("k._row").alias("_row")), "kept-rows")
+    gone = materialise(whole.join(several, "component_id", "left_semi").join(kept, "_row", "left_anti").select("_row"), "copies")
+    return numbered.join(sent_if_small(gone, 16), "_row", "left_anti").select(*docs.columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

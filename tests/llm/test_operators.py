@@ -10,9 +10,10 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from compare import check, connect
 
-from pricemill.llm import fingerprints, jaccard_join, language, lattice, mixing, pieces, quality, queries, secret_scan, sharding, substrings
+from pricemill.llm import fingerprints, jaccard_join, language, lattice, mixing, pieces, polytope, quality, queries, secret_scan, sharding, substrings
 from pricemill.llm.bytework import rounds
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -91,8 +92,62 @@ def test_jaccard_components(spark, fixture_dir, documents, n, share, task):
     want = linked(documents, n, share)
     assert by_row(rows, "doc_id", "n_shingles", "component_id") == collections.Counter(
         (d["doc_id"], len(shingles(lower(d["text"] or ""), n)), want.get(d["doc_id"])) for d in documents)
-    kept = collections.Counter(r["doc_id"] for r in jaccard_join.keep_one(docs, n, share).collect())
-    assert kept == collections.Counter({i: 1 for i, r in want.items() if i == r} | {None: sum(d["doc_id"] is None for d in documents)})
+
+
+def kept_rows(documents, n, share):
+    """(doc_id, text) of the rows that stay when every row is judged by its own text."""
+    sets = [shingles(lower(d["text"] or ""), n) for d in documents]
+    near = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b])]
+    root = polytope.forest(np.array([a for a, _ in near]), np.array([b for _, b in near]), len(sets))
+    first = {}
+    for i, d in enumerate(documents):
+        key = (d["doc_id"] is None, d["doc_id"] or 0, i)
+        first[root[i]] = min(first.get(root[i], key), key)
+    return collections.Counter((documents[key[2]]["doc_id"], documents[key[2]]["text"]) for key in first.values())
+
+
+@pytest.mark.parametrize("n,share", [(3, 90), (5, 80)])
+def test_keep_one_judges_rows_by_their_own_text(spark, fixture_dir, documents, n, share):
+    rows = documents + [  # two unrelated texts under one id; a copy and an unrelated text under one id; a copy without an id
+        {"doc_id": 900, "text": "first of two texts that share nothing but a number of their source"},
+        {"doc_id": 900, "text": "an entirely different report about rivers and the towns along them"},
+        {"doc_id": 903, "text": "first of two texts that share nothing but a number of their source"},
+        {"doc_id": 903, "text": "some third matter altogether written down by someone else again"},
+        {"doc_id": None, "text": "some third matter altogether written down by someone else again"},
+        {"doc_id": None, "text": "only here and without any number at all in this table"}]
+    table = spark.createDataFrame([(r["doc_id"], r["text"], "x") for r in rows], "doc_id long, text string, component_id string").repartition(4)
+    got = jaccard_join.keep_one(table, n, share)
+    assert got.columns == table.columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == kept_rows(rows, n, share)
+
+
+def test_large_families_cost_as_much_as_they_have_members(spark):
+    """Rows dealt for one cluster whose members the hubs connect, but for a few."""
+    dealt = {}
+    for size in (3000, 12000):
+        members = spark.range(size).select(F.col("id").alias("doc_id"), F.lit(0).alias("cluster"), (F.lit(100) + F.col("id") % 3).alias("n"))
+        first = jaccard_join.hub_tasks(members, task_docs=500)
+        rest = jaccard_join.product_tasks(members.withColumn("core", F.col("doc_id") % 1500 != 0), 90, task_docs=500)
+        dealt[size] = [t.agg(F.sum(F.size("tasks"))).first()[0] for t in (first, rest)]
+    assert dealt[3000][0] <= 3000 + 2 * 7 and dealt[12000][0] <= 12000 + 2 * 25
+    assert dealt[12000][1] <= 8 * 12000 and dealt[12000][1] <= 5 * dealt[3000][1]
+
+
+@pytest.mark.parametrize("task", [{"task_docs": 4}, {"task_docs": 7, "task_grams": 900}])
+def test_families_cut_into_many_tasks_keep_all_links(spark, task):
+    """Chains of texts, each like the next only, so that two hubs leave much of a cluster open."""
+    rnd = np.random.default_rng(4)
+    texts = []
+    for _ in range(3):
+        words = [f"w{x}" for x in rnd.integers(0, 10000, 120)]
+        for _ in range(25):
+            words = words.copy()
+            words[rnd.integers(0, 120)] = f"n{rnd.integers(0, 10000)}"
+            texts.append(" ".join(words))
+    rows = [{"doc_id": 3 * i + 1, "text": t} for i, t in enumerate(texts)]
+    table = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_components(table, 3, 90, **task).collect()}
+    assert got == linked(rows, 3, 90)
 
 
 def test_linked_sets_always_share_a_shown_block():
