@@ -4,7 +4,8 @@ Every rule looks at one measure of a text and votes good (1), bad (-1) or abstai
 Expectation-maximisation on the table of vote patterns — at most 3 ** rules rows, however large the
 corpus — estimates every rule's two accuracies: how often it votes bad on a bad document, and good on
 a good one. An abstention says nothing. A document is kept when the posterior probability of being
-good, given all its votes, is at least one half.
+good, given all its votes, is at least one half: a bad vote of a rule that often errs is overruled by good
+votes, two bad votes of independent rules seldom are.
 Only built-in functions are used; the text is read once, and the measures are stored.
 
 Defined results: null counts as the empty text, which has no words and fails the base rule; repeated
@@ -21,28 +22,28 @@ from pricemill.session import materialise
 
 from .common import WORD, documents, let
 
-# rule: (measure, bad when above, good when below); a negative sign turns the measure around.
+# rule: (measure, bad when above, good when below); a negative sign turns the measure around. Thresholds are set where some clean texts
+# are called bad too: a rule that never errs would be a filter of its own. Rules on repetition look at different texts, so that one
+# fault isn't counted twice.
 RULES = {
     "symbols": ("n_symbols / n_words", 0.1, 0.02),
-    "long_words": ("word_chars / n_words", 12.0, 9.5),
-    "short_words": ("-word_chars / n_words", -2.5, -3.0),
-    "few_letters": ("n_marks / word_chars", 0.25, 0.15),
-    "same_lines": ("if(n_lines < 3, null, n_dup_lines / n_lines)", 0.5, 0.2),
-    "repeats": ("n_repeat_words / n_words", 0.4, 0.15),
-    "shouting": ("n_shouted / n_words", 0.3, 0.1),
-    "marks": ("n_mark_runs / n_words", 0.1, 0.02),
-    "few_words": ("-n_distinct / sqrt(n_words)", -2.0, -4.0),
-    "open_lines": ("if(n_lines < 3, null, -n_closed_lines / n_lines)", -0.1, -0.5),
-    "digits": ("n_digits / word_chars", 0.3, 0.15),
-    "bare_marks": ("n_bare / n_words", 0.25, 0.05),
+    "long_words": ("word_chars / n_words", 7.5, 6.5),
+    "short_words": ("-word_chars / n_words", -4.2, -4.6),
+    "few_letters": ("n_marks / word_chars", 0.1, 0.06),
+    "same_lines": ("if(n_lines < 3, null, n_dup_lines / n_lines)", 0.3, 0.1),
+    "repeats": ("if(n_dup_lines > 0, null, n_repeat_words / n_words)", 0.2, 0.05),
+    "shouting": ("n_shouted / n_words", 0.02, 0.005),
+    "marks": ("n_mark_runs / n_words", 0.02, 0.005),
+    "few_words": ("if(n_dup_lines > 0, null, -n_distinct / sqrt(n_words))", -6.0, -8.0),
+    "open_lines": ("if(n_lines < 3, null, -n_closed_lines / n_lines)", -0.8, -0.95),
+    "digits": ("n_digits / word_chars", 0.03, 0.01),
+    "bare_marks": ("n_bare / n_words", 0.05, 0.01),
 }
-# Before any document is seen: how often a rule that votes calls a good and a bad document bad, the share
-# of good documents, and the number of documents that this belief weighs.
-PRIOR_FALSE, PRIOR_CAUGHT, PRIOR_SHARE, PRIOR_WEIGHT = 0.002, 0.3, 0.85, 20.0
-# Rules are written to be precise: at most MOST_FALSE of the good documents and at least LEAST_CAUGHT of the bad
-# ones get a bad vote. Without these bounds the two classes could come to mean something else.
-MOST_FALSE, LEAST_CAUGHT = 0.005, 0.05
-ROUNDS, CLOSE = 40, 1e-6
+# Before any document is seen: how often a rule that votes calls a good and a bad document bad, the share of good
+# documents, and the weight of this belief as a share of all documents (``LEAST_WEIGHT`` documents at least). It is a prior
+# only: a rate may come to lie anywhere.
+PRIOR_FALSE, PRIOR_CAUGHT, PRIOR_SHARE, PRIOR_WEIGHT, LEAST_WEIGHT = 0.05, 0.4, 0.85, 0.01, 20.0
+ROUNDS, CLOSE = 100, 1e-6
 
 
 def _left(x: Column, bits: Column) -> Column:
@@ -138,13 +139,14 @@ def fit(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
         got = weighed.agg(F.sum("_good").alias("g"), F.sum("_bad").alias("b"), *cells).first().asDict()
         if got["g"] is None:
             return model
+        weight = max(LEAST_WEIGHT, PRIOR_WEIGHT * (got["g"] + got["b"]))
 
         def rate(side: str, rule: str, prior: float) -> float:
             bad, good = got[f"{side}:{rule}:-1"], got[f"{side}:{rule}:1"]
-            return (bad + PRIOR_WEIGHT * prior) / (bad + good + PRIOR_WEIGHT)
+            return (bad + weight * prior) / (bad + good + weight)
 
-        new = {"share": (got["g"] + PRIOR_WEIGHT * PRIOR_SHARE) / (got["g"] + got["b"] + PRIOR_WEIGHT),
-               "rules": {r: (min(rate("_good", r, PRIOR_FALSE), MOST_FALSE), max(rate("_bad", r, PRIOR_CAUGHT), LEAST_CAUGHT)) for r in RULES}}
+        new = {"share": (got["g"] + weight * PRIOR_SHARE) / (got["g"] + got["b"] + weight),
+               "rules": {r: (rate("_good", r, PRIOR_FALSE), rate("_bad", r, PRIOR_CAUGHT)) for r in RULES}}
         moved = abs(new["share"] - model["share"]) + sum(
             abs(x - y) for r in RULES for x, y in zip(new["rules"][r], model["rules"][r]))
         model = new

@@ -276,7 +276,59 @@ def test_quality_base(spark, fixture_dir, documents):
     assert not any(r["kept"] and r["base_failed"] for r in rows)
     junk = {d["doc_id"] for d in documents if d["text"] and ("### " in d["text"] or " | " in d["text"])}
     assert not any(r["kept"] for r in rows if r["doc_id"] in junk)
-    assert all(r["kept"] for r in rows if not r["base_failed"] and r["doc_id"] not in junk and r["n_words"] < 5000)
+    assert all(r["kept"] for r in rows if not r["base_failed"] and r["doc_id"] not in junk)
+
+
+def estimated(votes):
+    """Brute-force expectation-maximisation over single documents: posteriors, and the two rates of every rule."""
+    n, k = votes.shape
+    weight = max(quality.LEAST_WEIGHT, quality.PRIOR_WEIGHT * n)
+    share, false, caught = quality.PRIOR_SHARE, np.full(k, quality.PRIOR_FALSE), np.full(k, quality.PRIOR_CAUGHT)
+
+    def good():
+        like_good, like_bad = np.full(n, share), np.full(n, 1 - share)
+        for j in range(k):
+            like_good *= np.where(votes[:, j] == -1, false[j], np.where(votes[:, j] == 1, 1 - false[j], 1.0))
+            like_bad *= np.where(votes[:, j] == -1, caught[j], np.where(votes[:, j] == 1, 1 - caught[j], 1.0))
+        return like_good / (like_good + like_bad)
+
+    for _ in range(quality.ROUNDS):
+        p = good()
+        rate = lambda w, prior: ((w[:, None] * (votes == -1)).sum(0) + weight * prior) / ((w[:, None] * (votes != 0)).sum(0) + weight)
+        new = (p.sum() + weight * quality.PRIOR_SHARE) / (n + weight), rate(p, quality.PRIOR_FALSE), rate(1 - p, quality.PRIOR_CAUGHT)
+        moved = abs(new[0] - share) + abs(new[1] - false).sum() + abs(new[2] - caught).sum()
+        share, false, caught = new
+        if moved < quality.CLOSE:
+            break
+    return good(), false, caught
+
+
+def test_quality_verdict_is_that_of_the_estimated_accuracies(spark, fixture_dir):
+    rows = quality.judge(spark.read.parquet(f"{fixture_dir}/documents.parquet")).collect()
+    p, _, _ = estimated(np.array([[r[rule] for rule in quality.RULES] for r in rows]))
+    assert np.allclose(p, [r["quality"] for r in rows], atol=1e-9)
+    assert [r["kept"] for r in rows] == [bool(x >= 0.5) and not r["base_failed"] for r, x in zip(rows, p)]
+
+
+def test_planted_accuracies_are_recovered(spark):
+    """Votes drawn from known rates: the fit finds the rates and overrules single wrong votes."""
+    rnd = np.random.default_rng(11)
+    rules, n = list(quality.RULES), 30000
+    good = rnd.random(n) < 0.8
+    false, caught = rnd.uniform(0.01, 0.12, len(rules)), rnd.uniform(0.35, 0.9, len(rules))
+    bad_vote = rnd.random((n, len(rules))) < np.where(good[:, None], false, caught)
+    votes = np.where(rnd.random(bad_vote.shape) < 0.2, 0, np.where(bad_vote, -1, 1))
+    patterns, number = np.unique(votes, axis=0, return_counts=True)
+    table = spark.createDataFrame([(*map(int, p), int(c)) for p, c in zip(patterns, number)], ", ".join(f"{r} int" for r in rules) + ", documents long")
+    model = quality.fit(table)
+    p, f, c = estimated(votes)
+    assert np.allclose([model["rules"][r][0] for r in rules], f, atol=1e-6) and np.allclose([model["rules"][r][1] for r in rules], c, atol=1e-6)
+    assert abs(f - false).max() < 0.02 and abs(c - caught).max() < 0.06 and abs(model["share"] - 0.8) < 0.02
+    one = good & ((votes == -1).sum(1) == 1)
+    assert (p[one] >= 0.5).mean() > 0.95 and ((p >= 0.5) == good).mean() > 0.97
+    quiet = (votes == -1).sum(1) == 0
+    assert p[quiet].min() < 0.99  # silence is no proof
+
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables absent")
