@@ -277,7 +277,9 @@ def hub_tasks(members: DataFrame, task_grams: int = TASK_GRAMS, task_docs: int =
     """
     order = F.struct(F.xxhash64("doc_id", F.lit(7)).alias("h"), "doc_id")
     large = members.groupBy("cluster").agg(_parts(task_grams, task_docs).alias("parts"), F.min(order).alias("_low"), F.max(order).alias("_high")).filter("parts > 1")
-    placed = members.join(large, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    # Written, so that the join meets a plain table: sent if it is small, else a hot cluster's side can be split.
+    large = materialise(large, "large-clusters")
+    placed = members.join(sent_if_small(large, 64), "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     at = lambda block, side: F.struct(F.xxhash64(F.col("cluster"), block, F.lit(-2)).alias("task"), F.lit(side).alias("side"))
     hub = (F.col("doc_id") == F.col("_low.doc_id")) | (F.col("doc_id") == F.col("_high.doc_id"))
     every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: at(j, 0))
@@ -297,10 +299,11 @@ def product_tasks(members: DataFrame, share: int = SHARE, task_grams: int = TASK
     whole = banded.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), _parts(task_grams, task_docs).alias("parts")).filter("docs > 1").drop("docs")
     cut = banded.groupBy("cluster", "band", "core").agg(_parts(task_grams, task_docs).alias("blocks"))
     both = cut.groupBy("cluster", "band").agg(F.max(F.when(~F.col("core"), F.col("blocks"))).alias("rest"), F.max(F.when(F.col("core"), F.col("blocks"))).alias("cores"))
+    whole, both = materialise(whole, "clusters"), materialise(both, "bands")
     near = lambda step, name: both.select("cluster", (F.col("band") + step).alias("band"), F.struct("rest", "cores").alias(name))
-    sized = banded.join(whole, "cluster")
+    sized = banded.join(sent_if_small(whole, 24), "cluster")
     for step, name in ((0, "here"), (1, "below"), (-1, "above")):
-        sized = sized.join(near(step, name), ["cluster", "band"], "left")
+        sized = sized.join(sent_if_small(near(step, name), 32), ["cluster", "band"], "left")
     block = F.pmod(F.xxhash64("doc_id"), F.when(F.col("core"), F.col("here.cores")).otherwise(F.col("here.rest"))).cast("int")
     me = F.struct("band", "core", "block")
 
