@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import row_key
 from ..operators import aggregate as agg
 from ..operators import quality as q
 from ..operators import reports as rp
 from ..params import APW_WINDOWS
-from ..schemas import CELL, INDEX_KEY
+from ..schemas import CELL
+from ..session import materialise, work_dir
 from ..sources import retail as R
 from .index_family import TRAVEL, frames
 from .registry import query
@@ -194,12 +194,18 @@ def _(spark, sf):
 
 @query("S3_index_upsert", sql("""
   SELECT sha256(concat_ws('|', 'IDX-T', CAST(period AS VARCHAR), 'daily', 'travel', omega_preset, '1.0.0', 'v1')) AS index_id, period, omega_preset,
-         round(CASE WHEN omega_preset = 'uniform' THEN value * 2 ELSE value END, 6) AS value FROM head_travel""", "head_travel"))
+         round(CASE WHEN omega_preset = 'uniform' THEN value * 2 ELSE value END, 6) AS value, CASE WHEN omega_preset = 'uniform' THEN 2 ELSE 1 END AS written_by
+  FROM head_travel""", "head_travel"))
 def _(spark, sf):
-    from ..sources.index_store import upserted
-    old = fact_index(spark, sf).where(F.col("index_code") == "IDX-T").withColumn("computed_at", F.lit(1))
+    from ..sources import index_store, snapshots
+    path = work_dir(spark, "index")
+    old = materialise(fact_index(spark, sf).where(F.col("index_code") == "IDX-T").withColumn("computed_at", F.lit(1)), "index")
+    index_store.write_index_values(old, path)
     new = old.where(F.col("omega_preset") == "uniform").withColumns({"value": F.col("value") * 2, "computed_at": F.lit(2)})
-    return upserted(new, old, "computed_at").withColumn("index_id", row_key(*INDEX_KEY)).select("index_id", "period", "omega_preset", "value")
+    index_store.write_index_values(new, path)
+    snapshots.retire(spark, path)
+    by = index_store.series_commits(spark, path)
+    return index_store.with_family(index_store.read_index_values(spark, path)).join(by, index_store.SERIES).select("index_id", "period", "omega_preset", "value", F.col("commit").alias("written_by"))
 
 
 @query("S4_cell_detail", sql(f"""

@@ -102,8 +102,8 @@ def blend(matched: Column, laf: Column, availability: Column) -> Column:
     return F.when((matched > 0) & (laf > 0), both).when(matched > 0, matched).otherwise(F.when(laf > 0, laf))
 
 
-def cells(relatives: DataFrame, by: Sequence[str] = (), n_min: int = 5, adjust: bool = True) -> DataFrame:
-    """One row per (period, cell): matched, laf, availability, adjusted, n_matched, suppressed."""
+def cell_levels(relatives: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What a period says about its cells, whatever other periods hold: matched, n_matched, n_quotes, n_families, laf."""
     by = list(by)
     index = (
         relatives.groupBy(*by, "period", *CELL)
@@ -114,10 +114,16 @@ def cells(relatives: DataFrame, by: Sequence[str] = (), n_min: int = 5, adjust:
             F.countDistinct("fare_family").alias("n_families"),
         )
     )
-    out = (
-        index.join(lowest_fare_index(flight_blocks(relatives, by), by), [*by, "period", *CELL], "left")
-        .withColumn("n_families_ref", F.max("n_families").over(W.partitionBy(*by, *CELL)))
-        .withColumn("availability", availability_ratio())
-    )
+    return index.join(lowest_fare_index(flight_blocks(relatives, by), by), [*by, "period", *CELL], "left")
+
+
+def with_availability(levels: DataFrame, by: Sequence[str] = (), n_min: int = 5, adjust: bool = True) -> DataFrame:
+    """Cells from the levels of all periods: reference families, availability, adjusted, suppressed."""
+    out = levels.withColumn("n_families_ref", F.max("n_families").over(W.partitionBy(*by, *CELL))).withColumn("availability", availability_ratio())
     level = blend(F.col("matched"), F.col("laf"), F.col("availability")) if adjust else F.col("matched")
     return out.withColumns({"adjusted": level, "suppressed": F.col("n_matched") < n_min})
+
+
+def cells(relatives: DataFrame, by: Sequence[str] = (), n_min: int = 5, adjust: bool = True) -> DataFrame:
+    """One row per (period, cell): matched, laf, availability, adjusted, n_matched, suppressed."""
+    return with_availability(cell_levels(relatives, by), by, n_min, adjust)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import row_key
 from ..schemas import INDEX_KEY
+from . import snapshots
 
 
 def with_index_id(rows: DataFrame) -> DataFrame:
@@ -16,38 +17,33 @@ def with_index_id(rows: DataFrame) -> DataFrame:
 
 def upserted(new: DataFrame, old: DataFrame | None, version: str, key: Sequence[str] = INDEX_KEY) -> DataFrame:
     """Latest version of every key; a partial aggregate, so repeated keys fold before the shuffle."""
-    rows = new if old is None else old.unionByName(new)
+    rows = new if old is None else old.unionByName(new, allowMissingColumns=True)
     rest = [c for c in rows.columns if c not in key]
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), version).alias("_r")).select(*key, "_r.*").select(*rows.columns)
 
 
-def write_index_values(new: DataFrame, path: str, version: str = "computed_at") -> None:
-    """Publish a new generation of the store next to the old one and return only when it is whole.
+# One partition of the index store: a headline series, or all detail series of one kind below it.
+SERIES = ["family", "frequency", "basis", "omega_preset"]
 
-    Readers open the newest ``generation=`` folder, so a failed write leaves the previous one intact.
-    """
-    from .quotes import path_exists
-    spark = new.sparkSession
-    old, generation = None, 0
-    if path_exists(spark, path):
-        generation = latest_generation(spark, path)
-        old = spark.read.parquet(f"{path}/generation={generation}")
-    upserted(with_index_id(new), old, version).write.mode("overwrite").parquet(f"{path}/generation={generation + 1}")
+
+def with_family(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("family", F.regexp_extract("index_code", "^[^:]*(:[a-z]+)?", 0))
+
+
+def write_index_values(new: DataFrame, path: str, version: str = "computed_at") -> int:
+    """Upsert rows; only the partitions that ``new`` has rows of are rewritten. Returns the number of the commit."""
+    return snapshots.merge(with_family(with_index_id(new)), path, SERIES, lambda rows, old: upserted(rows, old, version))
 
 
 def read_index_values(spark, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/generation={latest_generation(spark, path)}")
-
-
-def latest_generation(spark, path: str) -> int:
-    """Highest generation folder holding a finished write."""
-    from .quotes import path_exists
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    listing = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
-    names = [s.getPath().getName() for s in listing]
-    done = [int(n.split("=")[1]) for n in names
-            if n.startswith("generation=") and path_exists(spark, f"{path}/{n}/_SUCCESS")]
-    return max(done, default=0)
+    return snapshots.read(spark, path).drop("family")
+
+
+def series_commits(spark, path: str) -> DataFrame:
+    """The commit that wrote each partition of the store."""
+    at = snapshots.current(spark, path)
+    rows = [(*[p.split("=", 1)[1] for p in name.split("/")], int(folder.split("=")[1].split("-")[0])) for name, folder in at.folders.items()]
+    return spark.createDataFrame(rows, ", ".join([*[f"{c} string" for c in SERIES], "commit int"]))
 
 
 def cell_rows(cells: DataFrame, index_code: str, basis: str, run_id: str) -> DataFrame:

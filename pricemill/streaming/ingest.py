@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.observations import FRESHNESS_HOURS, is_stale
-from ..plans.index import Weights, compute
 from ..params import Method
+from ..plans import incremental
+from ..plans.index import Weights
 from ..session import materialise
-from ..sources.index_store import write_index_values
 from ..sources.quotes import append_quotes
 
 
@@ -53,19 +53,11 @@ def append_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def republish_sink(store: str, index_path: str, weights: Weights, method: Method, index_code: str = "IDX-T") -> Callable[[DataFrame, int], None]:
-    """Append, recompute the whole series on its pinned base, and upsert the published values.
+def republish_sink(root: str, weights: Weights, method: Method, run: str, index_code: str = "IDX-T") -> Callable[[DataFrame, int], None]:
+    """Append a batch and republish the series from the stored states of products and cells.
 
-    Deterministic keys make the republication an upsert; the pinned base keeps history still.
+    Deterministic keys make the republication an upsert; the pinned base keeps history still. ``run`` names the stream's checkpoint.
     """
-    if method.base_period is None:
-        raise ValueError("incremental publication needs a pinned base period")
-
     def write(batch: DataFrame, epoch: int) -> None:
-        append_quotes(batch, store)
-        head = compute(batch.sparkSession.read.parquet(store), weights, method).headline
-        rows = head.select("period", "omega_preset", "value", "n_matched", "coverage_pct").withColumns({
-            "index_code": F.lit(index_code), "frequency": F.lit("daily"), "basis": F.lit(method.basis),
-            "method_version": F.lit(method.method_version), "weights_version": F.lit(weights.version), "computed_at": F.lit(epoch).cast("long")})
-        write_index_values(rows, index_path)
+        incremental.apply(batch, root, weights, method, (run, epoch), index_code)
     return write
