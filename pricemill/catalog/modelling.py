@@ -73,6 +73,38 @@ def _(spark, sf):
     return boot.pooled_interval(el.flight_blocks(rel(spark, sf)), DRAWS)
 
 
+ESTIMATES = 40
+
+
+def estimator_sql(statistic: str) -> str:
+    """Pooled flight-block bootstrap of a statistic of the rows (period, draw, lr, pos, total)."""
+    return sql(f"""
+  SELECT v.period, round(value, 6) AS value, n_blocks, round(CASE WHEN n_blocks >= 2 THEN se END, 6) AS se,
+         round(CASE WHEN n_blocks >= 2 THEN least(lo, value) END, 6) AS ci_low, round(CASE WHEN n_blocks >= 2 THEN greatest(hi, value) END, 6) AS ci_high
+  FROM (SELECT period, stat AS value FROM stats WHERE draw = -1) v
+  JOIN (SELECT period, stddev_samp(stat) AS se, quantile_cont(stat, 0.05) AS lo, quantile_cont(stat, 0.95) AS hi FROM stats WHERE draw >= 0 GROUP BY 1) i ON i.period = v.period
+  JOIN (SELECT period, max(n) AS n_blocks FROM nb GROUP BY 1) c ON c.period = v.period""", "rel_book").replace(f"\n\n  SELECT v.period", f""",
+nb AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY {CELL}, flight_number) - 1 AS i, count(*) OVER (PARTITION BY period) AS n
+       FROM (SELECT DISTINCT period, {CELL}, flight_number FROM rel_book WHERE lr IS NOT NULL)),
+picks AS (SELECT period, draw, CAST('0x' || substr(md5(concat_ws('|', '7', period, draw, i)), 1, 8) AS BIGINT) % n AS pick FROM nb, range({ESTIMATES}) d(draw)
+          UNION ALL SELECT period, -1, i FROM nb),
+pooled AS (SELECT p.period, p.draw, r.lr, row_number() OVER w AS pos, count(*) OVER (PARTITION BY p.period, p.draw) AS total
+  FROM picks p JOIN nb ON nb.period = p.period AND nb.i = p.pick JOIN rel_book r ON r.lr IS NOT NULL AND r.period = nb.period AND r.route = nb.route
+    AND r.carrier = nb.carrier AND r.apw_days = nb.apw_days AND r.flight_number = nb.flight_number WINDOW w AS (PARTITION BY p.period, p.draw ORDER BY r.lr)),
+stats AS (SELECT period, draw, 100 * exp({statistic}) AS stat FROM pooled GROUP BY ALL)
+  SELECT v.period""")
+
+
+@query("M4_median_bootstrap", estimator_sql("median(lr)"))
+def _(spark, sf):
+    return boot.estimated_interval(rel(spark, sf), boot.median, ESTIMATES)
+
+
+@query("M4_trimmed_mean_bootstrap", estimator_sql("avg(lr) FILTER (pos > floor(0.1 * total) AND pos <= total - floor(0.1 * total))"))
+def _(spark, sf):
+    return boot.estimated_interval(rel(spark, sf), boot.trimmed_mean, ESTIMATES)
+
+
 def elasticity_rows(spark, sf):
     return els.observations(R.retail_quotes(spark, sf))
 
