@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pricemill.session import materialise
 
 from .bytework import BASE_A, BASE_B, SMALL, Rolling, mixed, rounds, run_starts, tidy, word_hashes, words
-from .common import documents, sent_if_small
+from .common import BROADCAST_BYTES, documents, ordinals, sent_if_small
 from .graph import components
 
 N, SHARE = 3, 90
@@ -372,14 +372,36 @@ def join_components(docs: DataFrame, n: int = N, share: int = SHARE, **task) ->
     return marks.join(owner, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def row_numbers(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number that no two rows share: the id where it is the only one, a free number otherwise.
+
+    Rows whose id repeats, or is null, are written down with their numbers; the rest isn't copied. Where so many ids repeat that
+    they can't be sent to the tasks, all rows are.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    twice = materialise(ids.filter("n > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
+    if 32 * twice.count() > BROADCAST_BYTES:
+        return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    sent = F.broadcast(twice)
+    odd = docs.join(sent, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).withColumn("_tie", F.lit(0))
+    placed = materialise(ordinals(odd, ["doc_id"], ["_tie"], "_nth", "odd-rows").drop("_tie"), "numbered-rows")
+    most = placed.agg(F.max("_nth")).first()[0]
+    plain = docs.filter("doc_id is not null").join(sent, "doc_id", "left_anti").select("*", F.col("doc_id").cast("long").alias("_row"))
+    if most is None:
+        return plain
+    start = -1 - most
+    while not docs.filter(F.col("doc_id").between(start, start + most)).isEmpty():  # numbers that are ids already
+        start = -(1 << 63) + (start * 0x9E3779B97F4A7C15 + 1) % ((1 << 64) - most - 1)
+    return plain.unionByName(placed.select(*docs.columns, (F.lit(start) + F.col("_nth")).alias("_row")))
+
+
 def keep_one(docs: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
     """``docs`` with one row of every component: the one with the smallest id; a row without id only where no row has one.
 
     A row is judged by its own text. Rows that share an id but not their texts are documents of their own: each goes only
     if its own text has a near copy that is kept. Texts without a word link with nothing and stay, also where they repeat.
     """
-    # Rows have a number of their own for the join; it is written down, since it must not change.
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    numbered = row_numbers(docs)
     classes = join_components(numbered.select(F.col("_row").alias("doc_id"), "text"), n, share).select(F.col("doc_id").alias("_row"), "component_id")
     whole = materialise(classes, "row-classes")
     several = whole.groupBy("component_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("component_id")

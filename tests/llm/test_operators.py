@@ -121,6 +121,16 @@ def test_keep_one_judges_rows_by_their_own_text(spark, fixture_dir, documents, n
     assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == kept_rows(rows, n, share)
 
 
+@pytest.mark.parametrize("most", [1 << 25, 0])
+def test_row_numbers_are_unique(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", most)
+    ids = [5, 5, 5, None, None, -1, -2, -3, -4, -5, -6, -7, 9, 9, 12]
+    table = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    rows = jaccard_join.row_numbers(table).collect()
+    assert sorted(r["text"] for r in rows) == sorted(f"t{k}" for k in range(len(ids))) and len({r["_row"] for r in rows}) == len(ids)
+    assert not most or all(r["_row"] == r["doc_id"] for r in rows if ids.count(r["doc_id"]) == 1 and r["doc_id"] is not None)
+
+
 def test_large_families_cost_as_much_as_they_have_members(spark):
     """Rows dealt for one cluster whose members the hubs connect, but for a few."""
     dealt = {}
