@@ -383,8 +383,8 @@ def row_numbers(docs: DataFrame) -> DataFrame:
     if 32 * twice.count() > BROADCAST_BYTES:
         return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     sent = F.broadcast(twice)
-    odd = docs.join(sent, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).withColumn("_tie", F.lit(0))
-    placed = materialise(ordinals(odd, ["doc_id"], ["_tie"], "_nth", "odd-rows").drop("_tie"), "numbered-rows")
+    odd = docs.join(sent, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).withColumn("_one", F.lit(0))
+    placed = materialise(ordinals(odd, ["doc_id"], ["_one"], "_nth", "odd-rows").drop("_one"), "numbered-rows")
     most = placed.agg(F.max("_nth")).first()[0]
     plain = docs.filter("doc_id is not null").join(sent, "doc_id", "left_anti").select("*", F.col("doc_id").cast("long").alias("_row"))
     if most is None:
