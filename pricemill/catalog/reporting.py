@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.digests import merkle_sql
 from ..operators import aggregate as agg
 from ..operators import quality as q
 from ..operators import reports as rp
@@ -278,9 +279,8 @@ def _(spark, sf):
             .select("route", "stratum", "km", F.coalesce("n", F.lit(0).cast("long")).alias("n")))
 
 
-@query("A34_run_hash", sql("""
-  SELECT sha256(string_agg(line, chr(10) ORDER BY line)) AS output_hash, count(*) AS n FROM
-    (SELECT concat_ws('|', omega_preset, CAST(period AS VARCHAR), CAST(n_apw AS VARCHAR), CAST(n_matched AS VARCHAR)) AS line FROM head_travel)""", "head_travel"))
+@query("A34_run_hash", sql("SELECT root AS output_hash, n FROM " + merkle_sql(
+    "SELECT concat_ws('|', omega_preset, CAST(period AS VARCHAR), CAST(n_apw AS VARCHAR), CAST(n_matched AS VARCHAR)) AS line FROM head_travel"), "head_travel"))
 def _(spark, sf):
     from ..sources.index_store import output_hash
     heads = agg.lead_stage(frames(spark, sf, TRAVEL).by_apw, R.omega_weights(spark))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from ..functions.digests import merkle_sql
 from ..functions.scalars import canonical_json
 from ..operators import ledger as lg
 from ..operators import observations as ob
@@ -11,7 +12,7 @@ from ..params import Method
 from ..session import work_dir
 from ..sources import retail as R
 from ..sources.quotes import QUOTE_KEY
-from ..streaming import ingest, runs, stateful
+from ..streaming import chain, ingest, runs, stateful
 from .index_family import weights
 from .observing import ATT, attempts
 from .registry import query
@@ -86,14 +87,15 @@ def with_key(df):
 
 
 @query("T1s_stream_duplicate_suppression", """
-  SELECT sha256(CAST(to_json({'bucket': epoch(ts)::BIGINT - epoch(ts)::BIGINT % 60, 'event_id': event_id, 'event_type': event_type, 'user_id': user_id}) AS VARCHAR)) AS duplicate_key
-  FROM (SELECT *, date_trunc('second', ts) AS s FROM events)""".replace("epoch(ts)", "epoch(s)"))
+  SELECT sha256(CAST(to_json({'bucket': epoch(s)::BIGINT - epoch(s)::BIGINT % 60, 'event_id': event_id, 'event_type': event_type, 'user_id': user_id}) AS VARCHAR)) AS duplicate_key,
+    event_id, event_type, s IS NULL AS no_time, 'first' AS attempt
+  FROM (SELECT *, date_trunc('second', ts) AS s FROM events)""")
 def _(spark, sf):
     root = work_dir(spark, "dedup")
     for attempt in ("first", "replay"):  # the second run offers the same rows again, in other epochs
-        stream = with_key(observation_stream(spark, sf)).withColumn("attempt", F.lit(attempt))
+        stream = ingest.suppressed(with_key(observation_stream(spark, sf)).withColumn("attempt", F.lit(attempt)), NOW, delay="15 days")
         runs.drain(stream, f"{root}/{attempt}", ingest.suppress_sink(f"{root}/out", attempt))
-    return spark.read.parquet(f"{root}/out").select("duplicate_key")
+    return spark.read.parquet(f"{root}/out").select("duplicate_key", "event_id", "event_type", F.col("collected_at").isNull().alias("no_time"), "attempt")
 
 
 @query("T2s_late_quote_quarantine", f"""
@@ -158,17 +160,36 @@ def _(spark, sf):
     return runs.latest_updates(updates, ["source", "adapter"])
 
 
-@query("T7s_stream_hash_chain", """
-  WITH RECURSIVE ev AS (SELECT 'src' || (user_id % 7) AS source, ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 16 AS lane, event_id, CAST(to_json({'event_id': event_id, 'event_type': event_type}) AS VARCHAR) AS body,
-      row_number() OVER (PARTITION BY user_id % 7, ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 16 ORDER BY event_id) AS rn FROM events),
+LANED = """WITH RECURSIVE days AS (SELECT date_diff('day', DATE '1970-01-01', min(ts)::DATE) AS first, date_diff('day', DATE '1970-01-01', max(ts)::DATE) AS last FROM events),
+  ev AS (SELECT *, row_number() OVER (PARTITION BY source, lane ORDER BY part, event_id) AS rn FROM (
+    SELECT 'src' || (user_id % 7) AS source, ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 16 AS lane, event_id, CAST(to_json({'event_id': event_id, 'event_type': event_type}) AS VARCHAR) AS body,
+      coalesce(floor(3 * (last - date_diff('day', DATE '1970-01-01', ts::DATE)) / (last - first + 1)), 2) AS part FROM events, days)),
   chain AS (SELECT source, lane, rn, sha256(repeat('0', 64) || body) AS h FROM ev WHERE rn = 1
-    UNION ALL SELECT e.source, e.lane, e.rn, sha256(c.h || e.body) FROM chain c JOIN ev e ON e.source = c.source AND e.lane = c.lane AND e.rn = c.rn + 1)
+    UNION ALL SELECT e.source, e.lane, e.rn, sha256(c.h || e.body) FROM chain c JOIN ev e ON e.source = c.source AND e.lane = c.lane AND e.rn = c.rn + 1)"""
+
+
+def chained(spark, sf):
+    """The events chained in three triggers; the ledger's folder."""
+    records = late_stream(spark, sf).select(
+        F.concat(F.lit("src"), (F.col("user_id") % 7).cast("string")).alias("source"), "event_id", canonical_json("event_id", "event_type").alias("body"))
+    root = work_dir(spark, "chain")
+    runs.drain(records, f"{root}/checkpoint", chain.chain_sink(f"{root}/ledger", lanes=16))
+    return f"{root}/ledger"
+
+
+@query("T7s_stream_hash_chain", LANED + """
   SELECT source, lane, count(*) AS n_records, 0::BIGINT AS n_broken, CAST(NULL AS BIGINT) AS first_broken_seq, arg_max(h, rn) AS tip_hash FROM chain GROUP BY ALL""")
 def _(spark, sf):
-    records = event_stream(spark, sf).select(
-        F.concat(F.lit("src"), (F.col("user_id") % 7).cast("string")).alias("source"), "event_id", canonical_json("event_id", "event_type").alias("body"))
-    chained = runs.run_to_table(stateful.hash_chain(records, lanes=16), "chain")
-    return lg.chain_summary(chained, F.col("body"), ["source", "lane"], per_bucket=500)
+    return lg.chain_summary(chain.records(spark, chained(spark, sf)), F.col("body"), ["source", "lane"], per_bucket=500)
+
+
+@query("T7s_ledger_root", LANED + """
+  SELECT 2::BIGINT AS epoch, root, n AS n_lanes, (SELECT count(*) FROM events) AS n_records FROM """ + merkle_sql(
+    "SELECT concat_ws('|', source, lane, count(*), arg_max(h, rn)) AS line FROM chain GROUP BY source, lane"))
+def _(spark, sf):
+    path = chained(spark, sf)
+    wrong = chain.verify(spark, path)
+    return chain.anchors(spark, path).where("epoch = 2").join(wrong.select("epoch").distinct(), "epoch", "left_anti").select("epoch", "root", "n_lanes", "n_records")
 
 
 @query("T8s_incremental_republish", sql("""

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import materialise
+
 BUCKETS_PER_LOG_UNIT = 2048
 
 
@@ -81,10 +83,13 @@ def grouped_quantiles(
 
 def median_and_mad(df: DataFrame, keys: Sequence[str], value: Column, extra: dict[str, float] | None = None,
                    total: str = "n_values") -> DataFrame:
-    """Median, MAD and any ``extra`` quantiles per group, from one pass over distinct values."""
+    """Median, MAD and any ``extra`` quantiles per group, from one pass over the rows.
+
+    The table of distinct values, smaller than ``df``, is written once and serves every branch below.
+    """
     keys = list(keys)
-    counts = value_counts(df, keys, value)
-    centre = quantiles_of_counts(counts, keys, {"med": 0.5, **(extra or {})}, total)
+    counts = materialise(value_counts(df, keys, value), "value-counts")
+    centre = materialise(quantiles_of_counts(counts, keys, {"med": 0.5, **(extra or {})}, total), "centres")
     deviations = (
         counts.join(centre.select(*keys, "med"), keys)
         .groupBy(*keys, F.abs(F.col("v") - F.col("med")).alias("v"))

@@ -47,7 +47,9 @@ def parse_date(text: Column) -> Column:
     t = F.trim(text)
     out = None
     for shape, fmt in DATE_SHAPES:
-        day = F.to_date(F.try_to_timestamp(F.regexp_extract(t, shape, 0), F.lit(fmt)))
+        head = F.regexp_extract(t, shape, 0)
+        # Spark's own date form needs no formatter.
+        day = head.try_cast("date") if fmt == "yyyy-M-d" else F.to_date(F.try_to_timestamp(head, F.lit(fmt)))
         out = F.when(t.rlike(shape), day) if out is None else out.when(t.rlike(shape), day)
     return out
 

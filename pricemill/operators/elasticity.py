@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialise
+
 MIN_OBS = 30
 TERMS = ("const", "ln_tau", "ln_tau_sq")
 LADDER_MIN_OBS = 50
@@ -43,9 +45,9 @@ def _entries(effects: Sequence[str]) -> Column:
 
 
 def compress(obs: DataFrame, by: Sequence[str], effects: Sequence[str]) -> DataFrame:
-    """Counts and sums per flight and design row. Everything after this works on sums."""
+    """Counts and sums per flight and design row, written once. Everything after this works on sums, in several branches."""
     keys = [*dict.fromkeys([*by, "route", "carrier", "flight_number", *effects, "lt", "holiday"])]
-    cells = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
+    cells = materialise(obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")), "design")
     firsts = cells.groupBy(*by).agg(*[F.min(e).alias(f"_first_{e}") for e in effects], F.sum("n").alias("_total"))
     if by:
         joined = cells.join(firsts, list(by))
@@ -123,15 +125,16 @@ def meat(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     vectors = scores.groupBy(*by, "cluster").agg(F.map_from_entries(F.collect_list(F.struct("c", "s"))).alias("v"))
 
     def fold(batches):
-        sums: dict[tuple, float] = {}
+        blocks: dict[tuple, pd.DataFrame] = {}
         for batch in batches:
-            groups = list(zip(*[batch[b] for b in by])) if by else [()] * len(batch)
-            for g, v in zip(groups, batch["v"]):
-                items = list(v.items()) if isinstance(v, dict) else list(v)
-                for i, a in items:
-                    for j, b in items:
-                        sums[(*g, i, j)] = sums.get((*g, i, j), 0.0) + a * b
-        yield pd.DataFrame([(*key, s) for key, s in sums.items()], columns=[*by, "i", "j", "s"])
+            for g, part in batch.groupby(by) if by else [((), batch)]:
+                # One row per cluster, one column per term: the sum of outer products is one matrix product.
+                rows = pd.DataFrame([v if isinstance(v, dict) else dict(v) for v in part["v"]]).fillna(0.0)
+                product = pd.DataFrame(rows.T.to_numpy() @ rows.to_numpy(), index=rows.columns, columns=rows.columns)
+                key = tuple(g) if isinstance(g, tuple) else (g,)
+                blocks[key] = product if key not in blocks else blocks[key].add(product, fill_value=0.0).fillna(0.0)
+        out = [(*key, i, j, m.at[i, j]) for key, m in blocks.items() for i in m.index for j in m.columns]
+        yield pd.DataFrame(out, columns=[*by, "i", "j", "s"])
 
     schema = ", ".join([*[f"{b} string" for b in by], "i string", "j string", "s double"])
     return vectors.drop("cluster").mapInPandas(fold, schema).groupBy(*by, "i", "j").agg(F.sum("s").alias("s"))

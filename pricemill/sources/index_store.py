@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.digests import merkle_root
 from ..functions.scalars import row_key
 from ..schemas import INDEX_KEY
 from . import snapshots
@@ -60,10 +61,9 @@ def write_cells(cells: DataFrame, path: str, index_code: str, basis: str, run_id
 
 
 def output_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """SHA-256 over the ordered rows of a published (small) result."""
+    """Digest of the rows of a result of any size, and their number; null parts are left out of a row."""
     line = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
-    return df.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("output_hash"),
-                  F.count(F.lit(1)).alias("n"))
+    return merkle_root(df, line).withColumnRenamed("root", "output_hash")
 
 
 def input_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..operators.observations import FRESHNESS_HOURS, is_stale
 from ..params import Method
@@ -14,30 +14,43 @@ from ..session import materialise
 from ..sources.quotes import append_quotes
 
 
+def suppressed(stream: DataFrame, now: Column | str | None = None, key: str = "duplicate_key", at: str = "collected_at",
+               hours: int = FRESHNESS_HOURS, delay: str = "48 hours") -> DataFrame:
+    """The stream split before any watermark: fresh rows lose repeats of their key, late ones go on to ``suppress_sink`` as they are.
+
+    ``delay`` must exceed ``hours`` by the clocks' disagreement; then no fresh row is behind the watermark, and the state holds the keys of ``delay``.
+    Rows without a time, which no watermark could ever forget, count as late.
+    """
+    moment = F.current_timestamp() if now is None else F.lit(now).cast("timestamp") if isinstance(now, str) else now
+    late = F.coalesce(F.col(at) < moment - F.expr(f"INTERVAL {hours} HOURS"), F.lit(True))
+    fresh = stream.where(~late).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+    return fresh.withColumn("_late", F.lit(False)).unionByName(stream.where(late).withColumn("_late", F.lit(True)))
+
+
 def suppress_sink(path: str, run: str, key: str = "duplicate_key", at: str = "collected_at") -> Callable[[DataFrame, int], None]:
-    """Keep the first row of a key, however late the others or itself arrive.
+    """Keep the first row of a key of a ``suppressed`` stream, however late the others or itself arrive.
 
-    A key belongs to one day, as its time bucket is part of it, so a batch is compared only with the
-    stored days that it touches. ``run`` names the stream's checkpoint: a replayed batch of a run
-    overwrites its own folder.
+    A key belongs to one day, as its time bucket is part of it, so rows are compared only with the stored days that they touch, and fresh rows
+    only with those of other runs: their own run's state has seen the rest. ``run`` names the stream's checkpoint: a replayed batch of a run
+    overwrites its own folder. Rows without a time are a day of their own.
     """
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = materialise(batch.withColumn("day", F.to_date(at)).dropDuplicates([key]), "batch")
-        fresh.drop("day").limit(0).write.mode("ignore").parquet(f"{path}/run=none/epoch=-1/day=1970-01-01")  # so that the first batch can read
-        days = [r["day"] for r in fresh.select("day").distinct().collect()]
-        parts = T.StructType([*fresh.schema.fields, T.StructField("run", T.StringType()), T.StructField("epoch", T.LongType())])
-        earlier = spark.read.schema(parts).parquet(path).where(F.col("day").isin(days) & ~((F.col("run") == run) & (F.col("epoch") == epoch)))
-        fresh.join(earlier.select(key), key, "left_anti").write.mode("overwrite").partitionBy("day").parquet(f"{path}/run={run}/epoch={epoch}")
+        offered = materialise(batch.withColumn("day", F.to_date(at)).groupBy(key).agg(F.min(F.struct("_late", *[c for c in batch.columns if c not in (key, "_late")], "day")).alias("_r"))
+                              .select(key, "_r.*").select(*batch.columns, "day"), "batch")
+        offered.drop("day", "_late").limit(0).write.mode("ignore").parquet(f"{path}/run=none/epoch=-1/day=1970-01-01")  # so that the first batch can read
+        days = [r["day"] for r in offered.select("day").distinct().collect()]
+        rows = offered.drop("_late")
+        parts = T.StructType([*rows.schema.fields, T.StructField("run", T.StringType()), T.StructField("epoch", T.LongType())])
+        touched = F.col("day").isin([d for d in days if d is not None]) | (F.col("day").isNull() & F.lit(None in days))
+        stored = spark.read.schema(parts).parquet(path).where(touched & ~((F.col("run") == run) & (F.col("epoch") == epoch)))
+        known = stored.select(key, (F.col("run") == run).alias("_own"))
+        fresh = offered.where(~F.col("_late")).join(known.where(~F.col("_own")), key, "left_anti")
+        late = offered.where("_late").join(known, key, "left_anti")
+        fresh.unionByName(late).drop("_late").write.mode("overwrite").partitionBy("day").parquet(f"{path}/run={run}/epoch={epoch}")
     return write
 
 
-def split_late(stream: DataFrame, now: str, hours: int = FRESHNESS_HOURS) -> tuple[DataFrame, DataFrame]:
-    """(fresh, late): late rows are kept apart before any watermark could drop them."""
-    stale = F.coalesce(is_stale(now, hours), F.lit(False))
-    return stream.where(~stale), stream.where(stale)
-
-
 def quarantine_sink(path: str, now: str, hours: int = FRESHNESS_HOURS) -> Callable[[DataFrame, int], None]:
     """Label late rows QUARANTINED and write both kinds, partitioned by disposition."""
     def write(batch: DataFrame, epoch: int) -> None:

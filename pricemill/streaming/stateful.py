@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ledger import GENESIS
 from ..operators.operations import NEUTRAL, POLICY_OPEN
 
 FAILURE_THRESHOLD = 5
@@ -135,32 +132,3 @@ def circuit_states(stream: DataFrame, lateness: str = "1 hour", **options) -> Da
     """
     timed = stream.select("source", "adapter", "event_id", "success", "status", "at").where(F.col("at").isNotNull()).withWatermark("at", lateness)
     return timed.groupBy("source", "adapter").transformWithStateInPandas(CircuitProcessor(**options), CIRCUIT_OUT, "append", "eventTime")
-
-
-CHAIN_OUT = "source string, lane long, seq long, event_id long, body string, prev_hash string, this_hash string"
-
-
-def hash_chain(stream: DataFrame, lanes: int) -> DataFrame:
-    """Append each record to a chain of its source; input needs source, event_id and body.
-
-    ``lanes`` belongs to the chain: it is chosen when the chain is begun and must stay the same, since
-    the lane of a record is a hash of its id.
-
-    A chain is serial, so a source has several lanes, each with its own chain: one source holding
-    most of the records still spreads over that many tasks. A trigger should be bounded by
-    ``files_per_trigger``, since a lane's records of one trigger are ordered together.
-    """
-    def run(key, batches, state: GroupState):
-        seq, tip = tuple(state.get) if state.exists else (0, GENESIS)
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        out = []
-        for ident, body in zip(rows["event_id"], rows["body"]):
-            this = hashlib.sha256((tip + body).encode()).hexdigest()
-            seq += 1
-            out.append((*key, seq, ident, body, tip, this))
-            tip = this
-        state.update((seq, tip))
-        yield pd.DataFrame(out, columns=["source", "lane", "seq", "event_id", "body", "prev_hash", "this_hash"])
-
-    laned = stream.withColumn("lane", F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 8), 16, 10).cast("long") % lanes)
-    return laned.groupBy("source", "lane").applyInPandasWithState(run, CHAIN_OUT, "seq long, tip string", "append", GroupStateTimeout.NoTimeout)

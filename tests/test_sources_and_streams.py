@@ -5,15 +5,16 @@ import pytest
 from panels import frame, quote
 from pyspark.sql import functions as F
 
+from pricemill.functions import digests
 from pricemill.operators import extraction as ex
 from pricemill.operators import ledger as lg
 from pricemill.operators import observations as ob
 from pricemill.schemas import LEDGER_FIELDS
-from pricemill.session import work_dir
+from pricemill.session import materialise, work_dir
 from pricemill.sources import index_store as store
 from pricemill.sources import reference as ref
 from pricemill.sources.quotes import append_quotes
-from pricemill.streaming import runs, stateful
+from pricemill.streaming import chain, ingest, runs, stateful
 
 
 def test_append_is_idempotent(spark):
@@ -72,6 +73,25 @@ def test_extraction_inherits_context_and_rejects_other_queries(spark):
     assert [(r["payload_id"], r["flight_number"], r["carrier"], float(r["total_fare"])) for r in got] == [("a", "6E101", "6E", 4500.0)]
 
 
+@pytest.mark.parametrize("offer, fare", [
+    ('{"flightNo": "6E 101", "price": "n/a", "fare": 5000}', None),  # the first key that isn't empty decides
+    ('{"flightNo": "6E 101", "price": "", "fare": 5000}', 5000.0),
+    ('{"flightNo": "6E 101", "pri_ce": 5100}', 5100.0),  # separators and escapes in keys
+    ('{"flightNo": "6E 101", "\\u0070rice": 5200}', 5200.0),
+    ('{"flightNo": "6E 101", "price": [5300, 1]}', 5300.0),
+    ('{"flightNo": "6E 101", "fare": {"amount": 0, "total": "Rs. 5,400"}}', 5400.0),
+    ('{"flightNo": "6E 101", "price": 5500, "origin": "?"}', None),  # a key named as what is handed on stands
+    ('{"flightNo": "6E 101", "price": 5600, "from": "?"}', 5600.0),
+    ('{"flightNo": "6E 101", "price": 5700, "departure": "06:30"}', 5700.0),
+    ('{"flightNo": "6E 101", "price": true}', None), ('{"price": 5800}', None), ('{"flightNo": null, "flightNumber": "6E7", "price": 1e3}', 1000.0)])
+def test_extraction_of_siblings(spark, offer, fare):
+    body = '{"from": "DEL", "to": "BOM", "date": "2026-05-08", "carrier": "6E", "list": [[' + offer + "]]}"
+    p = spark.createDataFrame([("a", body, "DEL", "BOM", date(2026, 5, 8), "x")], "payload_id string, payload string, query_origin string, query_destination string, "
+                                                                                 "query_travel_date date, price string")
+    got = [float(r["total_fare"]) for r in ex.extract_fares(p.drop("price")).collect()]
+    assert got == ([] if fare is None else [fare])
+
+
 @pytest.mark.parametrize("text, month", [("January", 1), ("july", 7), ("Sep", 9), ("12", 12), ("nonsense", None)])
 def test_months(spark, text, month):
     from pricemill.functions.scalars import parse_month
@@ -146,10 +166,80 @@ def test_cooled_circuit_is_probed_half_open():
     assert stateful.next_circuit("half_open", 5, until, until, False, "network_error") == ("open", 6, until + timedelta(seconds=60))
 
 
-def test_hash_chain_over_several_batches_is_intact(spark):
-    path = work_dir(spark, "chain")
-    attempts(spark, path)
+@pytest.fixture(scope="module")
+def chained(spark):
+    path, ledger = work_dir(spark, "chain"), work_dir(spark, "ledger")
+    attempts(spark, path, 3)
     stream = runs.file_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
-    chained = runs.run_to_table(stateful.hash_chain(stream.select("source", "event_id", F.col("status").alias("body")), lanes=4), "chained")
-    out = lg.chain_summary(chained, F.col("body"), ["source", "lane"], per_bucket=7).collect()
+    runs.drain(stream.select("source", "event_id", F.col("status").alias("body")), f"{ledger}-checkpoint", chain.chain_sink(ledger, lanes=4))
+    return ledger
+
+
+def test_hash_chain_over_several_batches_is_intact(spark, chained):
+    out = lg.chain_summary(chain.records(spark, chained), F.col("body"), ["source", "lane"], per_bucket=7).collect()
     assert sum(r["n_records"] for r in out) == 120 and all(r["n_broken"] == 0 for r in out) and len(out) == 2 * 4
+    assert chain.verify(spark, chained, per_bucket=7).collect() == []
+    assert [(r["epoch"], r["n_records"]) for r in chain.anchors(spark, chained).orderBy("epoch").collect()] == [(0, 40), (1, 80), (2, 120)]
+
+
+def test_a_replayed_trigger_leaves_the_same_ledger(spark, chained):
+    before = sorted(chain.anchors(spark, chained).collect())
+    last = chain.records(spark, chained).where("epoch = 2").select("source", "event_id", "body")
+    chain.chain_sink(chained, lanes=4)(materialise(last, "again"), 2)
+    assert sorted(chain.anchors(spark, chained).collect()) == before and chain.verify(spark, chained).collect() == []
+
+
+def rewritten(spark, ledger, records):
+    """A copy of a ledger with other records under the same anchors."""
+    target = work_dir(spark, "tampered")
+    records.write.partitionBy("epoch").parquet(f"{target}/records")
+    chain.anchors(spark, ledger).write.parquet(f"{target}/anchors")
+    return target
+
+
+@pytest.mark.parametrize("how, faults", [
+    ("changed", {"broken link"}), ("missing", {"broken link"}), ("reordered", {"broken link"}), ("end cut off", {"root differs"}), ("lane gone", {"root differs"}),
+    ("anchor changed", {"root differs", "broken anchor"})])
+def test_verification_finds(spark, chained, how, faults):
+    held = chain.records(spark, chained)
+    lane = (F.col("source") == "s1") & (F.col("lane") == 2)
+    last = held.where(lane).agg(F.max("seq")).first()[0]
+    at = F.col("seq")
+    tampered = {
+        "changed": held.withColumn("body", F.when(lane & (at == 3), "success!").otherwise(F.col("body"))),
+        "missing": held.where(~(lane & (at == 3))),
+        "reordered": held.withColumn("seq", F.when(lane & (at == 3), 4).when(lane & (at == 4), 3).otherwise(at).cast("long")),
+        "end cut off": held.where(~(lane & (at == last))), "lane gone": held.where(~lane), "anchor changed": held}[how]
+    path = rewritten(spark, chained, tampered)
+    if how == "anchor changed":
+        new = materialise(chain.anchors(spark, path).withColumn("root", F.when(F.col("epoch") == 1, F.sha2(F.lit("x"), 256)).otherwise(F.col("root"))), "anchors")
+        path = work_dir(spark, "forged")
+        held.write.partitionBy("epoch").parquet(f"{path}/records")
+        new.write.parquet(f"{path}/anchors")
+    assert {r["fault"] for r in chain.verify(spark, path, per_bucket=5).collect()} >= faults
+
+
+def test_merkle_root_depends_on_the_lines_only(spark):
+    df = spark.range(5000).select((F.col("id") % 3700).cast("string").alias("x")).union(spark.range(3000).select(F.lit("same")))
+    roots = {digests.merkle_root(df.repartition(n), F.col("x")).first() for n in (1, 7, 211)}
+    assert len(roots) == 1 and roots.pop()["n"] == 8000
+    other = digests.merkle_root(df.where("x <> '17'"), F.col("x")).first()["root"]
+    assert other != digests.merkle_root(df, F.col("x")).first()["root"]
+    assert digests.merkle_root(df.limit(0), F.col("x")).first()["n"] == 0
+
+
+def test_suppression_loses_nothing_and_keeps_one(spark):
+    """Six triggers, rows ten days late, rows without a time, repeats in every trigger and in a second run."""
+    base, path, out = datetime(2026, 1, 20), work_dir(spark, "rows"), work_dir(spark, "kept")
+    rows = [(f"k{i}", None if i % 9 == 0 else base - timedelta(hours=7 * i)) for i in range(60)]  # up to 17 days old
+    rnd = random.Random(2)
+    for trigger in range(6):
+        part = [r for r in rows if rnd.random() < 0.5 or trigger == int(r[0][1:]) % 6]
+        spark.createDataFrame([(*r, trigger) for r in part + part[:5]], "duplicate_key string, collected_at timestamp, n int").coalesce(1).write.mode("append").parquet(path)
+    for run in ("first", "replay"):
+        stream = runs.file_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
+        runs.drain(ingest.suppressed(stream, "2026-01-20 00:00:00", delay="4 days"), f"{out}-{run}", ingest.suppress_sink(out, run))
+    got = spark.read.parquet(out).collect()
+    assert sorted(r["duplicate_key"] for r in got) == sorted(r[0] for r in rows) and {r["run"] for r in got} == {"first"}
+    states = [p.name for p in __import__("pathlib").Path(f"{out}-first/state").glob("*")]
+    assert states == ["0"]  # one operator holds state, the fresh rows' keys
