@@ -16,13 +16,19 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: rounded(fn(_in_utc(spark), sf_dir))
         if sql:
             ORACLES[name] = sql
         return fn
     return register
 
 
+def _in_utc(spark: SparkSession) -> SparkSession:
+    """The twins read timestamps as UTC, so the registered queries do too, whatever the session's zone."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = [
         F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")

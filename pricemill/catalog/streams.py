@@ -8,13 +8,14 @@ from ..functions.digests import merkle_sql
 from ..functions.scalars import canonical_json
 from ..operators import ledger as lg
 from ..operators import observations as ob
+from ..operators import operations as op
 from ..params import Method
 from ..session import work_dir
 from ..sources import retail as R
 from ..sources.quotes import QUOTE_KEY
 from ..streaming import chain, ingest, runs, stateful
 from .index_family import weights
-from .observing import ATT, attempts
+from .observing import ATT, NOW as POLICY_NOW, attempts, policies
 from .registry import query
 from .sqltext import sql
 
@@ -133,7 +134,9 @@ def _(spark, sf):
     return runs.latest_updates(updates, ["source", "day"])
 
 
-@query("T5s_circuit_states", f"""
+def circuit_sql(threshold: int, cooldown: int) -> str:
+    """WITH RECURSIVE att, run: the circuit after each attempt."""
+    return f"""
   WITH RECURSIVE att AS (SELECT source, adapter, event_id, at_ts, success, status, row_number() OVER (PARTITION BY source, adapter ORDER BY at_ts, event_id) AS rn,
       NOT success AND status IN ('unsupported', 'no_results') AS neutral, NOT success AND status IN ('blocked', 'captcha_blocked', 'policy_denied', 'source_changed') AS policy
     FROM {ATT}),
@@ -142,14 +145,51 @@ def _(spark, sf):
     UNION ALL SELECT source, adapter, rn, event_id, at_ts,
       CASE WHEN success THEN 'closed' WHEN neutral THEN found WHEN trips THEN 'open' WHEN found = 'half_open' THEN 'half_open' ELSE 'closed' END,
       CASE WHEN success THEN 0 WHEN neutral THEN consecutive ELSE consecutive + 1 END,
-      CASE WHEN success THEN NULL WHEN NOT neutral AND trips THEN at_ts + INTERVAL 60 SECOND ELSE cooldown_until END
-    FROM (SELECT a.*, r.consecutive, r.cooldown_until, a.policy OR r.consecutive >= 4 AS trips,
+      CASE WHEN success THEN NULL WHEN NOT neutral AND trips THEN at_ts + INTERVAL {cooldown} SECOND ELSE cooldown_until END
+    FROM (SELECT a.*, r.consecutive, r.cooldown_until, a.policy OR r.consecutive >= {threshold - 1} AS trips,
             CASE WHEN r.state = 'open' AND r.cooldown_until <= a.at_ts THEN 'half_open' ELSE r.state END AS found
-          FROM run r JOIN att a ON a.source = r.source AND a.adapter = r.adapter AND a.rn = r.rn + 1))
+          FROM run r JOIN att a ON a.source = r.source AND a.adapter = r.adapter AND a.rn = r.rn + 1))"""
+
+
+def circuits(spark, sf, **options):
+    """The circuit after each event, by the stream over five shuffled triggers."""
+    stream = attempt_stream(spark, sf, shuffled_stream)
+    return runs.run_to_table(stateful.circuit_states(stream, f"{LATENESS_DAYS} days", **options), "circuit", **runs.ROCKS).drop("epoch")
+
+
+@query("T5s_circuit_states", circuit_sql(5, 60) + """
   SELECT source, adapter, event_id, at_ts AS "at", state, consecutive, cooldown_until FROM run WHERE rn > 0""")
 def _(spark, sf):
-    stream = attempt_stream(spark, sf, shuffled_stream)
-    return runs.run_to_table(stateful.circuit_states(stream, f"{LATENESS_DAYS} days"), "circuit", **runs.ROCKS).drop("epoch")
+    return circuits(spark, sf)
+
+
+# Limits under which every reason of the audit occurs in the events.
+AUDIT_THRESHOLD, AUDIT_COOLDOWN, AUDIT_QUOTA, AUDIT_INTERVAL = 2, 21600, 30, 600
+
+
+@query("J16_eligibility_history", circuit_sql(AUDIT_THRESHOLD, AUDIT_COOLDOWN) + f""",
+  state AS (SELECT run.*, max(CASE WHEN NOT success THEN {{'rn': att.rn, 'status': status}} END) OVER (PARTITION BY run.source, run.adapter ORDER BY run.rn) AS f
+    FROM run JOIN att ON att.source = run.source AND att.adapter = run.adapter AND att.rn = run.rn),
+  asked AS (SELECT att.source, att.adapter, att.event_id, att.at_ts, k, rank() OVER d - 1 AS n_before, max(att.at_ts) OVER (d GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_at
+    FROM att JOIN (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey <= 7) ON att.source = 'src' || (k - 1) WINDOW d AS (PARTITION BY att.source, att.at_ts::DATE ORDER BY att.at_ts)),
+  known AS (SELECT q.*, s.state, s.cooldown_until, s.f.status AS failure FROM asked q ASOF LEFT JOIN state s ON s.source = q.source AND s.adapter = q.adapter AND q.at_ts > s.at_ts),
+  judged AS (SELECT *, list_filter([CASE WHEN k = 7 THEN 'SOURCE_DISABLED' END, CASE WHEN k = 5 THEN 'TERMS_REVIEW_REQUIRED' END, CASE WHEN k <> 5 AND k % 3 = 0 THEN 'TERMS_REVIEW_STALE' END,
+      CASE WHEN k = 4 THEN 'ROBOTS_UNKNOWN' END, CASE WHEN adapter = 'ad2' THEN 'MOCK_COLLECTOR_IN_LIVE_MODE' END,
+      CASE WHEN state = 'open' AND failure IN ('captcha_blocked', 'blocked', 'policy_denied') THEN 'CIRCUIT_OPEN_RESTRICTION'
+           WHEN state = 'open' AND cooldown_until > at_ts THEN 'CIRCUIT_OPEN' END], lambda x: x IS NOT NULL) AS reasons,
+      list_filter([CASE WHEN n_before >= {AUDIT_QUOTA} THEN 'DAILY_QUOTA_EXHAUSTED' END, CASE WHEN at_ts - last_at < INTERVAL {AUDIT_INTERVAL} SECOND THEN 'MINIMUM_INTERVAL' END], lambda x: x IS NOT NULL) AS rates
+    FROM known)
+  SELECT source, CASE WHEN len(reasons) = 0 AND len(rates) > 0 THEN 'DENY' WHEN len(reasons) = 0 THEN 'ALLOW'
+      WHEN len(list_filter(reasons, lambda x: NOT (x LIKE '%REVIEW_REQUIRED' OR x LIKE '%STALE' OR x = 'ROBOTS_UNKNOWN'))) = 0 THEN 'REVIEW_REQUIRED' ELSE 'DENY' END AS decision,
+    array_to_string(CASE WHEN len(reasons) = 0 THEN rates ELSE reasons END, ',') AS reasons, count(*) AS n FROM judged GROUP BY ALL""")
+def _(spark, sf):
+    made = attempts(spark, sf).withColumn("at", F.col("at").cast("timestamp"))
+    policy = policies(spark, sf).where("source_id <= 7").withColumns({
+        "source_id": F.concat(F.lit("src"), (F.col("source_id") - 1).cast("string")), "daily_request_limit": F.lit(AUDIT_QUOTA), "minimum_interval_seconds": F.lit(AUDIT_INTERVAL)})
+    asked = made.select("event_id", F.col("source").alias("source_id"), "adapter", "at", F.lit("AFR").alias("origin"), F.lit("DEL").alias("destination"))
+    after = circuits(spark, sf, threshold=AUDIT_THRESHOLD, cooldown=AUDIT_COOLDOWN).join(made.select("event_id", F.when(~F.col("success"), F.col("status")).alias("failure")), "event_id")
+    found = op.eligibility_at(asked, policy, after.withColumnRenamed("source", "source_id"), made.select(F.col("source").alias("source_id"), "at"), POLICY_NOW, mock_adapters=["ad2"])
+    return found.groupBy(F.col("source_id").alias("source"), "decision", F.concat_ws(",", "reasons").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("T6s_stream_adapter_totals", f"""

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.ordered import as_of
+from .observations import codes
+
 # Status domains of a collection attempt.
 NEUTRAL = ("unsupported", "no_results")
 RESTRICTED = ("rate_limited", "blocked", "captcha_blocked", "policy_denied")
@@ -90,7 +93,6 @@ def path_policy(urls: DataFrame, blocked: Sequence[str], allowed: Sequence[str]
 def eligibility(queries: DataFrame, policies: DataFrame, now: str, terms_days: int = 365, robots_days: int = 30,
                 live: bool = True) -> DataFrame:
     """ALLOW, DENY or REVIEW_REQUIRED per query against the policy of its source, with reasons."""
-    from .observations import codes
     moment = F.lit(now).cast("timestamp")
     terms, robots = F.col("terms_review_status"), F.col("robots_status")
     age_terms = F.floor((F.unix_seconds(moment) - F.unix_seconds("terms_checked_at")) / 86400)
@@ -113,11 +115,45 @@ def eligibility(queries: DataFrame, policies: DataFrame, now: str, terms_days: i
         (~F.array_contains("allowed_routes", "*") & ~F.array_contains("allowed_routes", route), "ROUTE_NOT_PERMITTED"),
         ((F.col("source_type") == "mock") & F.lit(live), "MOCK_SOURCE_IN_LIVE_MODE"),
     )
+    return queries.join(policies, "source_id").withColumn("reasons", reasons).withColumn("decision", _decision())
+
+
+def _decision() -> Column:
     soft = lambda c: c.endswith("REVIEW_REQUIRED") | c.endswith("STALE") | (c == "ROBOTS_UNKNOWN")
-    decision = (
-        F.when(F.size("reasons") == 0, "ALLOW").when(F.forall("reasons", soft), "REVIEW_REQUIRED").otherwise("DENY")
-    )
-    return queries.join(policies, "source_id").withColumn("reasons", reasons).withColumn("decision", decision)
+    return F.when(F.size("reasons") == 0, "ALLOW").when(F.forall("reasons", soft), "REVIEW_REQUIRED").otherwise("DENY")
+
+
+# Failures that keep a circuit shut out whatever its cooldown.
+RESTRICTIONS = ("captcha_blocked", "blocked", "policy_denied")
+HISTORY_BUCKET_SECONDS = 3600
+
+
+def eligibility_at(queries: DataFrame, policies: DataFrame, circuits: DataFrame, requests: DataFrame, now: str,
+                   mock_adapters: Sequence[str] = ("mock",), **policy) -> DataFrame:
+    """``eligibility`` of queries that were asked at a time of a source's adapter, with the state of circuit and quota at that time.
+
+    ``queries`` holds source_id, adapter and ``at``; ``circuits`` (source_id, adapter, at, state, cooldown_until, failure) the state that follows
+    each attempt, ``failure`` being the kind of a failed one; ``requests`` (source_id, at) what was sent. Rate reasons are looked at only where
+    no other stands against a query. How many requests were in flight isn't in the log.
+    """
+    hour = F.floor(F.unix_seconds("at") / HISTORY_BUCKET_SECONDS)
+    asked = eligibility(queries, policies, now, **policy).withColumn("day", F.to_date("at"))
+    stated = as_of(asked, circuits, ["source_id", "adapter"], "at", ["state", "cooldown_until", "failure"], hour)
+    sent = requests.select("source_id", "at", F.to_date("at").alias("day"), F.col("at").alias("last_at"))
+    rated = as_of(stated, sent, ["source_id", "day"], "at", ["last_at"], hour, count="n_before")
+    shut = F.col("state") == "open"
+    restricted = F.col("failure").isin(*RESTRICTIONS)
+    more = codes(
+        (F.col("adapter").isin(*mock_adapters) & F.lit(policy.get("live", True)), "MOCK_COLLECTOR_IN_LIVE_MODE"),
+        (shut & restricted, "CIRCUIT_OPEN_RESTRICTION"),
+        (shut & ~F.coalesce(restricted, F.lit(False)) & (F.col("cooldown_until") > F.col("at")), "CIRCUIT_OPEN"))
+    rates = codes(
+        (F.col("n_before") >= F.col("daily_request_limit"), "DAILY_QUOTA_EXHAUSTED"),
+        (F.unix_micros("at") - F.unix_micros("last_at") < 1_000_000 * F.col("minimum_interval_seconds"), "MINIMUM_INTERVAL"))
+    held = rated.withColumn("reasons", F.concat("reasons", more)).withColumn("_rates", rates)
+    limited = (F.size("reasons") == 0) & (F.size("_rates") > 0)
+    return held.withColumn("decision", F.when(limited, "DENY").otherwise(_decision())).withColumn(
+        "reasons", F.when(limited, F.col("_rates")).otherwise(F.col("reasons"))).drop("_rates")
 
 
 def daily_requests(attempts: DataFrame, limit: Column | None = None) -> DataFrame:

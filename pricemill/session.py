@@ -62,13 +62,3 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     path = work_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Redistribute a file scan that has fewer splits than cores; a scan with enough splits is left alone.
-
-    One file with one row group is one task, and every join, parse and partial aggregate before the
-    first exchange would run in it.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if 2 * scan.rdd.getNumPartitions() > cores else scan.repartition(cores)
