@@ -12,51 +12,89 @@ from ..operators import elementary as el
 from ..operators import nowcast as nc
 from ..operators import reproduce as rp
 from ..params import Method
+from ..plans import publish
+from ..session import work_dir
+from ..sources import index_store
 from ..sources import retail as R
-from .index_family import frames, rel
+from .index_family import frames, rel, weights
 from .registry import query
 from .sqltext import CELL, cte, sql
 
 DRAWS = 200
 
-cte("eff_book", """
-  SELECT period, route, carrier, apw_days, availability,
-      (CASE WHEN sc > 0 THEN phi / sc ELSE 1.0 / nc END) * (CASE WHEN sw > 0 THEN w / sw ELSE 1.0 / nr END)
-      * (CASE WHEN so > 0 THEN omega / so ELSE 1.0 / na END) AS weight
-  FROM (SELECT *, sum(phi) OVER (PARTITION BY period, apw_days, route) AS sc, count(*) OVER (PARTITION BY period, apw_days, route) AS nc
-        FROM (SELECT s.*, coalesce(phi, 0) AS phi FROM smooth_book s LEFT JOIN w_carriers USING (route, carrier)
-              WHERE NOT suppressed AND adjusted IS NOT NULL))
-  JOIN (SELECT period, apw_days, route, w, sum(w) OVER (PARTITION BY period, apw_days) AS sw, count(*) OVER (PARTITION BY period, apw_days) AS nr
-        FROM (SELECT r.period, r.apw_days, r.route, coalesce(w, 0) AS w FROM route_book r LEFT JOIN w_routes USING (route)))
-    USING (period, apw_days, route)
-  JOIN (SELECT period, apw_days, omega, sum(omega) OVER (PARTITION BY period) AS so, count(*) OVER (PARTITION BY period) AS na
-        FROM apw_book JOIN w_omega USING (apw_days) WHERE omega_preset = 'uniform') USING (period, apw_days)""",
-    "smooth_book", "route_book", "apw_book", "w_omega", "w_carriers", "w_routes")
-cte("numbered_blocks", f"""
-  SELECT *, row_number() OVER (PARTITION BY period, {CELL} ORDER BY flight_number) - 1 AS i, count(*) OVER (PARTITION BY period, {CELL}) AS n
-  FROM blocks_book SEMI JOIN eff_book USING (period, {CELL}) WHERE lr_n > 0 OR laf_lr IS NOT NULL""", "blocks_book", "eff_book")
-cte("drawn", f"""
-  SELECT period, {CELL}, draw, sum(coalesce(b.lr_sum, 0)) AS s, sum(b.lr_n) AS c, sum(coalesce(b.laf_lr, 0)) AS l, count(b.laf_lr) AS h
-  FROM (SELECT period, {CELL}, draw, CAST('0x' || substr(md5(concat_ws('|', '7', period, {CELL}, draw, i)), 1, 8) AS BIGINT) % n AS pick
-        FROM numbered_blocks, range({DRAWS}) d(draw)) p
-  JOIN numbered_blocks b USING (period, {CELL}) WHERE b.i = p.pick GROUP BY ALL""", "numbered_blocks")
-cte("head_ci", """
-  SELECT period, stddev_samp(stat) AS se, quantile_cont(stat, 0.05) AS lo, quantile_cont(stat, 0.95) AS hi FROM (
-    SELECT period, draw, sum(weight * v) / sum(weight) AS stat FROM (
-      SELECT d.period, draw, weight, CASE WHEN c > 0 AND h > 0 THEN exp(availability * ln(100 * exp(s / c)) + (1 - availability) * ln(100 * exp(l / h)))
-             WHEN c > 0 THEN 100 * exp(s / c) WHEN h > 0 THEN 100 * exp(l / h) END AS v
-      FROM drawn d JOIN eff_book USING (period, route, carrier, apw_days)) WHERE v IS NOT NULL GROUP BY ALL) GROUP BY 1""", "drawn", "eff_book")
+def bootstrap_twins(b: str) -> None:
+    cte(f"eff_{b}", f"""
+      SELECT period, route, carrier, apw_days, availability,
+          (CASE WHEN sc > 0 THEN phi / sc ELSE 1.0 / nc END) * (CASE WHEN sw > 0 THEN w / sw ELSE 1.0 / nr END)
+          * (CASE WHEN so > 0 THEN omega / so ELSE 1.0 / na END) AS weight
+      FROM (SELECT *, sum(phi) OVER (PARTITION BY period, apw_days, route) AS sc, count(*) OVER (PARTITION BY period, apw_days, route) AS nc
+            FROM (SELECT s.*, coalesce(phi, 0) AS phi FROM smooth_{b} s LEFT JOIN w_carriers USING (route, carrier)
+                  WHERE NOT suppressed AND adjusted IS NOT NULL))
+      JOIN (SELECT period, apw_days, route, w, sum(w) OVER (PARTITION BY period, apw_days) AS sw, count(*) OVER (PARTITION BY period, apw_days) AS nr
+            FROM (SELECT r.period, r.apw_days, r.route, coalesce(w, 0) AS w FROM route_{b} r LEFT JOIN w_routes USING (route)))
+        USING (period, apw_days, route)
+      JOIN (SELECT period, apw_days, omega, sum(omega) OVER (PARTITION BY period) AS so, count(*) OVER (PARTITION BY period) AS na
+            FROM apw_{b} JOIN w_omega USING (apw_days) WHERE omega_preset = 'uniform') USING (period, apw_days)""",
+        f"smooth_{b}", f"route_{b}", f"apw_{b}", "w_omega", "w_carriers", "w_routes")
+    cte(f"numbered_{b}", f"""
+      SELECT *, row_number() OVER (PARTITION BY period, {CELL} ORDER BY flight_number) - 1 AS i, count(*) OVER (PARTITION BY period, {CELL}) AS n
+      FROM blocks_{b} SEMI JOIN eff_{b} USING (period, {CELL}) WHERE lr_n > 0 OR laf_lr IS NOT NULL""", f"blocks_{b}", f"eff_{b}")
+    cte(f"drawn_{b}", f"""
+      SELECT period, {CELL}, draw, sum(coalesce(b.lr_sum, 0)) AS s, sum(b.lr_n) AS c, sum(coalesce(b.laf_lr, 0)) AS l, count(b.laf_lr) AS h
+      FROM (SELECT period, {CELL}, draw, CAST('0x' || substr(md5(concat_ws('|', '7', period, {CELL}, draw, i)), 1, 8) AS BIGINT) % n AS pick
+            FROM numbered_{b}, range({DRAWS}) d(draw)) p
+      JOIN numbered_{b} b USING (period, {CELL}) WHERE b.i = p.pick GROUP BY ALL""", f"numbered_{b}")
+    cte(f"head_ci_{b}", f"""
+      SELECT period, stddev_samp(stat) AS se, quantile_cont(stat, 0.05) AS lo, quantile_cont(stat, 0.95) AS hi FROM (
+        SELECT period, draw, sum(weight * v) / sum(weight) AS stat FROM (
+          SELECT d.period, draw, weight, CASE WHEN c > 0 AND h > 0 THEN exp(availability * ln(100 * exp(s / c)) + (1 - availability) * ln(100 * exp(l / h)))
+                 WHEN c > 0 THEN 100 * exp(s / c) WHEN h > 0 THEN 100 * exp(l / h) END AS v
+          FROM drawn_{b} d JOIN eff_{b} USING (period, route, carrier, apw_days)) WHERE v IS NOT NULL GROUP BY ALL) GROUP BY 1""", f"drawn_{b}", f"eff_{b}")
+
+
+for _basis in ("book", "travel"):
+    bootstrap_twins(_basis)
 
 
 @query("M3_flight_block_bootstrap", sql("""
   SELECT h.period, round(h.value, 6) AS value, round(r.value, 6) AS value_unsmoothed, round(se * h.value / r.value, 6) AS se,
          round(lo * h.value / r.value, 6) AS ci_low, round(hi * h.value / r.value, 6) AS ci_high
-  FROM head_book h JOIN head_raw_book r USING (omega_preset, period) LEFT JOIN head_ci USING (period) WHERE omega_preset = 'uniform'""",
-                                        "head_book", "head_raw_book", "head_ci"))
+  FROM head_book h JOIN head_raw_book r USING (omega_preset, period) LEFT JOIN head_ci_book USING (period) WHERE omega_preset = 'uniform'""",
+                                        "head_book", "head_raw_book", "head_ci_book"))
 def _(spark, sf):
     return frames(spark, sf, Method(bootstrap_draws=DRAWS)).headline.select("period", "value", "value_unsmoothed", "se", "ci_low", "ci_high")
 
 
+def published_sql() -> str:
+    """Every row of the published table, for quotes whose three variant prices are equal."""
+    pick = "index_code, period, frequency, basis, omega_preset, round(value, 6) AS value, round(se, 6) AS se, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, n_quotes, n_cells, n_matched, " \
+           "round(coverage_pct, 6) AS coverage_pct, round(omega_covered, 6) AS omega_covered"
+    parts = []
+    for b in ("book", "travel"):
+        head = f"(SELECT * FROM head_{b} WHERE omega_covered >= 0.6)"
+        parts.append(f"""SELECT 'IDX-' || v AS index_code, h.period, 'daily' AS frequency, '{b}' AS basis, h.omega_preset, h.value, CASE WHEN own THEN se * h.value / r.value END AS se,
+  CASE WHEN own THEN lo * h.value / r.value END AS ci_low, CASE WHEN own THEN hi * h.value / r.value END AS ci_high, n_quotes, n_cells, h.n_matched, h.coverage_pct, h.omega_covered
+  FROM (SELECT *, v = 'T' AND omega_preset = 'uniform' AS own FROM {head}, (VALUES ('B'), ('T'), ('A')) x(v)) h JOIN head_raw_{b} r ON r.omega_preset = 'uniform' AND r.period = h.period
+  LEFT JOIN head_ci_{b} i ON i.period = h.period
+  JOIN (SELECT period, count(*) FILTER (NOT suppressed) AS n_cells, sum(n_quotes)::BIGINT AS n_quotes FROM cells_{b} GROUP BY 1) c ON c.period = h.period""")
+        none = "NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT, NULL::BIGINT"
+        parts.append(f"""SELECT 'IDX-' || v, date_trunc(unit, period)::DATE, frequency, '{b}', omega_preset, exp(avg(CASE WHEN value > 0 THEN ln(value) END)), {none}, sum(n_matched)::BIGINT, avg(coverage_pct), NULL
+  FROM {head}, (VALUES ('B'), ('T'), ('A')) x(v), (VALUES ('weekly', 'week'), ('monthly', 'month')) f(frequency, unit) GROUP BY ALL""")
+        parts.append(f"SELECT 'IDX-T:apw=' || apw_days, period, 'daily', '{b}', 'uniform', value, {none}, n_matched, coverage_pct, NULL FROM apw_{b}")
+        parts.append(f"SELECT 'IDX-T:route=' || route || ':apw=' || apw_days, period, 'daily', '{b}', 'uniform', value, {none}, n_matched, NULL, NULL FROM route_{b}")
+    names = [f"{n}_{b}" for b in ("book", "travel") for n in ("head", "head_raw", "head_ci", "cells", "apw", "route")]
+    return sql(f"SELECT {pick} FROM ({' UNION ALL '.join(parts)})", *names)
+
+
+@query("M1_published_table", published_sql())
+def _(spark, sf):
+    root = work_dir(spark, "published")
+    priced = R.retail_quotes(spark, sf).withColumns({c: F.col("price") for c in ("price_B", "price_T", "price_A")})
+    publish.publish_priced(priced, weights(spark), Method(bootstrap_draws=DRAWS), f"{root}/index", f"{root}/cells", "run-1", 1)
+    return index_store.read_index_values(spark, f"{root}/index").select(
+        "index_code", "period", "frequency", "basis", "omega_preset", "value", "se", "ci_low", "ci_high", "n_quotes", "n_cells", "n_matched", "coverage_pct", "omega_covered")
+
+
 @query("M4_pooled_bootstrap", sql(f"""
   SELECT period, round(value, 6) AS value, n_blocks, round(CASE WHEN n_blocks >= 2 THEN se END, 6) AS se,
          round(CASE WHEN n_blocks >= 2 THEN least(lo, value) END, 6) AS ci_low, round(CASE WHEN n_blocks >= 2 THEN greatest(hi, value) END, 6) AS ci_high

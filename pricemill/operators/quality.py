@@ -36,6 +36,13 @@ def required_columns(df: DataFrame, spark: SparkSession | None = None,
     return result(one, "schema", "required_columns_present", BLOCK, F.lit(not missing), F.lit(len(missing)))
 
 
+def required_column_values(df: DataFrame, columns: Sequence[str] = (*REQUIRED_QUOTE_COLUMNS, "disposition")) -> DataFrame:
+    """(column, present, n_values) for every required column, from one scan; a column that isn't there has no values."""
+    counts = df.agg(*[(F.count(F.col(c)) if c in df.columns else F.lit(0)).cast("long").alias(c) for c in columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(c in df.columns).alias("present"), F.col(c).alias("n_values")) for c in columns])
+    return counts.select(F.explode(rows).alias("_c")).select("_c.*")
+
+
 def non_empty(df: DataFrame) -> DataFrame:
     n = df.agg(F.count(F.lit(1)).alias("n"))
     return result(n, "completeness", "batch_non_empty", BLOCK, F.col("n") > 0, F.col("n"))

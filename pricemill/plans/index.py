@@ -27,7 +27,7 @@ class IndexFrames:
     by_apw: DataFrame
     by_route: DataFrame
     cells: DataFrame
-    blocks: DataFrame
+    blocks: DataFrame | None
 
 
 def relatives(quotes: DataFrame, method: Method) -> DataFrame:
@@ -73,7 +73,13 @@ def compute(quotes: DataFrame, weights: Weights, method: Method = Method()) -> I
 
 def fan_out(priced: DataFrame, weights: Weights, method: Method = Method(), variants: Sequence[str] = ("B", "T", "A"),
             bases: Sequence[str] = ("book", "travel")) -> DataFrame:
-    """Every variant x basis x weight preset in one pass, on the base and link of ``method``.
+    """Headlines of every variant x basis x weight preset in one pass, on the base and link of ``method``."""
+    return fan_out_frames(priced, weights, method, variants, bases).headline
+
+
+def fan_out_frames(priced: DataFrame, weights: Weights, method: Method = Method(), variants: Sequence[str] = ("B", "T", "A"),
+                   bases: Sequence[str] = ("book", "travel")) -> IndexFrames:
+    """``fan_out`` with its windows, routes and cells, all keyed by variant and basis; without blocks.
 
     The quotes are stacked by basis and collapsed with one column per variant; only the collapsed
     products are stacked by variant. Cells are computed once per (variant, basis), and the presets
@@ -86,8 +92,10 @@ def fan_out(priced: DataFrame, weights: Weights, method: Method = Method(), vari
                              method.dow_window if method.smoothing else 1)
     by_route = aggregate.carrier_stage(cells, weights.carriers, by)
     by_apw = aggregate.route_stage(by_route, weights.routes, by)
-    out = aggregate.lead_stage(by_apw, weights.omega, by)
-    return out if method.link_factor is None else aggregate.link(out, method.link_factor)
+    headline = aggregate.lead_stage(by_apw, weights.omega, by)
+    if method.link_factor is not None:
+        headline, by_apw, by_route = (aggregate.link(df, method.link_factor) for df in (headline, by_apw, by_route))
+    return IndexFrames(headline, by_apw, by_route, cells, None)
 
 
 def _based(prepared: DataFrame, method: Method, by: Sequence[str] = ()) -> tuple:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,7 +13,7 @@ from ..params import Method
 from ..session import materialise
 from ..sources.index_store import write_cells, write_index_values
 from ..sources.quotes import append_quotes, path_exists
-from .index import Weights, compute, fan_out
+from .index import IndexFrames, Weights, compute, fan_out_frames
 
 
 @dataclass(frozen=True)
@@ -38,21 +39,56 @@ def ingest(raw: DataFrame, book: ChargeBook, store: str, distances: DataFrame |
     append_quotes(cleaning.clean(split, distances, method.tukey_k, method.hampel_z, method.jump_sigma, method.apw_windows, earlier=earlier), store)
 
 
-def index_rows(headlines: DataFrame, method: Method, weights_version: str, prefix: str = "IDX") -> DataFrame:
-    """Long rows of every frequency for headlines keyed by variant, basis and preset.
+# What a published row holds beside its key; a measure that its series doesn't have is null.
+MEASURES = {"value": "double", "value_native": "double", "se": "double", "ci_low": "double", "ci_high": "double", "n_quotes": "long", "n_cells": "long",
+            "n_matched": "long", "coverage_pct": "double", "omega_covered": "double"}
 
-    Periods resting on too little lead-time weight are withheld before any roll-up.
+
+def _measures(rows: DataFrame) -> DataFrame:
+    native = F.col("value_native") if "value_native" in rows.columns else F.col("value")
+    return rows.withColumns({c: (native if c == "value_native" else F.col(c) if c in rows.columns else F.lit(None)).cast(t) for c, t in MEASURES.items()})
+
+
+def index_rows(headlines: DataFrame, method: Method, weights_version: str, prefix: str = "IDX", detail: DataFrame | None = None) -> DataFrame:
+    """Long rows of every frequency for headlines keyed by variant, basis and preset, and of ``detail`` series.
+
+    Periods resting on too little lead-time weight are withheld before any roll-up. Roll-ups have values, matches and coverage only.
     """
     key = ["variant", "basis", "omega_preset"]
     kept = agg.withhold_thin(headlines, method.min_omega_covered)
-    columns = [*key, "period", "value", "n_matched", "coverage_pct"]
-    out = kept.select(*columns, "omega_covered", F.lit("daily").alias("frequency"))
+    columns = [*key, "period", "frequency", *MEASURES]
+    out = _measures(kept.withColumn("frequency", F.lit("daily"))).select(*columns)
     for frequency in ("weekly", "monthly"):
-        rolled = agg.to_frequency(kept, frequency, key).select(*columns, F.lit(None).cast("double").alias("omega_covered"), F.lit(frequency).alias("frequency"))
-        out = out.unionByName(rolled)
-    return out.withColumns({
-        "index_code": F.concat(F.lit(f"{prefix}-"), F.col("variant")), "method_version": F.lit(method.method_version),
-        "weights_version": F.lit(weights_version)}).drop("variant")
+        rolled = agg.to_frequency(kept, frequency, key)
+        if "value_native" in kept.columns:
+            native = agg.to_frequency(kept.withColumn("value", F.col("value_native")), frequency, key).select(*key, "period", F.col("value").alias("value_native"))
+            rolled = rolled.join(native, [*key, "period"], "left")
+        out = out.unionByName(_measures(rolled.withColumn("frequency", F.lit(frequency))).select(*columns))
+    out = out.withColumn("index_code", F.concat(F.lit(f"{prefix}-"), F.col("variant"))).drop("variant")
+    if detail is not None:
+        out = out.unionByName(detail.select(*out.columns))
+    return out.withColumns({"method_version": F.lit(method.method_version), "weights_version": F.lit(weights_version)})
+
+
+def detail_rows(frames: IndexFrames, method: Method, prefix: str = "IDX") -> DataFrame:
+    """Window and route series of the headline variant, daily."""
+    key = {"omega_preset": F.lit(method.omega_preset), "frequency": F.lit("daily")}
+    code = lambda *parts: F.concat(F.lit(f"{prefix}-"), F.col("variant"), *parts, F.lit(":apw="), F.col("apw_days").cast("string"))
+    columns = ["basis", "omega_preset", "period", "frequency", *MEASURES, "index_code"]
+    windows = frames.by_apw.where(F.col("variant") == method.variant).withColumns({**key, "index_code": code()})
+    routes = frames.by_route.where(F.col("variant") == method.variant).withColumns({**key, "index_code": code(F.lit(":route="), F.col("route"))})
+    return _measures(windows).select(*columns).unionByName(_measures(routes).select(*columns))
+
+
+def intervals(priced: DataFrame, weights: Weights, method: Method, bases: Sequence[str] = ("book", "travel")) -> DataFrame:
+    """Bootstrap intervals of the headline variant and preset, by basis and period; other series carry point values only."""
+    own = priced.withColumn("price", F.col(prepare.VARIANT_COLUMNS[method.variant]))
+    out = None
+    for basis in bases:
+        found = compute(own, weights, replace(method, basis=basis)).headline.select(
+            F.lit(method.variant).alias("variant"), F.lit(basis).alias("basis"), F.lit(method.omega_preset).alias("omega_preset"), "period", "se", "ci_low", "ci_high")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def publish(store: DataFrame, weights: Weights, method: Method, index_path: str, cell_path: str, run_id: str, computed_at: int,
@@ -64,10 +100,22 @@ def publish(store: DataFrame, weights: Weights, method: Method, index_path: str,
     checks = materialise(quality.contract(store, basket, ledger), "checks")
     if enforce:
         quality.enforce(checks)
-    priced = prepare.rebuild_variants(store)
-    headlines = materialise(fan_out(priced, weights, method), "headlines")
-    rows = index_rows(headlines, method, weights.version).withColumns({"run_id": F.lit(run_id), "computed_at": F.lit(computed_at).cast("long")})
-    write_index_values(rows, index_path)
-    detail = compute(priced.withColumn("price", F.col(prepare.VARIANT_COLUMNS[method.variant])), weights, method)
-    write_cells(detail.cells, cell_path, f"IDX-{method.variant}", method.basis, run_id)
+    priced = prepare.rebuild_variants(store) if "total_fare" in store.columns else store
+    publish_priced(priced, weights, method, index_path, cell_path, run_id, computed_at)
     return checks
+
+
+def publish_priced(priced: DataFrame, weights: Weights, method: Method, index_path: str, cell_path: str, run_id: str, computed_at: int) -> None:
+    """Compute the index family of quotes with variant prices and upsert it: headlines, roll-ups, sub-series, intervals and cells."""
+    by = ["variant", "basis", "period"]
+    frames = fan_out_frames(priced, weights, method)
+    cells = materialise(frames.cells, "cells")
+    headlines = frames.headline.join(agg.headline_counts(cells, by[:2]), by, "left")
+    if method.bootstrap_draws > 0:
+        headlines = headlines.join(intervals(priced, weights, method), [*by, "omega_preset"], "left")
+    headlines = materialise(headlines, "headlines")
+    rows = index_rows(headlines, method, weights.version, detail=detail_rows(frames, method))
+    write_index_values(rows.withColumns({"run_id": F.lit(run_id), "computed_at": F.lit(computed_at).cast("long")}), index_path)
+    own = cells.where(F.col("variant") == method.variant)
+    for basis in ("book", "travel"):
+        write_cells(own.where(F.col("basis") == basis).drop("variant", "basis"), cell_path, f"IDX-{method.variant}", basis, run_id)
