@@ -323,7 +323,9 @@ def payloads(spark, sf):
     Two of them also hold what looks like a field but isn't valid: a clock time under a date's key, and an
     empty amount in front of the total.
     """
-    line = R.table(spark, sf, "lineitem").where(F.col("l_extendedprice") > 0)
+    # The given table is one row group, so one task; files of real payloads split by themselves.
+    line = R.table(spark, sf, "lineitem").where(F.col("l_extendedprice") > 0).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag").repartition("l_orderkey")
     ident = F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
     price = F.col("l_extendedprice").cast("decimal(12,2)")
