@@ -8,6 +8,7 @@ from ..operators import aggregate as agg
 from ..operators import backtest as bt
 from ..operators import bootstrap as boot
 from ..operators import elasticity as els
+from ..operators import ladder
 from ..operators import elementary as el
 from ..operators import nowcast as nc
 from ..operators import reproduce as rp
@@ -206,7 +207,21 @@ def _(spark, sf):
 
 @query("M8_fare_ladder")
 def _(spark, sf):
-    return els.fare_ladder(R.retail_quotes(spark, sf))
+    return ladder.fare_ladder(R.retail_quotes(spark, sf))
+
+
+# The moments of a fitted mixture are those of its sample, however many buckets it has.
+@query("M8_ladder_moments", sql("""
+  SELECT route, carrier, count(*) AS n_obs, round(avg(ln(price)), 6) AS mean_log, round(stddev_pop(ln(price)), 6) AS sd_log, round(1.0, 6)::DOUBLE AS weight, TRUE AS ordered
+  FROM quotes WHERE price > 0 GROUP BY ALL HAVING count(*) >= 50""", "quotes"))
+def _(spark, sf):
+    rungs = ladder.fare_ladder(R.retail_quotes(spark, sf)).where("rank IS NOT NULL")
+    w, y = F.col("weight"), F.ln("fare")
+    mean, square = F.sum(w * y), F.sum(w * (F.col("sd_log") ** 2 + y * y))
+    climbing = F.array_sort(F.collect_list(F.struct("rank", "fare")))
+    return rungs.groupBy("route", "carrier").agg(
+        F.max("n_obs").alias("n_obs"), mean.alias("mean_log"), F.sqrt(square - mean * mean).alias("sd_log"), F.sum(w).alias("weight"),
+        (climbing["fare"] == F.array_sort(climbing["fare"])).alias("ordered"))
 
 
 # --- reference comparisons ---------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Lead-time elasticity with fixed effects and flight-clustered errors, and the fare ladder."""
+"""Lead-time elasticity with fixed effects and flight-clustered errors."""
 
 from __future__ import annotations
 
@@ -12,8 +12,6 @@ from ..session import materialise
 
 MIN_OBS = 30
 TERMS = ("const", "ln_tau", "ln_tau_sq")
-LADDER_MIN_OBS = 50
-LADDER_BINS_PER_LOG_UNIT = 1000
 
 SUMMARY = (
     "beta1 double, beta2 double, se_beta1 double, se_beta2 double, cov11 double, cov12 double, cov22 double, "
@@ -209,67 +207,3 @@ def surface(fits: DataFrame, taus: Sequence[int]) -> DataFrame:
         .withColumn("eta_low", F.col("eta") - 1.96 * F.col("eta_se"))
         .withColumn("eta_high", F.col("eta") + 1.96 * F.col("eta_se"))
     )
-
-
-LADDER = ("n_obs long, n_components int, bic double, rank int, fare double, sd_log double, weight double")
-
-
-def fare_ladder(quotes: DataFrame, by: Sequence[str] = ("route", "carrier"), price: str = "price", max_components: int = 6,
-                iterations: int = 200) -> DataFrame:
-    """Gaussian mixture of log prices per group, size chosen by BIC, buckets in ascending order; a group too small for it has nulls.
-
-    Quotes are first folded into narrow log bins with their count, sum and sum of squares; a group
-    is then at most (log range x bins per unit) rows whatever its size, and all of them enter.
-    """
-    by = list(by)
-    y = F.ln(price)
-    bins = (
-        quotes.where(F.col(price) > 0)
-        .groupBy(*by, F.floor(y * LADDER_BINS_PER_LOG_UNIT).alias("b"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
-    )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {b: pdf[b].iloc[0] for b in by}
-        n_obs = int(pdf["n"].sum())
-        if n_obs < LADDER_MIN_OBS:
-            return pd.DataFrame([{**head, "n_obs": n_obs, "n_components": None, "bic": None, "rank": None, "fare": None, "sd_log": None, "weight": None}])
-        j, bic, mean, var, weight = best_mixture(pdf["n"].to_numpy(float), pdf["s"].to_numpy(), pdf["q"].to_numpy(), max_components, iterations)
-        order = np.argsort(mean)
-        return pd.DataFrame([{**head, "n_obs": n_obs, "n_components": j, "bic": bic, "rank": r + 1, "fare": float(np.exp(mean[c])),
-                              "sd_log": float(np.sqrt(var[c])), "weight": float(weight[c])} for r, c in enumerate(order)])
-
-    # Few, CPU-heavy groups: fix the number of tasks, or adaptive execution would merge them into one.
-    bins = bins.repartition(bins.sparkSession.sparkContext.defaultParallelism, *by)
-    return bins.groupBy(*by).applyInPandas(run, ", ".join([*[f"{b} string" for b in by], LADDER]))
-
-
-def best_mixture(n: np.ndarray, s: np.ndarray, q: np.ndarray, most: int, iterations: int):
-    """EM on binned sums from quantile starts; bins keep their own mean and spread."""
-    total = n.sum()
-    centre = s / n
-    order = np.argsort(centre)
-    share = np.cumsum(n[order]) / total
-    grand_var = max(q.sum() / total - (s.sum() / total) ** 2, 1e-8)
-    best = None
-    for j in range(1, most + 1):
-        mean = np.array([centre[order][np.searchsorted(share, (i + 0.5) / j)] for i in range(j)])
-        var, weight, last = np.full(j, grand_var / j ** 2 + 1e-6), np.full(j, 1 / j), -np.inf
-        for _ in range(iterations):
-            # Expected log density of a bin uses its second moment, so no value is moved to a centre.
-            sq = q[:, None] / n[:, None] - 2 * centre[:, None] * mean + mean ** 2
-            logp = np.log(weight) - 0.5 * (np.log(2 * np.pi * var) + sq / var)
-            top = logp.max(axis=1, keepdims=True)
-            norm = top[:, 0] + np.log(np.exp(logp - top).sum(axis=1))
-            resp = np.exp(logp - norm[:, None])
-            mass = n @ resp + 1e-12
-            weight, mean = mass / total, (s @ resp) / mass
-            var = np.maximum((q @ resp) / mass - mean ** 2, 1e-6)
-            like = float(n @ norm)
-            if like - last < 1e-7 * total:
-                break
-            last = like
-        bic = (3 * j - 1) * np.log(total) - 2 * like
-        if best is None or bic < best[1]:
-            best = (j, float(bic), mean, var, weight)
-    return best

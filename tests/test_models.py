@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pricemill.operators import backtest as bt
 from pricemill.operators import elasticity as els
+from pricemill.operators import ladder
 from pricemill.operators import nowcast as nc
 from pricemill.operators import ols
 
@@ -74,12 +75,42 @@ def test_ladder_recovers_three_buckets(spark):
     prices = np.concatenate([p * np.exp(rng.normal(0, 0.02, 300)) for p in (4000, 7000, 12000)])
     df = spark.createDataFrame(pd.DataFrame({"route": "R", "carrier": "C", "price": prices}))
     few = spark.createDataFrame([("R", "few", 5000.0)] * 10, "route string, carrier string, price double")
-    every = els.fare_ladder(df.unionByName(few)).orderBy("rank").collect()
+    every = ladder.fare_ladder(df.unionByName(few)).orderBy("rank").collect()
     # A group too small for a mixture is reported without one.
     assert [(r["n_obs"], r["fare"], r["n_components"]) for r in every if r["carrier"] == "few"] == [(10, None, None)]
     out = [r for r in every if r["carrier"] == "C"]
     assert [round(r["fare"] / 100) for r in out] == [40, 70, 120]
-    assert sum(r["weight"] for r in out) == pytest.approx(1.0)
+    assert sum(r["weight"] for r in out) == pytest.approx(1.0) and all(r["converged"] for r in out)
+
+
+@pytest.mark.parametrize("pack", [37, 4096])
+def test_exact_rounds_are_those_of_a_loop_over_all_prices(spark, monkeypatch, pack):
+    """The packs' totals step the models as expectation-maximisation over single prices does, up to the same likelihood."""
+    monkeypatch.setattr(ladder, "PACK", pack)
+    rng = np.random.default_rng(8)
+    prices = np.round(np.concatenate([3000 * np.exp(rng.normal(0, 0.05, 400)), 5200 * np.exp(rng.normal(0, 0.08, 300))]), 0)
+    prices = np.concatenate([prices, prices[:50]])  # repeats
+    df = spark.createDataFrame(pd.DataFrame({"route": "R", "carrier": "C", "price": prices}))
+    got = sorted(ladder.fare_ladder(df, max_components=3).collect(), key=lambda r: r["rank"])
+    y, ones = np.log(prices), np.ones(len(prices))
+    best = None
+    for j in (1, 2, 3):
+        for start in range(3):
+            w, m, s2, last = np.full(j, 1 / j), ladder.begin(y, ones, j, start), np.full(j, y.var() / j ** 2 + 1e-6), -np.inf
+            for _ in range(2000):
+                like, resp = ladder.expect(y, y * y, ones, w, m, s2)
+                w, m, s2 = ladder.maximise(ones @ resp, y @ resp, (y * y) @ resp, len(y))
+                if like - last < 1e-10 * len(y):
+                    break
+                last = like
+            bic = (3 * j - 1) * np.log(len(y)) - 2 * like
+            if best is None or bic < best[0]:
+                best = (bic, np.sort(np.exp(m)))
+    assert len(got) == len(best[1]) == 2 and got[0]["bic"] == pytest.approx(best[0], abs=0.05)
+    assert np.allclose([r["fare"] for r in got], best[1], rtol=2e-4)
+    mean = sum(r["weight"] * math.log(r["fare"]) for r in got)
+    square = sum(r["weight"] * (r["sd_log"] ** 2 + math.log(r["fare"]) ** 2) for r in got)
+    assert mean == pytest.approx(y.mean(), rel=1e-9) and square == pytest.approx((y * y).mean(), rel=1e-9)
 
 
 def monthly_pair(spark, n, beta, seed=4):
