@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import parse_month
 from ..schemas import CPI_TIDY
+from ..session import materialise
+from .quotes import path_exists
 
 # Header spellings and the depth order of the item hierarchy.
 LEVELS = ("item", "sub_class", "class", "subgroup", "group", "division")
@@ -27,40 +29,66 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return normalised_headers(spark.read.option("header", True).option("encoding", "UTF-8").csv(path))
 
 
+# Columns of the widest file; names of which two make a line a header.
+WIDEST = 64
+CPI_NAMES = sorted({*CPI_REQUIRED, *LEVELS, "code", "inflation"})
+
+
 def load_cpi(spark: SparkSession, paths: dict[str, int]) -> tuple[DataFrame, dict[str, str]]:
-    """Tidy union of the usable files (path -> base year), and why the others were skipped."""
-    parts, skipped = [], {}
-    for path, base_year in paths.items():
-        try:
-            raw = read_csv(spark, path)
-        except Exception as e:  # an unreadable file is reported, not fatal
-            skipped[path] = f"unreadable: {type(e).__name__}"
-            continue
-        lacking = CPI_REQUIRED - set(raw.columns)
-        if lacking:
-            skipped[path] = "missing columns: " + ", ".join(sorted(lacking))
-            continue
-        parts.append(tidy_cpi(raw, base_year, path.rsplit("/", 1)[-1]))
-    out = spark.createDataFrame([], CPI_TIDY)
-    for p in parts:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out, skipped
-
-
-def tidy_cpi(raw: DataFrame, base_year: int, source_file: str) -> DataFrame:
+    """Tidy union of the usable files (path -> base year), and why the others were skipped.
+
+    All files, or folders of them, are one scan, however many there are. A line that names two columns or more is its file's header; the table of
+    headers, one row per file, tells where each column lies. A file that can't be read at all is an error.
+    """
+    there = {p: y for p, y in paths.items() if path_exists(spark, p)}
+    skipped = {p: "unreadable: no such file" for p in paths if p not in there}
+    if not there:
+        return spark.createDataFrame([], CPI_TIDY), skipped
+    cells = [f"_c{i}" for i in range(WIDEST)]
+    lines = spark.read.schema(", ".join(f"{c} string" for c in cells)).option("encoding", "UTF-8").csv(list(there))
+    named = F.transform(F.array(*cells), lambda c: F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, "\ufeff", ""))), " ", "_"))
+    # As Hadoop writes it; the path is escaped but for plus signs.
+    at = F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), "^file:/+", "file:/")
+    lines = lines.select(at.alias("file"), F.array(*cells).alias("values"), named.alias("names"))
+    header = F.size(F.array_intersect("names", F.array(*map(F.lit, CPI_NAMES)))) >= 2
+    headers = lines.where(header).groupBy("file").agg(F.first("names").alias("names"))
+    given = spark.createDataFrame([(_qualified(spark, p), p, y) for p, y in there.items()], "at string, path string, base_year int")
+    either = F.explode(F.array("file", F.regexp_replace("file", "/[^/]*$", "")))  # the file itself or its folder was given
+    files = lines.select("file").distinct().join(headers, "file", "left").select("*", either.alias("at")).join(given, "at")
+    lacking = F.array_except(F.array(*[F.lit(c) for c in sorted(CPI_REQUIRED)]), F.coalesce("names", F.array().cast("array<string>")))
+    files = materialise(files.select("file", "path", "base_year", "names", lacking.alias("lacking")), "cpi-files")
+    wrong = files.where(F.size("lacking") > 0).groupBy("path").agg(F.min(F.array_join("lacking", ", ")).alias("lacking"))
+    skipped.update({r["path"]: f"missing columns: {r['lacking']}" for r in wrong.collect()})  # a row per skipped file
+    empty = given.join(files.select("path").distinct(), "path", "left_anti")
+    skipped.update({r["path"]: "missing columns: " + ", ".join(sorted(CPI_REQUIRED)) for r in empty.collect()})
+    usable = files.where(F.size("lacking") == 0).select("file", F.element_at(F.split("path", "/"), -1).alias("source_file"), "base_year", F.col("names").alias("heads"))
+    rows = lines.where(~header).join(usable, "file")
+    wanted = ["year", "month", "state", "sector", "index", "code", "inflation", *LEVELS]
+    place = lambda c: F.array_position("heads", F.lit(c)).cast("int")
+    raw = rows.select("base_year", "source_file", *[F.when(place(c) > 0, F.get("values", place(c) - 1)).alias(c) for c in wanted])
+    return tidy_cpi(raw, F.col("base_year"), F.col("source_file")), skipped
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The full path, with scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getPath().toString()
+
+
+def tidy_cpi(raw: DataFrame, base_year: Column, source_file: Column) -> DataFrame:
     """One row per month and series, labelled by the deepest level that is filled."""
     def text(c: str) -> Column:
-        return F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) if c in raw.columns else F.lit(None).cast("string")
+        return F.nullif(F.trim(F.col(c)), F.lit(""))
 
     label = F.coalesce(*[text(level) for level in LEVELS])
     level = F.coalesce(*[F.when(text(level).isNotNull(), F.lit(level)) for level in LEVELS])
     year, month = text("year").try_cast("double").cast("int"), parse_month(text("month"))
     return (
         raw.select(
-            F.lit(base_year).alias("base_year"), F.make_date(year, month, F.lit(1)).alias("period"), year.alias("year"),
+            base_year.alias("base_year"), F.make_date(year, month, F.lit(1)).alias("period"), year.alias("year"),
             month.alias("month"), text("state").alias("state"), text("sector").alias("sector"), level.alias("level"),
             label.alias("label"), text("code").alias("code"), text("index").try_cast("double").alias("idx"),
-            text("inflation").try_cast("double").alias("inflation"), F.lit(source_file).alias("source_file"))
+            text("inflation").try_cast("double").alias("inflation"), source_file.alias("source_file"))
         .where(F.col("year").isNotNull() & F.col("month").isNotNull() & F.col("label").isNotNull())
     )
 

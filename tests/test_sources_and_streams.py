@@ -110,6 +110,29 @@ def test_cpi_files_without_an_index_are_skipped_with_a_reason(spark):
     assert len(skipped) == 2 and "index" in skipped[f"{root}/bad"]
 
 
+def test_many_cpi_files_are_one_scan(spark):
+    """A hundred files with headers of their own, in different column orders and spellings, a byte-order mark among them."""
+    root = work_dir(spark, "many")
+    import pathlib
+    folder = pathlib.Path(root)
+    folder.mkdir(parents=True)
+    paths = {}
+    for i in range(100):
+        names = ["Year", "Month", "State", "Sector", "Sub Class", "Index", "Code"]
+        random.Random(i).shuffle(names)
+        line = {"Year": "2025", "Month": "Jul", "State": "All India", "Sector": "Urban", "Sub Class": f'"Air, fare {i}"', "Index": str(100 + i), "Code": ""}
+        text = ("\ufeff" if i % 7 == 0 else "") + ",".join(names) + "\n" + ",".join(line[n] for n in names) + "\n"
+        (folder / f"f{i}.csv").write_text(text, encoding="utf-8")
+        paths[f"{root}/f{i}.csv"] = 2012 + i % 3
+    (folder / "none.csv").write_text("1,2,3\n", encoding="utf-8")
+    tidy, skipped = ref.load_cpi(spark, {**paths, f"{root}/none.csv": 2024})
+    rows = {r["source_file"]: (r["base_year"], r["label"], r["level"], r["idx"], r["code"]) for r in tidy.collect()}
+    assert rows == {f"f{i}.csv": (2012 + i % 3, f"Air, fare {i}", "sub_class", 100.0 + i, None) for i in range(100)}
+    assert list(skipped) == [f"{root}/none.csv"]
+    plan = tidy._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 2 and "Union" not in plan
+
+
 def attempts(spark, path, files=3):
     base = datetime(2026, 1, 1)
     statuses = ["success", "network_error", "network_error", "no_results", "network_error", "network_error", "network_error", "blocked", "success"]
