@@ -52,14 +52,36 @@ def test_family_is_complete_and_repeatable(spark, published):
     root, w, store, _ = published
     first = read_index_values(spark, f"{root}/index").cache()
     # Twelve days never fill three lead windows of one departure date, so the travel basis is withheld.
-    assert {tuple(r) for r in first.select("index_code", "basis").distinct().collect()} == {(f"IDX-{v}", "book") for v in "BTA"}
+    heads = first.where("index_code NOT LIKE '%:%'")
+    assert {tuple(r) for r in heads.select("index_code", "basis").distinct().collect()} == {(f"IDX-{v}", "book") for v in "BTA"}
+    # Windows and routes of the headline variant are published beside it, daily and without intervals.
+    detail = first.where("index_code LIKE 'IDX-T:%'")
+    assert detail.count() + heads.count() == first.count() and {r[0] for r in detail.where("basis = 'book'").select("index_code").distinct().collect()} == {
+        f"IDX-T{r}:apw={a}" for r in ("", ":route=DEL-BOM", ":route=DEL-BLR") for a in (1, 7, 15, 30, 45)}
+    assert {tuple(r) for r in detail.select("frequency", "omega_preset").distinct().collect()} == {("daily", "uniform")}
+    counted = heads.where("frequency = 'daily'").agg(F.min("n_quotes"), F.min("n_cells"), F.count("se")).first()
+    assert counted[0] > 0 and counted[1] > 0 and counted[2] == 0  # no draws, no interval
+    assert heads.where("frequency <> 'daily' AND (n_quotes IS NOT NULL OR value_native IS NULL)").count() == 0
     assert {r[0] for r in first.select("frequency").distinct().collect()} == {"daily", "weekly", "monthly"}
     publish(store, w, METHOD, f"{root}/index", f"{root}/cells", "run-2", 2)
     r = reproduce.report(reproduce.diff(first, read_index_values(spark, f"{root}/index"))).first()
     assert (r["n_missing"], r["n_new"], r["n_differing"]) == (0, 0, 0) and r["n_keys"] == first.count()
     daily = {r["period"]: r["value"] for r in first.where("index_code='IDX-A' AND basis='book' AND frequency='daily'").collect()}
     assert daily[date(2026, 5, 12)] > daily[date(2026, 5, 1)] > 0
-    assert spark.read.parquet(f"{root}/cells").where("run_id = 'run-1'").count() == 12 * 2 * 5
+    assert spark.read.parquet(f"{root}/cells").where("run_id = 'run-1' AND basis = 'book'").count() == 12 * 2 * 5
+
+
+def test_headlines_carry_their_intervals(spark, published):
+    root, w, store, _ = published
+    target = work_dir(spark, "intervals")
+    publish(store, w, Method(bootstrap_draws=40, basis="book", link_factor=110.0, base_period="2026-05-04"), f"{target}/index", f"{target}/cells", "run-6", 6)
+    rows = read_index_values(spark, f"{target}/index").where("index_code = 'IDX-T' AND frequency = 'daily' AND basis = 'book' AND omega_preset = 'uniform'").collect()
+    assert len(rows) == 12 and all(r["ci_low"] <= r["ci_high"] and r["se"] >= 0 for r in rows)
+    assert sum(r["ci_low"] <= r["value"] <= r["ci_high"] for r in rows) >= 10
+    assert all(math.isclose(r["value"], 1.1 * r["value_native"], rel_tol=1e-9) for r in rows)
+    other = read_index_values(spark, f"{target}/index").where("NOT (index_code = 'IDX-T' AND frequency = 'daily' AND omega_preset = 'uniform')")
+    assert other.where("se IS NOT NULL").count() == 0
+    assert {r[0] for r in spark.read.parquet(f"{target}/cells").select("basis").distinct().collect()} == {"book", "travel"}
 
 
 def test_blocked_publication_writes_nothing(spark, published):
