@@ -88,12 +88,11 @@ def daily_moves(df: DataFrame, price: str = "price_T") -> DataFrame:
     """|change in log price| of each fare line since its previous collection date.
 
     The input is folded to one row per fare line and date first, so the window below sees at most
-    one row per date however many quotes a fare line holds.
+    one row per date however many quotes a fare line holds. The folded table is written: moves and their spread both read it.
     """
-    daily = (
+    daily = materialise(
         df.groupBy(*FARE_LINE, "collected_date")
-        .agg(F.avg(positive_ln(F.col(price))).alias("ly"))
-    )
+        .agg(F.avg(positive_ln(F.col(price))).alias("ly")), "daily-prices")
     prev = F.lag("ly").over(W.partitionBy(*FARE_LINE).orderBy("collected_date"))
     return daily.withColumn("jump", F.abs(F.col("ly") - prev))
 
