@@ -36,12 +36,19 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of every group linked by five-word Jaccard similarity of 0.8 or more."""
+    """One document, the smallest id, of every group linked by five-word Jaccard similarity of 0.8 or more.
+
+    Rows are judged by their own texts, also where they share an id or have none. Null, empty and wordless texts link with nothing
+    and stay; of repeated rows one stays.
+    """
     return jaccard_join.keep_one(docs, NEAR_WORDS, NEAR_SHARE)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced by a mark and n_chars counted anew where that changed the text."""
+    """Every document, its secrets replaced by a mark and n_chars counted anew where that changed the text.
+
+    Null and empty texts stay as they are; repeated rows are masked alike.
+    """
     masked = docs.withColumn("_new", secret_scan.redacted(F.col("text")))
     other = ~F.col("_new").eqNullSafe(F.col("text"))
     new = {"text": F.col("_new"), "n_chars": F.when(other, F.length("_new").cast("long")).otherwise(F.col("n_chars"))}
@@ -49,12 +56,18 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once; sources below their target are repeated, up to twice."""
+    """Every document at least once; sources below their target are repeated, up to twice.
+
+    Null and empty texts have no words and count for nothing in the targets; a null source is one of its own; rows that share an id are drawn alike.
+    """
     return mixing.mix(docs, floor=1.0)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled pieces of every row, with its id, language and source."""
+    """Sampled pieces of every row, with its id, language and source.
+
+    A null text has null pieces, the empty one a single word mark; repeated rows are segmented alike.
+    """
     return pieces.encode(docs.select("doc_id", "lang", "source", "text"), keep_text=False, round_bytes=700_000).select("doc_id", "lang", "source", "n_pieces", "lossless", "pieces")
 
 
