@@ -1,9 +1,10 @@
 """Exact grouped quantiles that never bring a whole group into one task.
 
 A window or ``percentile`` over a hot group sorts or hashes that group in a single task. Here the
-group is first reduced to distinct values with counts, its value range is cut into monotone
-buckets, the few buckets that hold a wanted rank are found from the bucket counts, and only inside
-those buckets are the values ranked. A hot group is thereby spread over its buckets.
+group's value range is cut into monotone buckets. Counts of long stretches of buckets, which fold
+before any shuffle, tell which stretches hold a wanted rank; only their values are reduced to distinct
+ones with counts and shuffled, and only inside the buckets that hold a wanted rank are they ranked.
+A hot group is thereby spread over its buckets, and most of its values are never moved.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..session import materialise
 
 BUCKETS_PER_LOG_UNIT = 2048
+BUCKETS_PER_STRETCH = 32
 
 
 def _bucket(value: Column) -> Column:
@@ -22,44 +24,67 @@ def _bucket(value: Column) -> Column:
     return F.coalesce(step, F.lit(0).cast("long"))
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
-    """(keys, v, n): the mergeable form every quantile below starts from; null keys form no group."""
+def present_values(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+    """(keys, v, n) with n = 1: what every quantile below starts from; null keys form no group."""
     present = F.col("v").isNotNull()
     for k in keys:
         present = present & F.col(k).isNotNull()
-    return (
-        df.select(*keys, value.cast("double").alias("v"))
-        .where(present)
-        .groupBy(*keys, "v")
-        .agg(F.count(F.lit(1)).alias("n"))
+    return df.select(*keys, value.cast("double").alias("v")).where(present).withColumn("n", F.lit(1).cast("long"))
+
+
+def _in_stretches(values: DataFrame, keys: Sequence[str], probs: dict[str, float], total: str) -> DataFrame:
+    """The rows of (keys, v, n) that lie in a stretch of buckets with a wanted rank, with the count before it as ``_before``.
+
+    Stretches are counted map-side. The table of those with a wanted rank has a few rows per group: it is written, so that its size is
+    known when the values, of which most fall out here, join it.
+    """
+    stretched = values.withColumn("_s", F.floor(_bucket(F.col("v")) / BUCKETS_PER_STRETCH))
+    by_key = W.partitionBy(*keys)
+    stretches = (
+        stretched.groupBy(*keys, "_s").agg(F.sum("n").alias("_m"))
+        .withColumn("_before", F.sum("_m").over(by_key.orderBy("_s")) - F.col("_m"))
+        .withColumn(total, F.sum("_m").over(by_key))
     )
+    wanted = _holds(_ranks(probs, total), F.col("_before"), F.col("_m"))
+    hit = materialise(stretches.where(wanted).select(*keys, "_s", "_before", total), "stretches")
+    return stretched.join(hit, [*keys, "_s"])
+
+
+def _ranks(probs: dict[str, float], total: str) -> dict[str, tuple[Column, Column, Column]]:
+    places = {name: (F.col(total) - 1) * F.lit(float(p)) for name, p in probs.items()}
+    return {name: (F.floor(pos), F.ceil(pos), pos - F.floor(pos)) for name, pos in places.items()}
+
+
+def _holds(ranks: dict[str, tuple[Column, Column, Column]], start: Column, size: Column) -> Column:
+    """Whether a bucket of ``size`` rows after ``start`` others holds a wanted rank."""
+    wanted = F.lit(False)
+    for lo, hi, _ in ranks.values():
+        for rank in (lo, hi):
+            wanted = wanted | ((rank >= start) & (rank < start + size))
+    return wanted
 
 
 def quantiles_of_counts(
     counts: DataFrame, keys: Sequence[str], probs: dict[str, float], total: str = "n_values"
 ) -> DataFrame:
-    """Linear-interpolated quantiles of (keys, v, n); one output column per entry of ``probs``."""
+    """Linear-interpolated quantiles of (keys, v, n); one output column per entry of ``probs``.
+
+    ``counts`` is read twice, so it should be a written table; a value may have several rows.
+    """
     keys = list(keys)
+    kept = _in_stretches(counts, keys, probs, total).groupBy(*keys, "_s", "_before", total, "v").agg(F.sum("n").alias("n"))
     # Both branches below read this one exchange: bucket totals on one side, ranking on the other.
-    counts = counts.withColumn("_b", _bucket(F.col("v"))).repartition(*keys, "_b")
-    by_key = W.partitionBy(*keys)
+    kept = kept.withColumn("_b", _bucket(F.col("v"))).repartition(*keys, "_b")
     buckets = (
-        counts.groupBy(*keys, "_b")
-        .agg(F.sum("n").alias("_m"), F.max("v").alias("_top"))
-        .withColumn("_start", F.sum("_m").over(by_key.orderBy("_b")) - F.col("_m"))
-        .withColumn(total, F.sum("_m").over(by_key))
+        kept.groupBy(*keys, "_s", "_b")
+        .agg(F.sum("n").alias("_m"), F.first("_before").alias("_before"), F.first(total).alias(total))
+        .withColumn("_start", F.col("_before") + F.sum("_m").over(W.partitionBy(*keys, "_s").orderBy("_b")) - F.col("_m"))
     )
-    wanted = F.lit(False)
-    ranks = {}
-    for name, p in probs.items():
-        pos = (F.col(total) - 1) * F.lit(float(p))
-        ranks[name] = (F.floor(pos), F.ceil(pos), pos - F.floor(pos))
-        for rank in ranks[name][:2]:
-            wanted = wanted | ((rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_m")))
-    hit = buckets.where(wanted).select(*keys, "_b", "_start", total)
+    ranks = _ranks(probs, total)
+    hit = buckets.where(_holds(ranks, F.col("_start"), F.col("_m"))).select(*keys, "_b", "_start")
 
     inside = W.partitionBy(*keys, "_b").orderBy("v")
-    ranked = counts.join(hit, [*keys, "_b"]).withColumn(
+    ranked = kept.join(hit, [*keys, "_b"]).withColumn(
         "_from", F.col("_start") + F.sum("n").over(inside) - F.col("n")
     )
     upto = F.col("_from") + F.col("n")
@@ -78,22 +103,18 @@ def quantiles_of_counts(
 def grouped_quantiles(
     df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float], total: str = "n_values"
 ) -> DataFrame:
-    return quantiles_of_counts(value_counts(df, keys, value), keys, probs, total)
+    return quantiles_of_counts(materialise(present_values(df, keys, value), "values"), keys, probs, total)
 
 
 def median_and_mad(df: DataFrame, keys: Sequence[str], value: Column, extra: dict[str, float] | None = None,
                    total: str = "n_values") -> DataFrame:
     """Median, MAD and any ``extra`` quantiles per group, from one pass over the rows.
 
-    The table of distinct values, smaller than ``df``, is written once and serves every branch below.
+    The values are written once, without any other column, and serve every branch below; so is the result, which has a row per group.
     """
     keys = list(keys)
-    counts = materialise(value_counts(df, keys, value), "value-counts")
-    centre = materialise(quantiles_of_counts(counts, keys, {"med": 0.5, **(extra or {})}, total), "centres")
-    deviations = (
-        counts.join(centre.select(*keys, "med"), keys)
-        .groupBy(*keys, F.abs(F.col("v") - F.col("med")).alias("v"))
-        .agg(F.sum("n").alias("n"))
-    )
+    values = materialise(present_values(df, keys, value), "values")
+    centre = materialise(quantiles_of_counts(values, keys, {"med": 0.5, **(extra or {})}, total), "centres")
+    deviations = values.join(centre.select(*keys, "med"), keys).select(*keys, F.abs(F.col("v") - F.col("med")).alias("v"), "n")
     mad = quantiles_of_counts(deviations, keys, {"mad": 0.5}, "_n_dev").drop("_n_dev")
-    return centre.join(mad, keys)
+    return materialise(centre.join(mad, keys), "quantiles")

@@ -88,23 +88,20 @@ def daily_moves(df: DataFrame, price: str = "price_T") -> DataFrame:
     """|change in log price| of each fare line since its previous collection date.
 
     The input is folded to one row per fare line and date first, so the window below sees at most
-    one row per date however many quotes a fare line holds. The folded table is written: moves and their spread both read it.
+    one row per date however many quotes a fare line holds. The moves are written: their spread reads them too.
     """
-    daily = materialise(
-        df.groupBy(*FARE_LINE, "collected_date")
-        .agg(F.avg(positive_ln(F.col(price))).alias("ly")), "daily-prices")
+    daily = df.groupBy(*FARE_LINE, "collected_date").agg(F.avg(positive_ln(F.col(price))).alias("ly"))
     prev = F.lag("ly").over(W.partitionBy(*FARE_LINE).orderBy("collected_date"))
-    return daily.withColumn("jump", F.abs(F.col("ly") - prev))
+    return materialise(daily.withColumn("jump", F.abs(F.col("ly") - prev)), "daily-moves")
 
 
 def jump_hits(df: DataFrame, sigma: float = 3.0, price: str = "price_T") -> DataFrame:
     """Fare lines and dates whose move exceeds sigma times the spread of moves in their cell."""
     moves = daily_moves(df, price)
-    spread = (
+    spread = materialise(
         moves.groupBy(*CELL)
         .agg(F.count("jump").alias("_n"), F.stddev_samp("jump").alias("_sd"))
-        .select(*CELL, F.when(F.col("_n") > 2, F.col("_sd")).alias("jump_sigma"))
-    )
+        .select(*CELL, F.when(F.col("_n") > 2, F.col("_sd")).alias("jump_sigma")), "move-spread")
     return (
         moves.join(spread, CELL)
         .withColumn("is_jump", F.coalesce(F.col("jump") > sigma * F.col("jump_sigma"), F.lit(False)))
@@ -112,8 +109,12 @@ def jump_hits(df: DataFrame, sigma: float = 3.0, price: str = "price_T") -> Data
 
 
 def flag_jumps(df: DataFrame, sigma: float = 3.0, price: str = "price_T", history: DataFrame | None = None) -> DataFrame:
-    """Mark rows of ``df`` whose fare line jumps in ``history`` (``df`` itself unless given)."""
+    """Mark rows of ``df`` whose fare line jumps in ``history`` (``df`` itself unless given).
+
+    The jumps, few beside the rows, are written, so that the join knows their size.
+    """
     hits = jump_hits(df if history is None else history, sigma, price).where("is_jump").select(*FARE_LINE, "collected_date", "is_jump")
+    hits = materialise(hits, "jumps")
     return (
         df.join(hits, [*FARE_LINE, "collected_date"], "left")
         .withColumn("quality_flag", F.when(F.col("is_jump") & (F.col("quality_flag") == ""), "LONGITUDINAL_JUMP")
@@ -146,12 +147,16 @@ def assign_dispositions(df: DataFrame, price: str = "price_T") -> DataFrame:
 
 
 def clean(df: DataFrame, distances: DataFrame | None = None, tukey_k: float = 3.0, hampel_z: float = 3.5,
-          jump_sigma: float = 3.0, windows: Sequence[int] = APW_WINDOWS, price: str = "price_T", earlier: DataFrame | None = None) -> DataFrame:
+          jump_sigma: float = 3.0, windows: Sequence[int] = APW_WINDOWS, price: str = "price_T", earlier: DataFrame | None = None,
+          written: bool = False) -> DataFrame:
     """Gates, outliers, jumps and dispositions. The gated rows feed several branches: they are written once.
 
     ``earlier`` holds the stored prices of this batch's cells (``stored_prices``), for the jump test.
+    ``written`` says that ``df`` is made row by row from a written table: then the branches read that table, and gates are judged in passing.
     """
-    gated = materialise(validity_gates(df, distances, windows), "gated")
+    gated = validity_gates(df, distances, windows)
+    if not written:
+        gated = materialise(gated, "gated")
     flagged = flag_outliers(gated, tukey_k, hampel_z, price)
     history = gated.select(*FARE_LINE, "collected_date", price)
     if earlier is not None:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ordered import split_lag
 from ..functions.scalars import canonical_json
 from ..params import APW_WINDOWS
+from ..session import materialise
 
 # Fixed values.
 CONFIDENCE = {
@@ -143,8 +144,11 @@ def duplicate_pointers(df: DataFrame, key: str = "duplicate_key", at: str = "col
 
 
 def latest_fares(df: DataFrame, identity: Sequence[str], at: str = "collected_at") -> DataFrame:
-    """Rows at the newest collection time of their identity; all tied rows are kept."""
-    newest = df.groupBy(*identity).agg(F.max(at).alias("_newest"))
+    """Rows at the newest collection time of their identity; all tied rows are kept.
+
+    ``df`` is read twice. The newest times are written, so that the join knows their size.
+    """
+    newest = materialise(df.groupBy(*identity).agg(F.max(at).alias("_newest")), "newest")
     return df.join(newest, list(identity)).where(F.col(at) == F.col("_newest")).drop("_newest")
 
 

@@ -63,14 +63,21 @@ def collapse_sources(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def collapse_variants(df: DataFrame, variants: Sequence[str] = ("B", "T", "A"), by: Sequence[str] = ("basis",)) -> DataFrame:
-    """``collapse_sources`` of several price variants in one aggregate; the variant becomes a key afterwards."""
+def fold_variants(df: DataFrame, variants: Sequence[str] = ("B", "T", "A")) -> DataFrame:
+    """Sums and counts of log prices by product and both dates, a column per price variant: all that any time basis needs."""
     whole = F.lit(True)
     for c in PRODUCT:
         whole = whole & F.col(c).isNotNull()
     logs = {v: F.when(variant_price(v) > 0, F.ln(variant_price(v))) for v in variants}
-    folded = df.where(whole).groupBy(*by, *PRODUCT, "period").agg(
-        *[F.avg(x).alias(f"_lp_{v}") for v, x in logs.items()], *[F.count(x).alias(f"_n_{v}") for v, x in logs.items()])
+    return df.where(whole).groupBy(*PRODUCT, "collected_date", "departure_date").agg(
+        *[F.sum(x).alias(f"_sum_{v}") for v, x in logs.items()], *[F.count(x).alias(f"_n_{v}") for v, x in logs.items()])
+
+
+def collapse_variants(folded: DataFrame, variants: Sequence[str] = ("B", "T", "A"), by: Sequence[str] = ("basis",)) -> DataFrame:
+    """``collapse_sources`` of folded rows (``fold_variants``) with their period, in one aggregate; the variant becomes a key afterwards."""
+    n = {v: F.sum(f"_n_{v}") for v in variants}
+    folded = folded.groupBy(*by, *PRODUCT, "period").agg(
+        *[F.when(n[v] > 0, F.sum(f"_sum_{v}") / n[v]).alias(f"_lp_{v}") for v in variants], *[n[v].alias(f"_n_{v}") for v in variants])
     stacked = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"_lp_{v}").alias("lp"), F.col(f"_n_{v}").alias("n_sources")) for v in variants])
     return (
         folded.select(*by, *PRODUCT, "period", F.explode(stacked).alias("_v")).select("_v.variant", *by, *PRODUCT, "period", "_v.lp", "_v.n_sources")

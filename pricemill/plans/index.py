@@ -33,7 +33,7 @@ class IndexFrames:
 def relatives(quotes: DataFrame, method: Method) -> DataFrame:
     """Publishable quotes of one basis, collapsed by product, with their log relatives."""
     prepare.require_columns(quotes)
-    prepared = prepare.collapse_sources(prepare.with_period(prepare.publishable(quotes), method.basis))
+    prepared = materialise(prepare.collapse_sources(prepare.with_period(prepare.publishable(quotes), method.basis)), "products")  # read by base periods, base prices and rows
     return elementary.attach_base(*_based(prepared, method))
 
 
@@ -81,13 +81,15 @@ def fan_out_frames(priced: DataFrame, weights: Weights, method: Method = Method(
                    bases: Sequence[str] = ("book", "travel")) -> IndexFrames:
     """``fan_out`` with its windows, routes and cells, all keyed by variant and basis; without blocks.
 
-    The quotes are stacked by basis and collapsed with one column per variant; only the collapsed
-    products are stacked by variant. Cells are computed once per (variant, basis), and the presets
+    The quotes are folded by both dates with one column per variant; only what is folded is stacked by basis, collapsed and stacked
+    by variant. These products are written: base periods, base prices, cells and stages all read them. Cells are computed once per (variant, basis), and the presets
     only multiply the last, small stage.
     """
     by = ["variant", "basis"]
     kept = priced.where(F.col("disposition").isin("ACCEPTED", "WINSORISED"))
-    rel = elementary.attach_base(*_based(prepare.collapse_variants(prepare.both_bases(kept, bases), variants), method, by), by)
+    folded = prepare.fold_variants(kept, variants)
+    products = materialise(prepare.collapse_variants(prepare.both_bases(folded, bases), variants), "products")
+    rel = elementary.attach_base(*_based(products, method, by), by)
     cells = aggregate.smooth(elementary.cells(rel, by, method.n_min, method.availability_adjustment), by,
                              method.dow_window if method.smoothing else 1)
     by_route = aggregate.carrier_stage(cells, weights.carriers, by)
@@ -101,7 +103,7 @@ def fan_out_frames(priced: DataFrame, weights: Weights, method: Method = Method(
 def _based(prepared: DataFrame, method: Method, by: Sequence[str] = ()) -> tuple:
     """The prepared products and their base period: the pinned one, or each group's own."""
     if not method.base_period:
-        return prepared, prepare.base_periods(prepared, by) if by else prepare.base_periods(prepared)
+        return prepared, materialise(prepare.base_periods(prepared, by) if by else prepare.base_periods(prepared), "base-periods")
     prepare.pinned_base(prepared, method.base_period)
     return prepared, F.lit(method.base_period).cast("date")
 
