@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import work_dir
+from ..session import materialise, work_dir
 from ..sources import export as ex
 from ..sources import reference as ref
 from ..sources import retail as R
@@ -32,6 +32,7 @@ def cpi_files(spark, sf):
             .select(F.year("collected_date").alias(" Year"), month_text("collected_date").alias("Month"), F.col("route").alias("State"),
                     F.when(F.col("source") == "O", "Urban").otherwise("Rural").alias("Sector"), F.lit("Transport").alias("Division"),
                     F.when(F.col("fare_family") != "PROMO", F.concat(F.lit("Air fare "), F.col("fare_family"))).alias("Item"), "Index"))
+    base = materialise(base, "cpi-rows")  # all three files are made of it
     root = work_dir(spark, "cpi")
     return {write_csv(base, f"{root}/deep"): 2024, write_csv(base.drop("Item"), f"{root}/flat"): 2012,
             write_csv(base.drop("Index"), f"{root}/broken"): 2010}
