@@ -224,7 +224,7 @@ def _(spark, sf):
      FROM quotes GROUP BY ALL) WHERE year(collected_date) >= 1998 GROUP BY 1""", "quotes"))
 def _(spark, sf):
     from ..sources.quotes import QUOTE_KEY, new_quotes
-    quotes = R.retail_quotes(spark, sf).select(*QUOTE_KEY, "price", "order_id")
+    quotes = materialise(R.retail_quotes(spark, sf).select(*QUOTE_KEY, "price", "order_id"), "quotes")  # read as the batch and as the store
     stored = quotes.where(F.year("collected_date") < 1998)
     fresh = new_quotes(quotes, stored)
     return fresh.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
