@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schemas import PRODUCT, PUBLISHABLE
+from ..session import materialise
 
 QUOTE_KEY = [*PRODUCT, "collected_date", "source"]
 
@@ -34,8 +35,9 @@ def append_quotes(batch: DataFrame, path: str, key: Sequence[str] = QUOTE_KEY) -
     spark = batch.sparkSession
     store = None
     if path_exists(spark, path):
-        dates = batch.select("collected_date").distinct()
-        store = spark.read.parquet(path).join(dates, "collected_date", "left_semi")
+        batch = materialise(batch, "batch")  # read for its days and for its rows
+        days = [r["collected_date"] for r in batch.select("collected_date").distinct().collect() if r["collected_date"] is not None]
+        store = spark.read.parquet(path).where(F.col("collected_date").isin(days))
     (new_quotes(batch, store, key).repartition("collected_date", "route", "carrier")
      .write.mode("append").partitionBy("collected_date").parquet(path))
 
