@@ -10,7 +10,7 @@ from ..operators import ledger as lg
 from ..operators import observations as ob
 from ..operators import operations as op
 from ..params import Method
-from ..session import work_dir
+from ..session import materialise, work_dir
 from ..sources import retail as R
 from ..sources.quotes import QUOTE_KEY
 from ..streaming import chain, ingest, runs, stateful
@@ -242,6 +242,7 @@ def _(spark, sf):
     root = work_dir(spark, "republish")
     w = weights(spark)
     quotes = R.retail_quotes(spark, sf).withColumn("departure_date", F.col("collected_date")).select(*QUOTE_KEY, "departure_date", "price", "disposition")
+    quotes = materialise(quotes, "quotes")  # read for the first date and for each trigger
     first = quotes.agg(F.min("collected_date").cast("string")).first()[0]
     method = Method(bootstrap_draws=0, base_period=first)
     part = F.floor((F.year("collected_date") - int(first[:4])) / 2)  # two years a trigger
