@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import aggregate as agg
 from ..operators import charges, cleaning, prepare, quality
 from ..params import Method
+from ..schemas import REQUIRED_QUOTE_COLUMNS
 from ..session import materialise
 from ..sources.index_store import write_cells, write_index_values
 from ..sources.quotes import append_quotes, path_exists
@@ -108,6 +109,8 @@ def publish(store: DataFrame, weights: Weights, method: Method, index_path: str,
 def publish_priced(priced: DataFrame, weights: Weights, method: Method, index_path: str, cell_path: str, run_id: str, computed_at: int) -> None:
     """Compute the index family of quotes with variant prices and upsert it: headlines, roll-ups, sub-series, intervals and cells."""
     by = ["variant", "basis", "period"]
+    used = [*REQUIRED_QUOTE_COLUMNS, "disposition", *prepare.VARIANT_COLUMNS.values()]
+    priced = materialise(priced.select(*used), "priced")  # read by the family and by the interval of each basis
     frames = fan_out_frames(priced, weights, method)
     cells = materialise(frames.cells, "cells")
     headlines = frames.headline.join(agg.headline_counts(cells, by[:2]), by, "left")
