@@ -1,6 +1,8 @@
 import random
 from datetime import date, datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from panels import frame, quote
 from pyspark.sql import functions as F
@@ -182,6 +184,51 @@ def test_idle_circuits_are_dropped(spark):
         assert [(r["consecutive"], r["state"]) for r in rows] == [(count, "open" if count == 5 else "closed")]
 
 
+class Held:
+    """State of one key, without Spark."""
+
+    def __init__(self):
+        self.values, self.calls, self.timers = {}, 0, []
+
+    def getValueState(self, name, schema):
+        one = self.getMapState(name, "", schema)
+        return SimpleNamespace(exists=lambda: one.getValue(()) is not None, get=lambda: one.getValue(()), update=lambda v: one.updateValue((), v), clear=lambda: one.removeKey(()))
+
+    def getMapState(self, name, key, schema):
+        held = self.values.setdefault(name, {})
+
+        def called(fn):
+            def call(*args):
+                self.calls += 1
+                return fn(*args)
+            return call
+        return SimpleNamespace(getValue=called(held.get), updateValue=called(held.__setitem__), removeKey=called(lambda k: held.pop(k, None)), keys=called(lambda: list(held)))
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_a_circuit_takes_one_timer_and_a_few_state_accesses_for_many_slots():
+    base, n = datetime(2026, 1, 1), 2000
+    statuses = ["success", "network_error", "no_results", "blocked"]
+    rows = pd.DataFrame({"event_id": range(n), "status": [statuses[i * i % 7 % 4] for i in range(n)], "at": [base + timedelta(minutes=10 * i) for i in range(n)]})
+    rows["success"] = rows["status"] == "success"
+    held, tool = Held(), stateful.CircuitProcessor()
+    tool.init(held)
+    for part in (rows.sample(frac=1, random_state=1)[i::2] for i in range(2)):
+        list(tool.handleInputRows(("s", "a"), iter([part]), None))
+    end = held.timers[-1]
+    passed = SimpleNamespace(getCurrentWatermarkInMs=lambda: int((base + timedelta(minutes=10 * n - 95) - datetime(1970, 1, 1)).total_seconds() * 1000))
+    out = pd.concat(list(tool.handleExpiredTimer(("s", "a"), passed, SimpleNamespace(getExpiryTimeInMs=lambda: end))))
+    assert len(held.timers) <= 3 and held.calls < n / 2
+    state, want = ("closed", 0, None), []
+    for r in rows.head(n - 10).itertuples():
+        state = stateful.next_circuit(*state, r.at.to_pydatetime(), r.success, r.status)
+        want.append((r.event_id, state[0], state[1], state[2]))
+    assert [(r.event_id, r.state, r.consecutive, None if pd.isna(r.cooldown_until) else r.cooldown_until.to_pydatetime()) for r in out.itertuples()] == want
+    assert held.timers[-1] > passed.getCurrentWatermarkInMs()
+
+
 def test_cooled_circuit_is_probed_half_open():
     until = datetime(2026, 1, 1)
     assert stateful.next_circuit("open", 5, until, until, False, "no_results")[0] == "half_open"
