@@ -50,8 +50,8 @@ def retail_quotes(spark: SparkSession, sf_dir: str, grain: str = "quarter") -> D
 def quote_view(line: DataFrame, spark: SparkSession, sf_dir: str, grain: str = "quarter") -> DataFrame:
     """Quote form of line items, batch or stream; no join here carries a hint, sizes decide.
 
-    Orders find their route before the lines join them, so that the lines are shuffled twice, by order and by part, and no more;
-    what they need of a column is computed before.
+    Orders find their route before the lines join them, so that the lines are shuffled twice, by part and by order, and no more;
+    what they need of a column is computed before. Orders come last: what is then grouped by the order among other keys needs no further shuffle.
     """
     where = (
         table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -73,8 +73,8 @@ def quote_view(line: DataFrame, spark: SparkSession, sf_dir: str, grain: str = "
     slot = (F.col("l_partkey") % len(APW_WINDOWS)).cast("int")
     windows = F.array(*[F.lit(w) for w in APW_WINDOWS])
     return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             "collected_date",
             F.add_months("collected_date", slot * MONTHS_PER_PERIOD[grain]).alias("departure_date"),
