@@ -184,6 +184,15 @@ def test_idle_circuits_are_dropped(spark):
         assert [(r["consecutive"], r["state"]) for r in rows] == [(count, "open" if count == 5 else "closed")]
 
 
+def test_days_and_places_that_come_again_are_judged_once():
+    text = '{"from":"DEL","to":"BOM","date":"2026-02-30","results":[{"fare":"10","flightNo":"1","departureDate":"2026-02-03","carrier":"6E"}]}'
+    ex._is_date.cache_clear()
+    for _ in range(3):
+        found = list(ex._candidates(ex.json.loads(text)))
+        assert [(c["price"], c["origin"], c["travel_date"], c["carrier"]) for c in found] == [("10", "DEL", "2026-02-03", "6E")]
+    assert ex._is_date.cache_info().misses == 2
+
+
 class Held:
     """State of one key, without Spark."""
 
