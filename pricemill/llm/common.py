@@ -57,3 +57,50 @@ BROADCAST_BYTES = 32 << 20
 def sent_if_small(side: DataFrame, row_bytes: int) -> DataFrame:
     """``side``, a stored table, marked for broadcast if its counted rows stay below ``BROADCAST_BYTES``."""
     return F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side
+
+
+# Bits of a sieve; a table of as many 64-bit words at most is sent to every task.
+SIEVE_BITS = 1 << 26
+
+
+class Sieve:
+    """The keys of a table as bits of their hashes, small enough to send: passes every row that has one of the keys, and by chance a few others.
+
+    Where a join with these keys is too large to send, only rows that pass need to be shuffled.
+    """
+
+    def __init__(self, keys: DataFrame, on: str):
+        self.on = on
+        bits = keys.select(self._bit().alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit & 63 as int)))").alias("_bits"))
+        self.words = materialise(bits, "sieve")
+
+    def _bit(self) -> Column:
+        return F.pmod(F.xxhash64(self.on, F.lit(11)), F.lit(SIEVE_BITS))
+
+    def told(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``_passed``."""
+        placed = df.withColumn("_bit", self._bit()).join(F.broadcast(self.words), F.shiftright("_bit", 6) == F.col("_word"), "left")
+        return placed.select(*df.columns, F.expr("_bits is not null and (shiftrightunsigned(_bits, cast(_bit & 63 as int)) & 1) = 1").alias("_passed"))
+
+    def passed(self, df: DataFrame) -> DataFrame:
+        return self.told(df).filter("_passed").drop("_passed")
+
+
+def held_by(df: DataFrame, side: DataFrame, row_bytes: int, on: str = "doc_id") -> DataFrame:
+    """``df`` joined with ``side``, a stored table, which is sent if it is small; else the rows of ``df`` are sieved before they are shuffled."""
+    if side.count() * row_bytes <= BROADCAST_BYTES:
+        return df.join(F.broadcast(side), on)
+    return Sieve(side, on).passed(df).join(side, on)
+
+
+def without(df: DataFrame, gone: DataFrame, keys: DataFrame, on: str, row_bytes: int) -> DataFrame:
+    """Rows of ``df`` without a key of ``gone``, a stored table; ``keys`` are all keys of ``df``.
+
+    Where ``gone`` is too large to send, its sieve is, with those of the other keys that pass by chance.
+    """
+    if gone.count() * row_bytes <= BROADCAST_BYTES:
+        return df.join(F.broadcast(gone), on, "left_anti")
+    sieve = Sieve(gone, on)
+    spared = materialise(sieve.passed(keys.select(on).join(gone, on, "left_anti")).distinct(), "spared").withColumn("_spared", F.lit(True))
+    told = sieve.told(df).join(sent_if_small(spared, row_bytes), on, "left")
+    return told.filter("not _passed or _spared").select(*df.columns)

@@ -10,6 +10,8 @@ link when their overlap is at least ``SHARE`` percent of their union.
    collision of hashes. Sizes are cut into classes; a set shows the contents of its blocks to its own class and to the
    next ones, and sets that show the same content are candidates. A block of many n-grams must agree as a
    whole, so frequent n-grams and passages alone make few candidates.
+   Where these components grow large, as passages in many texts chain them, they are cut: linked sets share one of the rarest
+   n-grams of each, as many as a linked set may lack and one more, and n-grams that are frequent in the component count as the least rare.
 3. Row blocks: components of the candidates bound where links can be. Inside one, the product of the
    document by n-gram incidence with its transpose accumulates exact overlap counts, block of rows by block
    of rows; pairs below the bound that their sizes set are discarded. Every block leaves a spanning
@@ -35,13 +37,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pricemill.session import materialise
 
 from .bytework import BASE_A, BASE_B, SMALL, Rolling, mixed, rounds, run_starts, tidy, word_hashes, words
-from .common import BROADCAST_BYTES, documents, ordinals, sent_if_small
+from .common import BROADCAST_BYTES, Sieve, documents, held_by, sent_if_small, without
 from .graph import components
 
 N, SHARE = 3, 90
 SURE = 28.0
 # A task of the product holds at most about so many n-grams and documents on either side.
 TASK_GRAMS, TASK_DOCS = 2_000_000, 1_500
+# Counters (a power of 2) behind the order of n-grams in large clusters; any counts give the same links.
+COUNTERS = 1 << 21
 
 
 class Grams:
@@ -168,20 +172,78 @@ def _shown(n: int, share: int):
                 keep = one[text]
                 keys.append(key[keep])
                 docs.append(ids[i:j][text[keep]])
-            if not keys:
-                continue
-            key, doc = np.concatenate(keys).view(np.int64), np.concatenate(docs)
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            if not len(key):
-                continue
-            group = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            least = np.repeat(doc[group], np.diff(np.append(group, len(key))))
-            pair = np.unique(np.stack([doc[doc > least], least[doc > least]], 1), axis=0)
-            salt = mixed(pair[:, 0].astype(np.uint64) ^ mixed(pair[:, 1].astype(np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_pydict({
-                "key": pa.array(np.concatenate([key[group], salt])), "doc": pa.array(np.concatenate([doc[group], pair[:, 0]])),
-                "peer": pa.concat_arrays([pa.nulls(len(group), pa.int64()), pa.array(pair[:, 1])])})
+            yield from _matched(keys, docs)
+            tidy()
+    return run
+
+
+def _matched(keys: list[np.ndarray], docs: list[np.ndarray]):
+    """(key, doc, peer) of a batch: of equal keys the one with the least doc stays, the others are edges to it."""
+    if not sum(map(len, keys)):
+        return
+    key, doc = np.concatenate(keys).view(np.int64), np.concatenate(docs)
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    group = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    least = np.repeat(doc[group], np.diff(np.append(group, len(key))))
+    pair = np.unique(np.stack([doc[doc > least], least[doc > least]], 1), axis=0)
+    salt = mixed(pair[:, 0].astype(np.uint64) ^ mixed(pair[:, 1].astype(np.uint64))).view(np.int64)
+    yield pa.RecordBatch.from_pydict({
+        "key": pa.array(np.concatenate([key[group], salt])), "doc": pa.array(np.concatenate([doc[group], pair[:, 0]])),
+        "peer": pa.concat_arrays([pa.nulls(len(group), pa.int64()), pa.array(pair[:, 1])])})
+
+
+def _in_cluster(h: np.ndarray, bounds: np.ndarray, cluster: np.ndarray) -> np.ndarray:
+    """A hash of every n-gram and its text's cluster."""
+    return mixed(h ^ np.repeat(mixed(cluster.astype(np.uint64)), np.diff(bounds)))
+
+
+def _counter(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(33)).astype(np.int64) % COUNTERS
+
+
+def _counted(n: int):
+    """(counter, n): how many sets of the task hold n-grams that fall on a counter."""
+    def run(batches):
+        grams, counts = Grams(n), np.zeros(COUNTERS, np.int32)
+        for batch in batches:
+            cluster = batch.column("cluster").to_numpy()
+            for i, j, data, offsets in rounds(batch.column("text")):
+                h, bounds = grams.sets(data, offsets)
+                counts += np.bincount(_counter(_in_cluster(h, bounds, cluster[i:j])), minlength=COUNTERS).astype(np.int32)
+        used = np.flatnonzero(counts)
+        for k in range(0, len(used), 1 << 16):
+            yield pa.RecordBatch.from_pydict({"counter": pa.array(used[k:k + (1 << 16)].astype(np.int32)), "n": pa.array(counts[used[k:k + (1 << 16)]].astype(np.int64))})
+        tidy()
+    return run
+
+
+def rarest(key: np.ndarray, bounds: np.ndarray, counts: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, text): of every set the keys lowest in the order of their counts, such that linked sets share one of them.
+
+    A linked set lacks at most size - share * size keys of the other's, so the first key that two have in common has at most so many
+    before it in either set.
+    """
+    size = np.diff(bounds)
+    text = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((key, counts[_counter(key)], text))
+    first = (np.arange(len(key)) - np.repeat(bounds[:-1], size))[np.argsort(order, kind="stable")] <= (size + -share * size // 100)[text]
+    return key[first], text[first]
+
+
+def _rarest(n: int, share: int, counts):
+    """(key, doc, peer) of the rarest n-grams."""
+    def run(batches):
+        grams = Grams(n)
+        for batch in batches:
+            ids, cluster = batch.column("doc_id").to_numpy(), batch.column("cluster").to_numpy()
+            keys, docs = [], []
+            for i, j, data, offsets in rounds(batch.column("text")):
+                h, bounds = grams.sets(data, offsets)
+                key, text = rarest(_in_cluster(h, bounds, cluster[i:j]), bounds, counts.value, share)
+                keys.append(key)
+                docs.append(ids[i:j][text])
+            yield from _matched(keys, docs)
             tidy()
     return run
 
@@ -325,6 +387,37 @@ def product_tasks(members: DataFrame, share: int = SHARE, task_grams: int = TASK
     return sized.withColumn("block", block).select("doc_id", F.when(F.col("parts") <= 1, one).otherwise(F.transform(meets, task)).alias("tasks"))
 
 
+def _edges(shown: DataFrame) -> DataFrame:
+    """(a, b) such that documents that show the same content are connected; at most a row per batch and content comes together."""
+    shown = shown.withColumn("settled", F.col("peer").isNotNull())
+    return shown.withColumn("least", F.min("doc").over(Window.partitionBy("key", "settled"))).select(
+        F.col("doc").alias("a"), F.coalesce("peer", "least").alias("b")).filter("a <> b").distinct()
+
+
+def narrowed(docs: DataFrame, members: DataFrame, n: int, share: int, task_grams: int = TASK_GRAMS, task_docs: int = TASK_DOCS) -> DataFrame:
+    """``members`` (doc_id, cluster, n) with large clusters cut where no link can be, and without members that have no link.
+
+    Every round counts the n-grams inside the clusters that are large still, so that what chains a cluster in one round is put
+    last in the next. The counts only order: whatever they are, every link stays inside a cluster. Rounds end when they no longer help.
+    """
+    before = None
+    while True:
+        large = materialise(members.groupBy("cluster").agg(_parts(task_grams, task_docs).alias("parts")).filter("parts > 1").select("cluster"), "clusters-to-cut")
+        inside = materialise(members.join(sent_if_small(large, 16), "cluster").select("doc_id", "cluster"), "members-to-cut")
+        left = inside.count()
+        if not left or before is not None and 4 * left > 3 * before:
+            return members
+        before = left
+        texts = held_by(docs, inside, 24)
+        total = texts.mapInArrow(_counted(n), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(COUNTERS, np.int64)
+        counts[total["counter"].to_numpy()] = total["n"].to_numpy()
+        shown = texts.mapInArrow(_rarest(n, share, docs.sparkSession.sparkContext.broadcast(counts)), "key long, doc long, peer long")
+        label = components(_edges(shown), "narrowed").withColumnsRenamed({"node": "doc_id", "root": "cluster"})
+        cut = members.join(sent_if_small(large, 16), "cluster", "left_semi").select("doc_id", "n").join(label, "doc_id").select("doc_id", "cluster", "n")
+        members = materialise(members.join(sent_if_small(large, 16), "cluster", "left_anti").select("doc_id", "cluster", "n").union(cut), "members")
+
+
 def cluster_links(docs: DataFrame, members: DataFrame, n: int, share: int, **task) -> DataFrame:
     """(a, b): edges that connect whatever links connect inside each of the clusters of ``members`` (doc_id, cluster, n).
 
@@ -333,7 +426,7 @@ def cluster_links(docs: DataFrame, members: DataFrame, n: int, share: int, **tas
     costs as much as it has members, and only members far from the hubs cost more.
     """
     def linked(tasks: DataFrame, purpose: str) -> DataFrame:
-        sets = docs.join(sent_if_small(tasks, 80), "doc_id").mapInArrow(_sets(n), "doc_id long, tasks array<struct<task:long,side:int>>, grams binary")
+        sets = held_by(docs, tasks, 80).mapInArrow(_sets(n), "doc_id long, tasks array<struct<task:long,side:int>>, grams binary")
         dealt = sets.select("doc_id", "grams", F.explode("tasks").alias("t")).select("t.task", "t.side", "doc_id", "grams")
         return materialise(dealt.repartition("task").sortWithinPartitions("task", "side", "doc_id").mapInArrow(_links(share), "a long, b long"), purpose)
 
@@ -356,13 +449,14 @@ def join_components(docs: DataFrame, n: int = N, share: int = SHARE, **task) ->
     real = marks.filter("n > 0 and doc_id is not null")
     first = materialise(real.groupBy("m1", "m2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "gram-sets")
     keyed = docs.filter("doc_id is not null")
-    shown = keyed.mapInArrow(_shown(n, share), "key long, doc long, peer long").withColumn("settled", F.col("peer").isNotNull())
-    # At most a row per batch and content comes together here.
-    least = shown.withColumn("least", F.min("doc").over(Window.partitionBy("key", "settled"))).select(
-        F.col("doc").alias("a"), F.coalesce("peer", "least").alias("b")).filter("a <> b").distinct()
-    clusters = components(least, "candidates")
+    # Where many documents are copies, those that stand for a set show its blocks, and few others do.
+    many = 16 * first.count() < 15 * real.count()
+    showing = Sieve(first.select(F.col("rep").alias("doc_id")), "doc_id").passed(keyed) if many else keyed
+    shown = showing.mapInArrow(_shown(n, share), "key long, doc long, peer long")
+    clusters = components(_edges(shown), "candidates")
     members = clusters.join(first.select(F.col("rep").alias("node"), "n"), "node").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), "n")
-    links = cluster_links(keyed, materialise(members, "members"), n, share, **task)
+    members = narrowed(keyed, materialise(members, "members"), n, share, **task)
+    links = cluster_links(keyed, members, n, share, **task)
     # Rows of one id that hold several sets make these sets one node.
     reps = real.join(first.select("m1", "m2", "rep"), ["m1", "m2"]).select("doc_id", "rep")
     same = reps.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
@@ -375,7 +469,7 @@ def join_components(docs: DataFrame, n: int = N, share: int = SHARE, **task) ->
 def row_numbers(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_row``, a number that no two rows share: the id where it is the only one, a free number otherwise.
 
-    Rows whose id repeats, or is null, are written down with their numbers; the rest isn't copied. Where so many ids repeat that
+    Rows whose id repeats, or is null, are written down once with their numbers; the rest isn't copied. Where so many ids repeat that
     they can't be sent to the tasks, all rows are.
     """
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
@@ -383,8 +477,8 @@ def row_numbers(docs: DataFrame) -> DataFrame:
     if 32 * twice.count() > BROADCAST_BYTES:
         return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     sent = F.broadcast(twice)
-    odd = docs.join(sent, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).withColumn("_one", F.lit(0))
-    placed = materialise(ordinals(odd, ["doc_id"], ["_one"], "_nth", "odd-rows").drop("_one"), "numbered-rows")
+    odd = docs.join(sent, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    placed = materialise(odd.withColumn("_nth", F.monotonically_increasing_id()), "numbered-rows")
     most = placed.agg(F.max("_nth")).first()[0]
     plain = docs.filter("doc_id is not null").join(sent, "doc_id", "left_anti").select("*", F.col("doc_id").cast("long").alias("_row"))
     if most is None:
@@ -409,7 +503,7 @@ def keep_one(docs: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
     kept = materialise(placed.groupBy("component_id").agg(F.min(order).alias("k")).select(F.col("k._row").alias("_row")), "kept-rows")
     gone = materialise(whole.join(several, "component_id", "left_semi").join(kept, "_row", "left_anti").select("_row"), "copies")
-    return numbered.join(sent_if_small(gone, 16), "_row", "left_anti").select(*docs.columns)
+    return without(numbered, gone, whole.select("_row"), "_row", 16).select(*docs.columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

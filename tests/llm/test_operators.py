@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from compare import check, connect
 
-from pricemill.llm import fingerprints, jaccard_join, language, lattice, mixing, pieces, polytope, quality, queries, secret_scan, sharding, substrings
+from pricemill.llm import common, fingerprints, jaccard_join, language, lattice, mixing, pieces, polytope, quality, queries, secret_scan, sharding, substrings
 from pricemill.llm.bytework import rounds
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -131,6 +131,67 @@ def test_row_numbers_are_unique(spark, monkeypatch, most):
     assert not most or all(r["_row"] == r["doc_id"] for r in rows if ids.count(r["doc_id"]) == 1 and r["doc_id"] is not None)
 
 
+def test_large_clusters_are_cut_where_no_link_can_be(spark):
+    """Texts of a passage that many hold, of one that few hold and of their own; every tenth is a near copy of the one before."""
+    rnd = np.random.default_rng(6)
+    word = lambda k: [f"w{x}" for x in rnd.integers(0, 1 << 40, k)]
+    common, some = word(25), [word(12) for _ in range(12)]
+    texts = []
+    for i in range(240):
+        texts.append(texts[-1][:-1] + word(1) if i % 10 == 9 else common + some[i % 12] + word(20))
+    rows = [{"doc_id": i, "text": " ".join(t)} for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
+    members = docs.select("doc_id", F.lit(0).alias("cluster"), (F.size(F.split("text", " ")) - 4).cast("long").alias("n"))
+    cut = {r["doc_id"]: r["cluster"] for r in jaccard_join.narrowed(docs, members, 5, 80, task_docs=20).collect()}
+    root = linked(rows, 5, 80)
+    near = {i for i in root if list(root.values()).count(root[i]) > 1}
+    assert len(near) == 48 and near <= set(cut) and all(cut[i] == cut[root[i]] for i in near)
+    assert len(cut) <= 72 and max(collections.Counter(cut.values()).values()) <= 20  # one cluster of 240 before
+    small = jaccard_join.narrowed(docs, members, 5, 80)  # nothing is cut where a cluster is one task
+    assert small.count() == 240
+
+
+@pytest.mark.parametrize("share", [90, 80])
+def test_linked_sets_always_share_one_of_their_rarest_grams(share):
+    rnd = np.random.default_rng(3)
+    for n in [*range(1, 40), 150, 400]:
+        whole = rnd.integers(0, 1 << 63, 2 * n + 4, np.uint64)
+        for counts in (np.zeros(jaccard_join.COUNTERS, np.int64), rnd.integers(0, 5, jaccard_join.COUNTERS)):
+            for m in {n, max(1, n * share // 100), n * 100 // share}:
+                common = math.ceil(share * (n + m) / (100 + share))
+                if common > min(n, m):
+                    continue
+                both = [np.sort(whole[:n]), np.sort(np.concatenate([whole[:common], whole[n:n + m - common]]))]
+                key, text = jaccard_join.rarest(np.concatenate(both), np.cumsum([0, n, m]), counts, share)
+                assert set(key[text == 0].tolist()) & set(key[text == 1].tolist()), (n, m)
+                assert (text == 0).sum() <= n - share * n // 100 + 1
+
+
+def test_keep_one_where_no_table_can_be_sent(spark, fixture_dir, documents, monkeypatch):
+    """Copies under new ids, and sides that are too large for a broadcast."""
+    rows = [{"doc_id": None if d["doc_id"] is None else d["doc_id"] + 100_000 * k, "text": d["text"]} for d in documents for k in range(3)]
+    table = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "SIEVE_BITS", 256)  # so that rows pass by chance
+    got = jaccard_join.keep_one(table, 5, 80)
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == kept_rows(rows, 5, 80)
+
+
+def test_rows_without_an_id_of_their_own_are_written_once(spark, monkeypatch):
+    written = []
+
+    def noted(df, purpose, do=common.materialise):
+        if "text" in df.columns:
+            written.append((purpose, "Exchange" in df._jdf.queryExecution().optimizedPlan().toString() or "Repartition" in df._jdf.queryExecution().optimizedPlan().toString()))
+        return do(df, purpose)
+
+    for module in (common, jaccard_join):
+        monkeypatch.setattr(module, "materialise", noted)
+    table = spark.createDataFrame([(i % 7 if i % 3 else None, f"text {i}") for i in range(60)], "doc_id long, text string")
+    assert jaccard_join.row_numbers(table).select("_row").distinct().count() == 60
+    assert written == [("numbered-rows", False)]  # "odd-rows", sorted by ranges, was another copy of them before
+
+
 def test_large_families_cost_as_much_as_they_have_members(spark):
     """Rows dealt for one cluster whose members the hubs connect, but for a few."""
     dealt = {}
