@@ -193,6 +193,58 @@ def test_days_and_places_that_come_again_are_judged_once():
     assert ex._is_date.cache_info().misses == 2
 
 
+def plain_candidates(payload):
+    """The walk over a payload without anything that is remembered."""
+    empty = (None, "", [], {})
+
+    def text_of(value, field):
+        if isinstance(value, dict):
+            return next((t for key in field.inner if key in value and (t := text_of(value[key], field)) is not None), None)
+        if isinstance(value, list):
+            return text_of(value[0], field) if value and field.head else None
+        return str(value) if value is not None and not isinstance(value, bool) and str(value) and field.valid(str(value)) else None
+
+    stack = [(payload, {})]
+    while stack:
+        node, context = stack.pop()
+        if isinstance(node, list):
+            stack.extend((child, context) for child in node)
+        if not isinstance(node, dict):
+            continue
+        first = {}
+        for key, value in node.items():
+            for name in ex._meanings(key):
+                if value not in empty:
+                    first.setdefault(name, value)
+        known = context | {name: t for name in ex.INHERITED if name in first and (t := text_of(first[name], ex.FIELDS[name])) is not None}
+        if "price" in first and "flight" in first and (price := text_of(first["price"], ex.FIELDS["price"])) is not None:
+            own = {name: text_of(node[key], ex.FIELDS[name]) for name, key in ex.INHERITED.items() if node.get(key) not in empty}
+            yield known | {"price": price} | own | {name: text_of(first[name], ex.FIELDS[name]) for name in ("flight", "brand", "departure_time", "arrival_time") if name in first}
+        stack.extend((child, known) for child in node.values())
+
+
+def test_objects_with_the_same_keys_are_read_alike():
+    """Random payloads give what a plain walk gives, and what the keys of objects mean is found out once."""
+    rnd = random.Random(5)
+    keys = [*ex.BY_KEY, "Total_Fare", "flight_no", "departureDate", "iata", "results", "total", "x"]
+    plain = [None, "", [], {}, 0, 0.0, False, True, 12.5, -3, "DEL", "d el", "XX", "6E", "2024-01-02", "2024-13-02", "06:30", "INR 1,200.50", "Rs 7", "abc", "1e3", "100", "99999999999"]
+
+    def tree(depth):
+        if not depth or rnd.random() < 0.35:
+            return rnd.choice(plain)
+        return [tree(depth - 1) for _ in range(rnd.randrange(4))] if rnd.random() < 0.2 else {rnd.choice(keys): tree(depth - 1) for _ in range(rnd.randrange(8))}
+
+    trees = [tree(5) for _ in range(20000)]
+    shown = lambda found: sorted(repr([c.get(n) for n in ex.FIELDS]) for c in found)
+    assert sum(len(shown(ex._candidates(t))) for t in trees) > 1000
+    for t in trees:
+        assert shown(ex._candidates(t)) == shown(plain_candidates(t)), t
+    ex._layout.cache_clear()
+    for price in ("10", "11", "12"):
+        assert len(list(ex._candidates({"from": "DEL", "results": [{"fare": price, "flightNo": "1"}, {"fare": "x", "flightNo": "2"}]}))) == 1
+    assert ex._layout.cache_info().misses == 2  # every object was read key by key before
+
+
 class Held:
     """State of one key, without Spark."""
 
